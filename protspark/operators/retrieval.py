@@ -177,12 +177,14 @@ def slim_props(nodes: DataFrame) -> DataFrame:
 
 def snapshot(nodes: DataFrame, edges: DataFrame, **meta) -> DataFrame:
     """One nested row from capped node and edge tables (their caps bound its size)."""
-    as_list = lambda *cols: F.array_sort(F.collect_list(F.struct(*cols)), _by_first)
-    # Maps cannot be compared, so lists are sorted by their text columns.
-    ns = nodes.agg(as_list("id", "labels", "props").alias("nodes"))
-    es = edges.agg(F.array_sort(F.collect_list(F.struct("src", "dst", "type", "props")), _by_ends).alias("edges"))
-    extra = [F.lit(v).alias(k) for k, v in meta.items()]
-    return ns.join(es).select(*extra, "nodes", "edges")
+    node, edge = F.struct("id", "labels", "props"), F.struct("src", "dst", "type", "props")
+    n_type = "struct<id:string,labels:array<string>,props:map<string,string>>"
+    e_type = "struct<src:string,dst:string,type:string,props:map<string,string>>"
+    rows = (nodes.select(node.cast(n_type).alias("n"), F.lit(None).cast(e_type).alias("e"))
+            .unionByName(edges.select(F.lit(None).cast(n_type).alias("n"), edge.cast(e_type).alias("e"))))
+    # Maps cannot be compared, so the lists are sorted by their text fields.
+    packed = rows.agg(F.array_sort(F.collect_list("n"), _by_id).alias("nodes"), F.array_sort(F.collect_list("e"), _by_ends).alias("edges"))
+    return packed.select(*[F.lit(v).alias(k) for k, v in meta.items()], "nodes", "edges")
 
 
 def _compare(*pairs):
@@ -192,7 +194,7 @@ def _compare(*pairs):
     return out
 
 
-def _by_first(a, b):
+def _by_id(a, b):
     return _compare((a["id"], b["id"]))
 
 
