@@ -118,7 +118,8 @@ def normalize_seq(c: str | Column) -> Column:
 
 
 def spaced_seq(c: str | Column) -> Column:
-    return F.rtrim(F.regexp_replace(col(c), "(?s)(.)", "$1 "))
+    spread = F.regexp_replace(col(c), "(?s)(.)", "$1 ")
+    return F.substring(spread, F.lit(1), F.length(spread) - 1)
 
 
 def letters_only(c: str | Column) -> Column:

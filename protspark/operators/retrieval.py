@@ -17,9 +17,8 @@ def seed_nodes(nodes: DataFrame, query: str, k: int | None = 50, properties: lis
     """
     terms = [t.lower() for t in query.split()]
     wanted = F.map_filter("props", lambda name, _: name.isin(properties or SEARCH_PROPERTIES))
-    hit = F.lit(False)
-    for t in terms:
-        hit = hit | F.exists(F.map_values(wanted), lambda v, t=t: F.lower(v).contains(t))
+    words = F.array(*[F.lit(t) for t in terms]).cast("array<string>")
+    hit = F.exists(F.map_values(wanted), lambda v: F.exists(words, lambda t: F.lower(v).contains(t)))
     found = nodes.where(hit)
     return found.orderBy(F.element_at("labels", 1), "id").limit(k) if k else found
 

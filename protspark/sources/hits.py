@@ -58,9 +58,13 @@ def read_blast_xml(spark: SparkSession, path: str) -> DataFrame:
     ).where(F.col("hseq").isNotNull() & F.col("identity").isNotNull() & F.col("align_len").isNotNull())
 
 
-def read_hits_json(spark: SparkSession, path: str) -> DataFrame:
-    """Flat hits of nested JSON files; a query without hits keeps one row with a null subject."""
-    queries = (spark.read.option("multiLine", True).schema(HITS_SCHEMA).json(path)
+def read_hits_json(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Flat hits of nested JSON; a query without hits keeps one row with a null subject.
+
+    One document per line, as ``write_hits_json`` makes them (such files are split), or one document
+    per file with ``multi_line``.
+    """
+    queries = (spark.read.option("multiLine", multi_line).schema(HITS_SCHEMA).json(path)
                .select(F.explode("queries").alias("q")))
     return (queries.select("q.query_id", "q.length", "q.error", F.posexplode_outer("q.hits").alias("ord", "hit"))
             .select("query_id", "length", "error", "ord", *[F.col(f"hit.{c}").alias(c) for c in HIT_COLUMNS]))

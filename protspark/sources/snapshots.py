@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from protspark.schemas import SNAPSHOT_SCHEMA
 
 
-def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("multiLine", True).schema(SNAPSHOT_SCHEMA).json(path)
+def read_snapshot(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Snapshots, one document per line, or one per file with ``multi_line``."""
+    return spark.read.option("multiLine", multi_line).schema(SNAPSHOT_SCHEMA).json(path)
 
 
 def snapshot_nodes(snapshots: DataFrame) -> DataFrame:
