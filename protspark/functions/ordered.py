@@ -54,7 +54,11 @@ def _offsets(parts: DataFrame, by: list[str], totals: dict[str, Column]) -> Data
 
 
 def running_totals(df: DataFrame, by: list[str], order: list[Column], totals: dict[str, Column]) -> DataFrame:
-    """Add inclusive running sums per group; ``order`` must be unique inside a group."""
+    """Add inclusive running sums per group; ``order`` must be unique inside a group.
+
+    The input is usually an aggregate, so it is written once before its groups are measured.
+    """
+    df = cut(df) if by else df
     if not _needs_ranges(df, by):
         w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *[F.sum(c).over(w).alias(n) for n, c in totals.items()])

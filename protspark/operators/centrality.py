@@ -109,42 +109,99 @@ def shortest_distances(edges: DataFrame, nodes: DataFrame | None = None, weight:
         dist = cut(dist.unionByName(front).groupBy(KEY, "source", "idx").agg(F.min("dist").alias("dist")))
 
 
+def hop_levels(edges: DataFrame, nodes: DataFrame | None = None, sources: DataFrame | None = None) -> list[DataFrame]:
+    """Breadth-first levels from every node: ``(graph_id, source, idx, sigma)`` per hop count.
+
+    ``sigma`` counts the shortest paths from the source. A neighbour of level h is in level h-1, h or h+1,
+    so a round looks at two levels only, never at all that is known.
+    """
+    adj = cut(adjacency(edges.select(KEY, "i", "j").distinct(), None).select(KEY, "idx", "nbr"))
+    start = (sources if sources is not None else _nodes(edges, nodes)).select(KEY, F.col("idx").alias("source"), "idx").distinct()
+    front = cut(start.withColumn("sigma", F.lit(1.0)))
+    levels, before = [front], None
+    while True:
+        reached = front.join(adj, [KEY, "idx"]).groupBy(KEY, "source", F.col("nbr").alias("idx")).agg(F.sum("sigma").alias("sigma"))
+        seen = front.select(KEY, "source", "idx") if before is None else front.select(KEY, "source", "idx").unionByName(before.select(KEY, "source", "idx"))
+        before, front = front, cut(reached.join(seen, [KEY, "source", "idx"], "left_anti"))
+        if front.isEmpty():
+            return levels
+        levels.append(front)
+
+
+def hop_distances(levels: list[DataFrame]) -> DataFrame:
+    out = None
+    for hop, level in enumerate(levels):
+        part = level.select(KEY, "source", "idx", F.lit(float(hop)).alias("dist"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def closeness(edges: DataFrame, nodes: DataFrame | None = None, weight: str | None = None, distances: DataFrame | None = None) -> DataFrame:
-    """``(r-1)/sum d * (r-1)/(n-1)`` with r reachable nodes; 0 for isolated nodes."""
+    """``(r-1)/sum d * (r-1)/(n-1)`` with r reachable nodes; 0 for isolated nodes. Hops unless ``weight``."""
     ids = _nodes(edges, nodes)
-    d = distances if distances is not None else shortest_distances(edges, nodes, weight)
+    if distances is not None:
+        d = distances
+    elif weight:
+        d = shortest_distances(edges, nodes, weight)
+    else:
+        d = hop_distances(hop_levels(edges, nodes))
     agg = d.groupBy(KEY, F.col("source").alias("idx")).agg((F.count(F.lit(1)) - 1).alias("_r"), F.sum("dist").alias("_s"))
     value = F.when((F.col("_s") > 0) & (F.col("_n") > 1), F.col("_r") / F.col("_s") * F.col("_r") / (F.col("_n") - 1)).otherwise(0.0)
     return ids.join(agg, [KEY, "idx"], "left").join(_sizes(ids), KEY).select(KEY, "idx", F.coalesce(value, F.lit(0.0)).alias("closeness"))
 
 
 def betweenness(edges: DataFrame, nodes: DataFrame | None = None, weight: str | None = None, normalized: bool = True) -> DataFrame:
-    """Share of shortest paths through each node, endpoints not counted.
+    """Share of shortest paths through each node, endpoints not counted. Hops unless ``weight``."""
+    ids = cut(_nodes(edges, nodes))
+    delta = _weighted_dependencies(edges, ids, weight) if weight else _hop_dependencies(edges, ids)
+    pairs = (F.col("_n") - 1) * (F.col("_n") - 2)
+    scale = F.when(F.col("_n") > 2, 1 / pairs).otherwise(1.0) if normalized else F.lit(0.5)
+    return (ids.join(delta, [KEY, "idx"], "left").join(_sizes(ids), KEY)
+            .select(KEY, "idx", (F.coalesce("_b", F.lit(0.0)) * scale).alias("betweenness")))
 
-    Edges on a shortest path from each source form an acyclic table. Path counts flow forward along it,
+
+def _hop_dependencies(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """Summed dependencies per node. Level by level from the far end: with ``g = dependency / paths``,
+    ``g(u) = sum over next-level neighbours v of (1 / paths(v) + g(v))``.
+    """
+    levels = hop_levels(edges, ids)
+    adj = cut(adjacency(edges.select(KEY, "i", "j").distinct(), None).select(KEY, "idx", "nbr"))
+    parts, below = [], None
+    for level in reversed(levels[1:]):
+        known = level if below is None else level.join(below, [KEY, "source", "idx"], "left")
+        g = F.lit(0.0) if below is None else F.coalesce("g", F.lit(0.0))
+        if below is not None:
+            parts.append(known.select(KEY, "idx", (g * F.col("sigma")).alias("d")))
+        sent = known.select(KEY, "source", F.col("idx").alias("nbr"), (1 / F.col("sigma") + g).alias("_c"))
+        # Sent to all neighbours; only those one level up read it.
+        below = cut(sent.join(adj, [KEY, "nbr"]).groupBy(KEY, "source", "idx").agg(F.sum("_c").alias("g")))
+    if not parts:
+        return ids.select(KEY, "idx", F.lit(0.0).alias("_b"))
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every.groupBy(KEY, "idx").agg(F.sum("d").alias("_b"))
+
+
+def _weighted_dependencies(edges: DataFrame, ids: DataFrame, weight: str) -> DataFrame:
+    """Edges on a shortest path from each source form an acyclic table. Path counts flow forward along it,
     dependencies backward, one hop per round for all sources and graphs together.
     """
-    ids = _nodes(edges, nodes)
     d = cut(shortest_distances(edges, ids, weight))
     adj = adjacency(edges, weight).groupBy(KEY, "idx", "nbr").agg(F.min("w").alias("w"))
     dag = cut(d.join(adj, [KEY, "idx"])
               .join(d.select(KEY, "source", F.col("idx").alias("nbr"), F.col("dist").alias("_d2")), [KEY, "source", "nbr"])
               .where(F.col("dist") + F.col("w") == F.col("_d2")).select(KEY, "source", F.col("idx").alias("u"), F.col("nbr").alias("v")))
     start = ids.select(KEY, F.col("idx").alias("source"), "idx", F.lit(1.0).alias("c"))
-    sigma = _flow(dag, start, "u", "v").groupBy(KEY, "source", "idx").agg(F.sum("c").alias("sigma"))
-    sigma = cut(sigma)
+    sigma = cut(_flow(dag, start, "u", "v").groupBy(KEY, "source", "idx").agg(F.sum("c").alias("sigma")))
     seeds = sigma.where(F.col("idx") != F.col("source")).select(KEY, "source", "idx", (1 / F.col("sigma")).alias("c"))
     back = _flow(dag, seeds, "v", "u", include_start=False).groupBy(KEY, "source", "idx").agg(F.sum("c").alias("_g"))
-    delta = (back.join(sigma, [KEY, "source", "idx"]).where(F.col("idx") != F.col("source"))
-             .groupBy(KEY, "idx").agg(F.sum(F.col("_g") * F.col("sigma")).alias("_b")))
-    pairs = (F.col("_n") - 1) * (F.col("_n") - 2)
-    scale = F.when(F.col("_n") > 2, 1 / pairs).otherwise(1.0) if normalized else F.lit(0.5)
-    return (ids.join(delta, [KEY, "idx"], "left").join(_sizes(ids), KEY)
-            .select(KEY, "idx", (F.coalesce("_b", F.lit(0.0)) * scale).alias("betweenness")))
+    return (back.join(sigma, [KEY, "source", "idx"]).where(F.col("idx") != F.col("source"))
+            .groupBy(KEY, "idx").agg(F.sum(F.col("_g") * F.col("sigma")).alias("_b")))
 
 
 def _flow(dag: DataFrame, start: DataFrame, tail: str, head: str, include_start: bool = True) -> DataFrame:
-    """Amounts that reach each node along the acyclic edges, summed over all walks; one row per round."""
+    """Amounts that reach each node along the acyclic edges over all walks, one set of rows per round."""
     front, total = cut(start), []
     if include_start:
         total.append(front)

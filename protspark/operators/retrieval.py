@@ -245,4 +245,5 @@ def rank_candidates(assays: DataFrame, toxicity: DataFrame, target: list[str] |
     order = [F.col("best_value"), F.size("risks"), F.col("ligand_id")]
     if top:
         return first_n(joined, ["uniprot_id"], order, top, "rank")
-    return ranked(joined, ["uniprot_id"], order, "rank")
+    # Written once, because ranking measures the groups first.
+    return ranked(cut(joined), ["uniprot_id"], order, "rank")

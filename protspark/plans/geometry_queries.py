@@ -8,7 +8,7 @@ from protspark.operators import alignments as A
 from protspark.operators import geometry as G
 from protspark.operators.cleaning import sequence_choice
 from protspark.plans.registry import query, r6, table
-from protspark.plans.stand_ins import ALIGNED_SQL, PAIRS_SQL, POINTS_SQL, aligned, points, sequences
+from protspark.plans.stand_ins import ALIGNED_SQL, PAIRS_SQL, POINTS_SQL, SEQUENCES_SQL, aligned, points, sequences
 from protspark.schemas import DISTANCE_EDGES
 
 NEAR = 0.1
@@ -236,3 +236,12 @@ def usable_hits(spark, sf):
     ord_ = F.col("l_orderkey") * 10000000 + F.col("l_partkey") * 1000 + F.col("l_linenumber") * 100 + F.col("l_quantity").cast("int")
     h = li.select(F.col("l_suppkey").alias("query_id"), ord_.alias("ord"), subject.alias("subject"))
     return A.usable_hits(h, p.where("p_size > 20").select(code("p_partkey").alias("code")), 8).select("query_id", "ord", "code", "template_chain")
+
+
+@query("geo10_align_pairs_roundtrip", f"""
+    WITH {SEQUENCES_SQL} SELECT a.query_id, a.seq AS query, b.seq AS target, true AS same_width FROM seqs a JOIN seqs b ON b.query_id = a.query_id + 1""")
+def align_roundtrip(spark, sf):
+    """Aligned strings without their gaps are the input, and both are equally wide."""
+    done = A.align_pairs(neighbour_sequences(spark, sf), ["query_id"], "template")
+    bare = lambda c: F.translate(c, "-", "")
+    return done.select("query_id", bare("qaln").alias("query"), bare("taln").alias("target"), (F.length("qaln") == F.length("taln")).alias("same_width"))

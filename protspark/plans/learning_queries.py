@@ -1 +1,68 @@
-"""To come."""
+"""Spark ML jobs and batch scoring on embeddings and documents."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from protspark.functions.lineage import cut
+from protspark.operators import learning as L
+from protspark.operators.geometry import contacts
+from protspark.operators.splits import split_fraction
+from protspark.plans.registry import query, r6, table
+from protspark.plans.stand_ins import PAIRS_SQL, points
+
+
+@query("mlt01_scale", """
+    WITH l AS (SELECT vec_id, d, CAST(embedding[d] AS DOUBLE) AS v FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS d FROM embeddings))
+    SELECT vec_id, CAST(d - 1 AS INT) AS dim, round((v - avg(v) OVER p) / stddev_pop(v) OVER p, 6) + 0.0 AS value FROM l WINDOW p AS (PARTITION BY d)""")
+def scale(spark, sf):
+    s = L.scale(table(spark, sf, "embeddings"), "embedding")
+    return s.select("vec_id", F.posexplode("scaled").alias("dim", "value")).withColumn("value", r6("value"))
+
+
+def train_test(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("features"), (F.col("embedding")[0] * 2 + F.col("embedding")[5] - F.col("embedding")[9] + F.col("label") / 50).cast("double").alias("y"))
+    parts = cut(split_fraction(e, "vec_id", 0.8))
+    return parts.where("split = 'train'"), parts.where("split = 'val'")
+
+
+@query("mlt02_linear_grid")
+def linear_grid(spark, sf):
+    train, test = train_test(spark, sf)
+    out = L.linear_grid(train, test, "y", alphas=[0.001, 0.1], l1_ratios=[0.0, 1.0], folds=5)
+    return out.select(r6("mse").alias("mse"), r6("pearson").alias("pearson"), "n", "alpha", "l1_ratio")
+
+
+@query("mlt03_boosted")
+def boosted(spark, sf):
+    train, test = train_test(spark, sf)
+    _, importances = L.boosted(train, test, "y", depth=3, rounds=5)
+    return importances.withColumn("importance", r6("importance"))
+
+
+DOT_SQL = "CAST(a.embedding[1] AS DOUBLE) * CAST(b.embedding[2] AS DOUBLE) + CAST(a.embedding[2] AS DOUBLE) * CAST(b.embedding[1] AS DOUBLE)"
+
+
+@query("mlt04_score_pairs", f"""
+    WITH {PAIRS_SQL} SELECT model_id AS graph_id, i, j, round(1 / (1 + exp(-(0.5 * (({DOT_SQL}) + ({DOT_SQL})) + 0.25 + 0.1 * dist + CASE WHEN j - i >= 2 THEN -0.5 ELSE 0.0 END))), 6) + 0.0 AS score
+    FROM pairs JOIN embeddings a ON a.vec_id = i JOIN embeddings b ON b.vec_id = j WHERE dist <= 0.1""")
+def score_pairs(spark, sf):
+    features = table(spark, sf, "embeddings").select(F.col("label").alias("graph_id"), F.col("vec_id").alias("idx"), F.slice("embedding", 1, 2).alias("features"))
+    pairs = contacts(points(spark, sf), 0.1).select(F.col("model_id").alias("graph_id"), "i", "j", F.col("dist").alias("mi"))
+    s = L.score_pairs(features, pairs, u=[[1.0, 0.0], [0.0, 1.0]], v=[[0.0, 1.0], [1.0, 0.0]], bias=0.25, mi_weight=0.1, distance_bias=[0.0, 0.0, -0.5], symmetric=True, squash=True)
+    return s.select("graph_id", "i", "j", r6("score").alias("score"))
+
+
+def text_length(texts: pd.Series) -> pd.Series:
+    return texts.str.len().astype(float)
+
+
+@query("mlt05_infer_cached", """
+    SELECT doc_id, CASE WHEN EXISTS (SELECT 1 FROM documents c WHERE c.lang = 'en' AND c.text = d.text) THEN -1.0::DOUBLE ELSE CAST(length(text) AS DOUBLE) END AS result FROM documents d""")
+def infer_cached(spark, sf):
+    from protspark.functions.columns import content_key
+
+    d = table(spark, sf, "documents")
+    cache = d.where("lang = 'en'").select(content_key(F.lit("model"), "text").alias("key"), F.lit(-1.0).alias("result")).distinct()
+    return L.infer_cached(d, cache, "text", text_length)[0].select("doc_id", "result")
