@@ -16,6 +16,11 @@ def _nodes(edges: DataFrame, nodes: DataFrame | None) -> DataFrame:
     return graph_nodes(edges) if nodes is None else nodes.select(KEY, "idx").distinct()
 
 
+def _stored(edges: DataFrame, weight: str | None) -> DataFrame:
+    """The needed columns, written once: the rounds below read the edges many times."""
+    return cut(edges.select(KEY, "i", "j", *([weight] if weight else [])))
+
+
 def _sizes(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n"))
 
@@ -36,6 +41,7 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, alpha: float = 0.
     Stops when the total change is below ``tol * n`` in every graph, tested every ``every`` rounds;
     ``tol=None`` runs exactly ``iters`` rounds.
     """
+    edges = _stored(edges, weight)
     ids = _nodes(edges, nodes)
     adj = adjacency(edges, weight)
     out = adj.groupBy(KEY, "idx").agg(F.sum("w").alias("_out"))
@@ -71,6 +77,7 @@ def eigenvector_centrality(edges: DataFrame, nodes: DataFrame | None = None, ite
 
     The shift keeps the eigenvectors and makes two-sided graphs converge.
     """
+    edges = _stored(edges, weight)
     ids = _nodes(edges, nodes)
     adj = cut(adjacency(edges, weight))
     linked = adj.select(KEY, "idx").distinct()
@@ -138,7 +145,9 @@ def hop_distances(levels: list[DataFrame]) -> DataFrame:
 
 def closeness(edges: DataFrame, nodes: DataFrame | None = None, weight: str | None = None, distances: DataFrame | None = None) -> DataFrame:
     """``(r-1)/sum d * (r-1)/(n-1)`` with r reachable nodes; 0 for isolated nodes. Hops unless ``weight``."""
-    ids = _nodes(edges, nodes)
+    edges = _stored(edges, weight)
+    ids = cut(_nodes(edges, nodes))
+    nodes = ids
     if distances is not None:
         d = distances
     elif weight:
@@ -152,6 +161,7 @@ def closeness(edges: DataFrame, nodes: DataFrame | None = None, weight: str | No
 
 def betweenness(edges: DataFrame, nodes: DataFrame | None = None, weight: str | None = None, normalized: bool = True) -> DataFrame:
     """Share of shortest paths through each node, endpoints not counted. Hops unless ``weight``."""
+    edges = _stored(edges, weight)
     ids = cut(_nodes(edges, nodes))
     delta = _weighted_dependencies(edges, ids, weight) if weight else _hop_dependencies(edges, ids)
     pairs = (F.col("_n") - 1) * (F.col("_n") - 2)

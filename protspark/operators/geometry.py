@@ -28,16 +28,24 @@ def located(df: DataFrame) -> DataFrame:
     return df.where(ok)
 
 
+def _measured(df: DataFrame, by: list[str], limit: int) -> DataFrame:
+    """Add ``_small``: the group has at most ``limit`` points, so one cell is cheaper than neighbour copies."""
+    sizes = df.groupBy(*by).agg((F.count(F.lit(1)) <= limit).alias("_small"))
+    return df.join(sizes, by)
+
+
 def _cells(size: float | Column) -> list[Column]:
-    return [F.floor(F.col(c) / size).cast("long").alias(f"_c{c}") for c in AXES]
+    """Grid cell of a point; a small group is one cell."""
+    return [F.when(F.col("_small"), F.lit(0).cast("long")).otherwise(F.floor(F.col(c) / size).cast("long")).alias(f"_c{c}") for c in AXES]
 
 
 def _shifted(df: DataFrame, offsets: list[tuple[int, int, int]]) -> DataFrame:
     """Repeat each row once per neighbouring cell it must meet; ``_o`` numbers the offset."""
-    table = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(AXES, o)], F.lit(k).alias("n")) for k, o in enumerate(offsets)])
-    spread = df.withColumn("_s", F.explode(table))
+    entry = lambda k: F.struct(*[F.lit(v).alias(c) for c, v in zip(AXES, offsets[k])], F.lit(k).alias("n"))
+    every, own = F.array(*[entry(k) for k in range(len(offsets))]), F.array(entry(offsets.index((0, 0, 0))))
+    spread = df.withColumn("_s", F.explode(F.when(F.col("_small"), own).otherwise(every)))
     moved = {f"_c{c}": F.col(f"_c{c}") + F.col(f"_s.{c}") for c in AXES}
-    return spread.withColumns({**moved, "_o": F.col("_s.n")}).drop("_s")
+    return spread.withColumns({**moved, "_o": F.col("_s.n")}).drop("_s", "_small")
 
 
 def _side(df: DataFrame, by: list[str], cols: list[str], suffix: str) -> list[Column]:
@@ -50,12 +58,12 @@ def radius_pairs(points: DataFrame, by: list[str], idx: str, cutoff: float, cols
 
     Points go to grid cells as wide as the cutoff; each cell meets itself and 13 of its neighbours, so
     every pair is built once. The join key is the cell, so a large group is spread over its cells, and a
-    crowded cell is salted.
+    crowded cell is salted. A group with no more points than cells to meet is one cell.
     """
     cols = [idx, *(cols or [])]
     cell = [f"_c{c}" for c in AXES]
-    pts = located(points)
-    left = _shifted(pts.select(*_side(pts, by, cols, "_i"), *_cells(cutoff)), HALF)
+    pts = _measured(located(points).select(*by, *AXES, *cols), by, 2 * len(HALF))
+    left = _shifted(pts.select(*_side(pts, by, cols, "_i"), "_small", *_cells(cutoff)), HALF)
     right = pts.select(*_side(pts, by, cols, "_j"), *_cells(cutoff))
     joined = salted_join(right, left, [*by, *cell], CROWDED_CELL)
     near = distance() <= cutoff if closed else distance() < cutoff
@@ -70,10 +78,15 @@ def radius_pairs(points: DataFrame, by: list[str], idx: str, cutoff: float, cols
 
 def radius_join(left: DataFrame, right: DataFrame, by: list[str], cutoff: float, left_cols: list[str],
                 right_cols: list[str], closed: bool = True) -> DataFrame:
-    """Pairs of two different point sets within ``cutoff``; the left side meets 27 cells."""
+    """Pairs of two different point sets within ``cutoff``; the left side meets 27 cells.
+
+    Where the right set of a group has at most 27 points the group is one cell.
+    """
     cell = [f"_c{c}" for c in AXES]
-    a, b = located(left), located(right)
-    spread = _shifted(a.select(*_side(a, by, left_cols, "_i"), *_cells(cutoff)), NEIGHBOURS).drop("_o")
+    b = _measured(located(right).select(*by, *AXES, *right_cols), by, len(NEIGHBOURS))
+    # The sizes of the right side decide for both; a group without right points has no pairs.
+    a = located(left).select(*by, *AXES, *left_cols).join(b.groupBy(*by).agg(F.first("_small").alias("_small")), by)
+    spread = _shifted(a.select(*_side(a, by, left_cols, "_i"), "_small", *_cells(cutoff)), NEIGHBOURS).drop("_o")
     other = b.select(*_side(b, by, right_cols, "_j"), *_cells(cutoff))
     joined = salted_join(other, spread, [*by, *cell], CROWDED_CELL)
     near = distance() <= cutoff if closed else distance() < cutoff
@@ -154,23 +167,23 @@ def neighbours(residues: DataFrame, topk: int = 6, min_sep: int = 2, by: str = "
     volume = F.lit(1.0)
     for c in AXES:
         volume = volume * F.greatest(F.col(f"_d{c}"), span / 1000, F.lit(1e-9))
-    box = cut(box.select(by, span.alias("_span"), F.pow(volume / F.col("_n"), F.lit(1 / 3)).alias("_h0")))
+    box = cut(box.select(by, span.alias("_span"), F.pow(volume / F.col("_n"), F.lit(1 / 3)).alias("_h0"), (F.col("_n") <= len(NEIGHBOURS)).alias("_small")))
     sized = cut(candidates.join(box, by))
     open_points, done, scale = pts.join(box, by), [], 1.0
     while True:
         h = F.col("_h0") * scale
-        left = _shifted(open_points.select(by, "idx", *AXES, "_h0", "_span", *_cells(h)), NEIGHBOURS).drop("_o")
-        left = left.select(by, F.col("idx").alias("i"), *[F.col(c).alias(f"{c}_i") for c in AXES], "_h0", "_span", *[f"_c{c}" for c in AXES])
+        covered = F.col("_small") | (F.col("_h0") * scale >= 2 * F.col("_span"))
+        left = _shifted(open_points.select(by, "idx", *AXES, "_h0", covered.alias("_all"), "_small", *_cells(h)), NEIGHBOURS).drop("_o")
+        left = left.select(by, F.col("idx").alias("i"), *[F.col(c).alias(f"{c}_i") for c in AXES], "_h0", "_all", *[f"_c{c}" for c in AXES])
         right = sized.select(by, F.col("idx").alias("j"), *[F.col(c).alias(f"{c}_j") for c in AXES], *_cells(h))
         met = (salted_join(right, left, [by, *[f"_c{c}" for c in AXES]], CROWDED_CELL)
                .where(F.abs(F.col("i") - F.col("j")) >= min_sep)
-               .select(by, "i", "j", distance().alias("dist"), "_h0", "_span"))
+               .select(by, "i", "j", distance().alias("dist"), "_h0", "_all"))
         best = cut(first_n(met, [by, "i"], ["dist", "j"], topk, "rank"))
         # Complete: k found within the guaranteed radius, or the radius covers the whole model.
-        covered = F.col("_h0") * scale >= 2 * F.col("_span")
         state = best.groupBy(by, "i").agg(F.sum((F.col("dist") <= F.col("_h0") * scale).cast("int")).alias("_sure"),
-                                          F.max(covered.cast("int")).alias("_all"))
-        closed_now = state.where((F.col("_sure") >= topk) | (F.col("_all") == 1)).select(by, "i")
+                                          F.max("_all").alias("_all"))
+        closed_now = state.where((F.col("_sure") >= topk) | F.col("_all")).select(by, "i")
         done.append(best.join(closed_now, [by, "i"], "left_semi").select(by, "i", "j", "dist", "rank"))
         rest = open_points.join(closed_now.withColumnRenamed("i", "idx"), [by, "idx"], "left_anti").where(~covered)
         open_points = cut(rest)

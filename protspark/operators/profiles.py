@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from protspark.functions.lineage import cut
 from protspark.functions.skew import first_n
 from protspark.schemas import AMINO_ACIDS
 
@@ -89,6 +90,8 @@ def column_mi(msa: DataFrame, min_depth: int = 10, max_len: int | None = None) -
     fit = shape.where(F.col("_d") >= min_depth)
     fit = fit.where(F.col("_l") <= max_len) if max_len else fit
     chars = (msa.join(fit.select("msa_id"), "msa_id", "left_semi")
+             # Few rows make very many pairs: spread the rows before they grow.
+             .repartition("msa_id", "row_id")
              .select("msa_id", F.filter(F.split("seq", ""), lambda c: c != "").alias("s")))
     left = chars.select("msa_id", "s", F.posexplode("s").alias("a", "ca")).where(F.col("ca").isin(LETTERS) & (F.col("a") + 1 < F.size("s")))
     pairs = (left.select("msa_id", "a", "ca", F.posexplode(F.expr("slice(s, a + 2, size(s))")).alias("k", "cb"))
@@ -106,6 +109,7 @@ def column_mi(msa: DataFrame, min_depth: int = 10, max_len: int | None = None) -
 
 def apc(mi: DataFrame, lengths: DataFrame) -> DataFrame:
     """Average-product correction; means are over the full square with a zero diagonal (``lengths``: msa_id, length)."""
+    mi = cut(mi)  # read four times below
     both = mi.select("msa_id", F.col("a").alias("c"), "mi").unionAll(mi.select("msa_id", "b", "mi"))
     rows = both.groupBy("msa_id", "c").agg(F.sum("mi").alias("_s")).join(lengths, "msa_id")
     means = rows.select("msa_id", "c", (F.col("_s") / F.col("length")).alias("_m"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -38,12 +40,13 @@ def _charges(nodes: DataFrame, sources: DataFrame, sinks: DataFrame) -> DataFram
 
 
 def potentials(edges: DataFrame, nodes: DataFrame, sources: DataFrame, sinks: DataFrame, eps: float = 1e-3,
-               max_nodes: int = 2_000, tol: float = 1e-10, max_iter: int = 1_000) -> DataFrame:
+               max_nodes: int = 256, tol: float = 1e-10, max_iter: int = 1_000) -> DataFrame:
     """Solve ``(L + eps I) phi = b`` per graph: ``(graph_id, idx, phi)``.
 
-    Graphs of at most ``max_nodes`` nodes (a checked size) are solved densely, one graph per group. Larger
+    Graphs of at most ``max_nodes`` nodes (a checked size) are rows of their own and solved densely. Larger
     ones are solved together by conjugate gradients on the edge table, whose steps are joins and sums.
     """
+    edges = cut(edges.select(KEY, "i", "j", "w"))
     charged = cut(_charges(nodes, sources, sinks))
     sizes = charged.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n"))
     large = cut(sizes.where(F.col("_n") > max_nodes).select(KEY))
@@ -56,27 +59,37 @@ def potentials(edges: DataFrame, nodes: DataFrame, sources: DataFrame, sinks: Da
 
 
 def _solve_dense(edges: DataFrame, charged: DataFrame, eps: float) -> DataFrame:
+    """One row per graph (its size is checked), many graphs per Arrow batch."""
     key_type = charged.schema[KEY].dataType.simpleString()
-    # One row per node pair, so a group holds at most max_nodes^2 / 2 edges.
-    links = edges.groupBy(KEY, F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).agg(F.last(finite("w", 0.0).cast("double")).alias("w"))
-
-    def solve(e: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        v = v.sort_values("idx")
-        n = len(v)
-        mat = np.zeros((n, n))
-        if len(e):
-            i, j = np.searchsorted(v["idx"], e["i"]), np.searchsorted(v["idx"], e["j"])
-            mat[i, j] = mat[j, i] = -e["w"].to_numpy()
-        np.fill_diagonal(mat, eps - mat.sum(axis=1))
-        return v[[KEY, "idx"]].assign(phi=np.linalg.solve(mat, v["b"].to_numpy()) if n else [])
-
-    nodes = charged.withColumn("idx", F.col("idx").cast("long"))
-    return links.groupBy(KEY).cogroup(nodes.groupBy(KEY)).applyInPandas(solve, f"{KEY} {key_type}, idx long, phi double")
+    links = edges.groupBy(KEY, F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).agg(F.max(finite("w", 0.0).cast("double")).alias("w"))
+    lists = lambda df, *cols: df.groupBy(KEY).agg(F.collect_list(F.struct(*cols)).alias("_l")).select(KEY, *[F.col(f"_l.{c}").alias(c) for c in cols])
+    nodes = lists(charged.select(KEY, F.col("idx").cast("long").alias("idx"), "b"), "idx", "b")
+    packed = nodes.join(lists(links, "i", "j", "w"), KEY, "left")
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            keys, idx, phi = [], [], []
+            for row in pdf.itertuples(index=False):
+                key, ids, b, i, j, w = row
+                order = np.argsort(ids)
+                ids, n = ids[order], len(ids)
+                mat = np.zeros((n, n))
+                if i is not None:
+                    at_i, at_j = np.searchsorted(ids, i), np.searchsorted(ids, j)
+                    mat[at_i, at_j] = mat[at_j, at_i] = -w
+                np.fill_diagonal(mat, 0.0)
+                np.fill_diagonal(mat, eps - mat.sum(axis=1))
+                keys += [key] * n
+                idx.append(ids)
+                phi.append(np.linalg.solve(mat, b[order]))
+            yield pd.DataFrame({KEY: keys, "idx": np.concatenate(idx) if idx else [], "phi": np.concatenate(phi) if phi else []})
+
+    return packed.select(KEY, "idx", "b", "i", "j", "w").mapInPandas(solve, f"{KEY} {key_type}, idx long, phi double")
 
 
 def _solve_cg(edges: DataFrame, charged: DataFrame, eps: float, tol: float, max_iter: int) -> DataFrame:
     """Conjugate gradients with a diagonal preconditioner, all graphs in step, one checkpoint per round."""
-    adj = cut(adjacency(edges))
+    adj = cut(adjacency(edges.where(F.col("i") != F.col("j")).groupBy(KEY, "i", "j").agg(F.max(finite("w", 0.0)).alias("w"))))
     degree = adj.groupBy(KEY, "idx").agg(F.sum("w").alias("_d"))
     v = (charged.join(degree, [KEY, "idx"], "left")
          .select(KEY, F.col("idx").cast("long").alias("idx"), (F.coalesce("_d", F.lit(0.0)) + eps).alias("d"), F.lit(0.0).alias("x"), F.col("b").alias("r")))

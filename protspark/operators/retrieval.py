@@ -108,11 +108,10 @@ def structure_subgraph(nodes: DataFrame, edges: DataFrame, protein: str, model:
     none = F.create_map().cast("map<string,string>")
     shown = ["model_id", "contact_type", "chain", "w", "dist"]
     slim = best.withColumn("props", F.map_filter("props", lambda k, _: k.isin(shown)))
-    # Without the protein there is no result at all.
-    present = head.select(F.lit(pid).alias("_p"))
-    gate = lambda df: df.withColumn("_p", F.lit(pid)).join(present, "_p", "left_semi").drop("_p")
-    sub_nodes = slim_props(head.unionByName(residues).unionByName(structure))
-    return gate(sub_nodes), gate(slim.unionByName(link.withColumn("props", none)))
+    sub_nodes, sub_edges = slim_props(head.unionByName(residues).unionByName(structure)), slim.unionByName(link.withColumn("props", none))
+    if head.isEmpty():  # without the protein there is no result at all
+        return sub_nodes.where(F.lit(False)), sub_edges.where(F.lit(False))
+    return sub_nodes, sub_edges
 
 
 def residue_degrees(edges: DataFrame) -> DataFrame:

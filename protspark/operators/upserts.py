@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from protspark.functions.columns import coalesce_nonempty, default_key, derive_pdb_id, require_key
 from protspark.schemas import ENDPOINTS, LABEL_KEYS
 
-EMPTY_PROPS = F.create_map().cast("map<string,string>")
+def _no_props() -> Column:
+    return F.create_map().cast("map<string,string>")
+
 
 
 def node_id(label: str, key: str | Column) -> Column:
@@ -68,7 +70,7 @@ def merge_edges(edges: DataFrame, *batches: DataFrame) -> DataFrame:
         every = every.unionByName(b.select("src", "dst", "type", F.col("props").cast("map<string,string>"), F.col("ord").cast("long")))
     given = F.when(F.col("props").isNotNull(), F.col("ord"))
     return (every.groupBy("src", "dst", "type").agg(F.max_by("props", given).alias("props"))
-            .withColumn("props", F.coalesce("props", EMPTY_PROPS)))
+            .withColumn("props", F.coalesce("props", _no_props())))
 
 
 def _link(batch: DataFrame, src: Column, dst: Column, kind: str, props: Column | None = None) -> DataFrame:

@@ -93,9 +93,9 @@ def aligned_fasta(spark, sf):
     return seqfiles.read_aligned_fasta(spark, path, max_seqs=64).select("name", "seq")
 
 
-def pdb_line(record: str, atom: str, resname, chain, resseq, x, y, z, element: str, serial=F.lit(1), occupancy: float = 1.0):
+def pdb_line(record: str, atom: str, resname, chain, resseq, x, y, z, element: str, occupancy: float = 1.0):
     fmt = f"{record:<6}%5d {atom:<4} %3s %1s%4d    %8.3f%8.3f%8.3f{occupancy:6.2f}  0.00          {element:>2}"
-    return F.format_string(fmt, serial, resname, chain, resseq, x, y, z)
+    return F.format_string(fmt, F.lit(1), resname, chain, resseq, x, y, z)
 
 
 def structure_points(spark, sf):
