@@ -85,10 +85,10 @@ def precision_at(df: DataFrame, score: str, label: str, by: list[str], order: li
         "sqrt": F.bround(F.sqrt(n * 2.0)),
         "frac": F.floor(F.lit(frac) * F.floor((1.0 + F.sqrt(1.0 + 8.0 * n)) / 2.0)),
     }[k_rule]
-    sizes = sizes.withColumn("k", F.least(F.greatest(k, F.lit(1)), n).cast("long"))
+    sizes = sizes.select(*by, F.least(F.greatest(k, F.lit(1)), n).cast("long").alias("_k"))
     placed = ranked(df.select(*by, score, label, *[c for c in _names(order) if c not in (*by, score, label)]), by, [F.desc(score), *order], "_rank")
-    return (placed.join(sizes, by).where(F.col("_rank") <= F.col("k"))
-            .groupBy(*by, "k").agg(F.avg(F.col(label).cast("double")).alias("precision")))
+    return (placed.join(sizes, by).where(F.col("_rank") <= F.col("_k"))
+            .groupBy(*by, F.col("_k").alias("k")).agg(F.avg(F.col(label).cast("double")).alias("precision")))
 
 
 def _names(order: list) -> list[str]:
@@ -118,14 +118,16 @@ def combined_metrics(df: DataFrame, err1: str, err2: str, by: list[str] = []) ->
     return agg.select(*by, "mse", F.sqrt("mse").alias("rmse"), "mae", "n")
 
 
-def _guarded_corr(x: Column, y: Column, missing: float) -> Column:
-    usable = (F.count(F.lit(1)) >= 2) & (F.stddev_pop(x) > 1e-8) & (F.stddev_pop(y) > 1e-8)
-    return F.when(usable, F.corr(x, y)).otherwise(missing)
+def guarded_corr(x: Column, y: Column, missing: float = float("nan")) -> Column:
+    """Correlation aggregate; Spark's own fails on a constant side under ANSI rules."""
+    sx, sy = F.stddev_pop(x), F.stddev_pop(y)
+    usable = (F.count(F.lit(1)) >= 2) & (sx > 1e-8) & (sy > 1e-8)
+    return F.when(usable, F.try_divide(F.covar_pop(x, y), sx * sy)).otherwise(missing)
 
 
 def safe_pearson(df: DataFrame, x: str, y: str, by: list[str] = [], missing: float = float("nan")) -> DataFrame:
     """Pearson correlation, or ``missing`` below two rows or for a constant side."""
-    return df.groupBy(*by).agg(_guarded_corr(F.col(x).cast("double"), F.col(y).cast("double"), missing).alias("pearson"))
+    return df.groupBy(*by).agg(guarded_corr(F.col(x).cast("double"), F.col(y).cast("double"), missing).alias("pearson"))
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str] = [], ties: str = "average", ord_col: str | None = None,
@@ -134,7 +136,7 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str] = [], ties: str = "ave
     if ties == "ordinal":
         rx = ranked(df.select(*by, x, y, ord_col), by, [F.col(x), F.col(ord_col)], "_rx")
         both = ranked(rx, by, [F.col(y), F.col(ord_col)], "_ry")
-        return both.groupBy(*by).agg(_guarded_corr(F.col("_rx").cast("double"), F.col("_ry").cast("double"), missing).alias("spearman"))
+        return both.groupBy(*by).agg(guarded_corr(F.col("_rx").cast("double"), F.col("_ry").cast("double"), missing).alias("spearman"))
     # Equal (x, y) rows are counted first; ranks of distinct values are joined back, salted for hot values.
     cells = df.groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("_c"))
     rx = value_ranks(cells, by, x, F.col("_c")).select(*by, x, F.col("avg_rank").alias("_rx"))

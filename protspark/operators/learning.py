@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from protspark.functions.columns import content_key
 from protspark.functions.vectors import as_double, dot, project
+from protspark.operators.evaluation import guarded_corr
 
 
 def scale(df: DataFrame, vec: str = "features", out: str = "scaled") -> DataFrame:
@@ -41,7 +42,7 @@ def linear_grid(train: DataFrame, test: DataFrame, label: str, vec: str = "featu
     cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=judge, numFolds=folds, seed=seed, parallelism=4).fit(_vectors(train, vec))
     best = cv.bestModel
     scored = best.transform(_vectors(test, vec))
-    return scored.agg(F.avg((F.col(label) - F.col("prediction")) ** 2).alias("mse"), F.corr(label, "prediction").alias("pearson"),
+    return scored.agg(F.avg((F.col(label) - F.col("prediction")) ** 2).alias("mse"), guarded_corr(F.col(label), F.col("prediction")).alias("pearson"),
                       F.count(F.lit(1)).alias("n")).withColumns(
         {"alpha": F.lit(best.getRegParam()), "l1_ratio": F.lit(best.getElasticNetParam())})
 

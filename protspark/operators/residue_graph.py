@@ -103,7 +103,7 @@ def _solve_cg(edges: DataFrame, charged: DataFrame, eps: float, tol: float, max_
         alpha = F.when(F.col("_pap") > 0, F.col("_rz") / F.col("_pap")).otherwise(0.0)
         after = cut(step.join(scal, KEY).select(
             KEY, "idx", "d", (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("r") - alpha * F.col("ap")).alias("r"), "p", "_rz"))
-        beta = after.groupBy(KEY).agg((F.sum(F.col("r") * F.col("r") / F.col("d")) / F.max("_rz")).alias("_beta"), F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("_res"))
+        beta = after.groupBy(KEY).agg(F.try_divide(F.sum(F.col("r") * F.col("r") / F.col("d")), F.max("_rz")).alias("_beta"), F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("_res"))
         beta = cut(beta)
         v = after.join(beta, KEY).select(KEY, "idx", "d", "x", "r", (F.col("r") / F.col("d") + F.coalesce("_beta", F.lit(0.0)) * F.col("p")).alias("p"))
         if (beta.agg(F.max("_res")).first()[0] or 0.0) < tol:
@@ -185,7 +185,8 @@ def apply_scalers(vectors: DataFrame, scalers: DataFrame, vec: str = "features",
 def memory_scores(edges: DataFrame, response: DataFrame, cutoff: float = 7.0) -> DataFrame:
     """Edge memory ``q^2 / k`` with ``k = 1/d^2`` for pairs within ``cutoff``; ``response``: graph_id, i, j, q."""
     near = edges.where(F.col("dist") <= cutoff)
-    return near.join(response, [KEY, "i", "j"]).withColumn("k", 1 / (F.col("dist") * F.col("dist"))).withColumn("memory", F.col("q") ** 2 / F.col("k"))
+    return near.join(response, [KEY, "i", "j"]).withColumns({
+        "k": F.try_divide(F.lit(1.0), F.col("dist") * F.col("dist")), "memory": F.col("q") ** 2 * F.col("dist") * F.col("dist")})
 
 
 def node_memory(edges: DataFrame) -> DataFrame:
@@ -196,7 +197,7 @@ def node_memory(edges: DataFrame) -> DataFrame:
 
 def normalize_weights(edges: DataFrame, ligand_pairs: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
     """Weights divided by ten times the graph's mean; ligand edges (weight 1) only between known nodes."""
-    scaled = with_group_stats(edges, [KEY], _m=F.avg("w")).withColumn("w", F.col("w") / (F.col("_m") * 10.0)).select(KEY, "i", "j", "w")
+    scaled = with_group_stats(edges, [KEY], _m=F.avg("w")).withColumn("w", F.try_divide(F.col("w"), F.col("_m") * 10.0)).select(KEY, "i", "j", "w")
     if ligand_pairs is None:
         return scaled
     ids = nodes.select(KEY, "idx").distinct()

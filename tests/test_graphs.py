@@ -102,6 +102,14 @@ def test_dense_and_iterative_solvers_agree(spark):
         assert abs(want.sum()) < 1e-6
 
 
+def test_uncharged_graph_stays_at_zero(spark):
+    _, df = random_graph(spark)
+    nodes = G.graph_nodes(df)
+    only_a = nodes.where("graph_id = 'a'")
+    cg = G.potentials(df, nodes, only_a.where("idx = 0"), only_a.where("idx = 6"), max_nodes=1)
+    assert {r["phi"] for r in cg.where("graph_id = 'b'").collect()} == {0.0}
+
+
 def test_sink_overrides_source(spark):
     _, df = random_graph(spark, graphs=("a",))
     nodes = G.graph_nodes(df)
