@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from protspark.functions.ordered import hot_group_rows
+from protspark.functions.ordered import hot_group_rows, ranked
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], rows_per_task: int | None = None) -> DataFrame:
@@ -58,7 +58,17 @@ def with_group_stats(df: DataFrame, by: list[str], **stats) -> DataFrame:
     return df.join(totals, by)
 
 
+GROUP_LIMIT_ROWS = 1_000  # Spark's default bound for limiting a group before the shuffle
+
+
 def first_n(df: DataFrame, by: list[str], order: list, n: int, name: str = "_rn") -> DataFrame:
-    """First ``n`` rows per group; Spark limits each group before the shuffle for a literal ``n``."""
+    """First ``n`` rows per group.
+
+    For a small literal ``n`` Spark limits each group before the shuffle. For larger ones it does not, so the
+    rank comes from ``ranked``, which splits large groups.
+    """
+    if n > GROUP_LIMIT_ROWS:
+        keys = [o if isinstance(o, Column) else F.col(o) for o in order]
+        return ranked(df, by, keys, name).where(F.col(name) <= n)
     w = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= n)

@@ -1,9 +1,11 @@
 """Idempotent keyed upserts into a property graph kept as a node and an edge table.
 
 Nodes are ``(id, labels, props)`` with ``id = label:key``; edges are ``(src, dst, type, props)``. A batch
-carries ``ord``, the order of its rows. The latest row wins per property (nodes) or per edge. Everything
-is one aggregation by key over old and new rows: partial results are combined before the shuffle, so a
-key with very many rows does not load one task.
+carries ``ord``, the order of its rows. The latest row wins per property (nodes) or per edge. An upsert is
+one aggregation by key over the batch and the rows it touches: partial results are combined before the
+shuffle, so a key with very many rows does not load one task. Rows no batch key names pass through by an
+anti join, which needs no shuffle of the stored table while the batch's keys are small enough to broadcast.
+The batch is written once to the checkpoint folder, because its keys, nodes and edges are all made from it.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from protspark.functions.columns import coalesce_nonempty, default_key, derive_pdb_id, require_key
+from protspark.functions.lineage import cut
 from protspark.schemas import ENDPOINTS, LABEL_KEYS
 
 def _no_props() -> Column:
@@ -53,24 +56,31 @@ def upsert_nodes(nodes: DataFrame, batch: DataFrame, label: str, key: str | None
     """Merge rows by key; the last row wins per property, null removes it, blank overwrites it."""
     key = key or LABEL_KEYS[label]
     cols = [c for c in batch.columns if c != "ord"]
-    return _assemble(_old_entries(nodes).unionByName(_new_entries(batch, label, key, cols)))
+    return _merge_nodes(nodes, _new_entries(cut(batch), label, key, cols))
 
 
 def _merge_nodes(nodes: DataFrame, *entries: DataFrame) -> DataFrame:
-    every = _old_entries(nodes)
-    for e in entries:
-        every = every.unionByName(e)
-    return _assemble(every)
+    new = entries[0]
+    for e in entries[1:]:
+        new = new.unionByName(e)
+    touched = new.select("id").distinct()
+    merged = _assemble(_old_entries(nodes.join(touched, "id", "left_semi")).unionByName(new))
+    return nodes.join(touched, "id", "left_anti").unionByName(merged)
 
 
 def merge_edges(edges: DataFrame, *batches: DataFrame) -> DataFrame:
     """One edge per (src, dst, type). Batches carry ``ord`` and ``props``; null ``props`` leaves old ones."""
-    every = edges.select("src", "dst", "type", "props", F.lit(-1).cast("long").alias("ord"))
+    new = None
     for b in batches:
-        every = every.unionByName(b.select("src", "dst", "type", F.col("props").cast("map<string,string>"), F.col("ord").cast("long")))
+        part = b.select("src", "dst", "type", F.col("props").cast("map<string,string>"), F.col("ord").cast("long"))
+        new = part if new is None else new.unionByName(part)
+    key = ["src", "dst", "type"]
+    touched = new.select(*key).distinct()
+    old = edges.select(*key, "props", F.lit(-1).cast("long").alias("ord")).join(touched, key, "left_semi")
     given = F.when(F.col("props").isNotNull(), F.col("ord"))
-    return (every.groupBy("src", "dst", "type").agg(F.max_by("props", given).alias("props"))
-            .withColumn("props", F.coalesce("props", _no_props())))
+    merged = (old.unionByName(new).groupBy(*key).agg(F.max_by("props", given).alias("props"))
+              .withColumn("props", F.coalesce("props", _no_props())))
+    return edges.join(touched, key, "left_anti").select(*key, "props").unionByName(merged)
 
 
 def _link(batch: DataFrame, src: Column, dst: Column, kind: str, props: Column | None = None) -> DataFrame:
@@ -95,8 +105,8 @@ def upsert_contacts(nodes: DataFrame, edges: DataFrame, batch: DataFrame, key_by
 
     By default a later model overwrites the edge of an earlier one; ``key_by_model`` keeps one per model.
     """
-    rows = require_key(batch, "uniprot_id").withColumns({
-        "model_id": F.coalesce(F.col("model_id"), F.lit("")), "contact_type": F.coalesce(F.col("contact_type"), F.lit(""))})
+    rows = cut(require_key(batch, "uniprot_id").withColumns({
+        "model_id": F.coalesce(F.col("model_id"), F.lit("")), "contact_type": F.coalesce(F.col("contact_type"), F.lit(""))}))
     uid = lambda p: F.concat_ws(":", F.col("uniprot_id"), F.col(p).cast("string"))
     protein = node_id("Protein", "uniprot_id")
     ends = [rows.select((F.col("ord") * 2 + k).alias("ord"), uid(p).alias("residue_uid"), "uniprot_id",
@@ -121,7 +131,7 @@ def upsert_assays(nodes: DataFrame, edges: DataFrame, batch: DataFrame, key_by_a
     There is one BINDS per ligand and protein and the last assay wins, unless ``key_by_assay``.
     """
     rows = default_key(batch, "assays")
-    linked = _existing(_existing(rows, nodes, "Protein", "uniprot_id"), nodes, "Ligand", "ligand_id")
+    linked = cut(_existing(_existing(rows, nodes, "Protein", "uniprot_id"), nodes, "Ligand", "ligand_id"))
     ligand, protein = node_id("Ligand", "ligand_id"), node_id("Protein", "uniprot_id")
     cols = [c for c in linked.columns if c != "ord"]
     props = _props({c: F.col(c) if c in linked.columns else F.lit(None) for c in ("metric", "units", "value", "source", "year")})
@@ -143,7 +153,7 @@ def binds_per_assay(linked: DataFrame, ligand: Column, protein: Column, props: C
 def upsert_toxicity(nodes: DataFrame, edges: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Toxicity rows whose ligand exists: the event node and HAS_TOXICITY."""
     rows = default_key(require_key(batch, "ligand_id"), "toxicity")
-    linked = _existing(rows, nodes, "Ligand", "ligand_id")
+    linked = cut(_existing(rows, nodes, "Ligand", "ligand_id"))
     cols = [c for c in linked.columns if c != "ord"]
     merged = merge_edges(edges, _link(linked, node_id("Ligand", "ligand_id"), node_id("ToxicityEvent", "tox_id"), "HAS_TOXICITY"))
     return _merge_nodes(nodes, _new_entries(linked, "ToxicityEvent", "tox_id", cols)), merged
@@ -164,7 +174,7 @@ def normalize_structures(batch: DataFrame) -> DataFrame:
 
 def upsert_structures(nodes: DataFrame, edges: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The structure node always; HAS_STRUCTURE from each partner that exists."""
-    rows = normalize_structures(batch)
+    rows = cut(normalize_structures(batch))
     cols = [c for c in rows.columns if c != "ord"]
     links = [_link(_existing(rows, nodes, label, key), node_id(label, key), node_id("Structure", "structure_id"), "HAS_STRUCTURE")
              for key, label in PARTNERS.items() if key in rows.columns]
