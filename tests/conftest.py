@@ -13,6 +13,7 @@ def spark():
 
     s = local_session("tests", cpus="4", memory="6g")
     s.sparkContext.setLogLevel("ERROR")
+    s.conf.set("spark.sql.shuffle.partitions", "3")  # tiny tables
     return s
 
 
