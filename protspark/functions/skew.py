@@ -52,6 +52,14 @@ def pair_join(df: DataFrame, by: list[str], pos: str, cols: list[str], block: in
     return left.join(right, [*by, "_bi", "_bj"]).where(F.col(f"{pos}_i") < F.col(f"{pos}_j")).drop("_bi", "_bj")
 
 
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Hash rows over all shuffle partitions before a step that makes very many rows, or much work, of each.
+
+    The number is given, because adaptive execution would merge partitions that are still small.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+
+
 def with_group_stats(df: DataFrame, by: list[str], **stats) -> DataFrame:
     """Add group aggregates by aggregate-then-join: combined before the shuffle, unlike a window."""
     totals = df.groupBy(*by).agg(*[c.alias(n) for n, c in stats.items()])

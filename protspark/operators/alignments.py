@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from protspark.functions.columns import parse_subject
-from protspark.functions.skew import first_n, pair_join
+from protspark.functions.skew import first_n, pair_join, spread
 from protspark.operators.geometry import AXES, distance, located
 from protspark.schemas import DISTANCE_EDGES
 
@@ -126,8 +126,7 @@ def _align(a: str, b: str, scheme: tuple[float, float, float, float]) -> tuple[s
 def align_pairs(pairs: DataFrame, key: list[str], scheme: str = "canonical", query: str = "query", target: str = "target") -> DataFrame:
     """Global alignment of each row's two sequences: ``(key, qaln, taln, score, query_len)``.
 
-    One row is one alignment, so Spark spreads the pairs; the rows are repartitioned first because few
-    input rows can mean much work.
+    One row is one alignment; the rows are spread first, because few of them can mean much work.
     """
     fields = ", ".join(f"{k} {pairs.schema[k].dataType.simpleString()}" for k in key)
     params = SCHEMES[scheme]
@@ -141,7 +140,7 @@ def align_pairs(pairs: DataFrame, key: list[str], scheme: str = "canonical", que
             yield out
 
     rows = pairs.where(F.col(query).isNotNull() & F.col(target).isNotNull()).select(*key, query, target)
-    return rows.repartition(*key).mapInPandas(run, f"{fields}, qaln string, taln string, score double, query_len int")
+    return spread(rows, *key).mapInPandas(run, f"{fields}, qaln string, taln string, score double, query_len int")
 
 
 # ---- template priors -------------------------------------------------------------------------------

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from protspark.functions.lineage import cut
-from protspark.functions.skew import first_n
+from protspark.functions.skew import first_n, spread
 from protspark.schemas import AMINO_ACIDS
 
 GAP = "-"
@@ -89,9 +89,8 @@ def column_mi(msa: DataFrame, min_depth: int = 10, max_len: int | None = None) -
     shape = msa.groupBy("msa_id").agg(F.count(F.lit(1)).alias("_d"), F.min_by(F.length("seq"), "row_id").alias("_l"))
     fit = shape.where(F.col("_d") >= min_depth)
     fit = fit.where(F.col("_l") <= max_len) if max_len else fit
-    chars = (msa.join(fit.select("msa_id"), "msa_id", "left_semi")
-             # Few rows make very many pairs: spread the rows before they grow.
-             .repartition("msa_id", "row_id")
+    # Few rows make very many pairs: spread the rows before they grow.
+    chars = (spread(msa.join(fit.select("msa_id"), "msa_id", "left_semi"), "msa_id", "row_id")
              .select("msa_id", F.filter(F.split("seq", ""), lambda c: c != "").alias("s")))
     left = chars.select("msa_id", "s", F.posexplode("s").alias("a", "ca")).where(F.col("ca").isin(LETTERS) & (F.col("a") + 1 < F.size("s")))
     pairs = (left.select("msa_id", "a", "ca", F.posexplode(F.expr("slice(s, a + 2, size(s))")).alias("k", "cb"))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from protspark.functions.lineage import cut
-from protspark.functions.skew import with_group_stats
+from protspark.functions.skew import spread, with_group_stats
 from protspark.operators.geometry import knn_graph
 
 KEY = "graph_id"
@@ -84,7 +84,7 @@ def _solve_dense(edges: DataFrame, charged: DataFrame, eps: float) -> DataFrame:
                 phi.append(np.linalg.solve(mat, b[order]))
             yield pd.DataFrame({KEY: keys, "idx": np.concatenate(idx) if idx else [], "phi": np.concatenate(phi) if phi else []})
 
-    return packed.select(KEY, "idx", "b", "i", "j", "w").mapInPandas(solve, f"{KEY} {key_type}, idx long, phi double")
+    return spread(packed.select(KEY, "idx", "b", "i", "j", "w"), KEY).mapInPandas(solve, f"{KEY} {key_type}, idx long, phi double")
 
 
 def _solve_cg(edges: DataFrame, charged: DataFrame, eps: float, tol: float, max_iter: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from protspark.functions.columns import sigmoid
+from protspark.functions.skew import spread
 from protspark.schemas import AMINO_ACIDS
 
 
@@ -59,7 +60,7 @@ def mutate_table(wild_types: DataFrame, mutations: DataFrame) -> DataFrame:
 def scan_space(seqs: DataFrame, with_sequences: bool = True) -> DataFrame:
     """Every position times the 19 other letters: ``(graph_id, pos, wt, mut[, seq_before, seq_after])``."""
     # A sequence grows to 19 L rows: spread the sequences first.
-    chars = seqs.repartition("graph_id").select("graph_id", "seq", F.posexplode(F.filter(F.split("seq", ""), lambda c: c != "")).alias("pos", "wt"))
+    chars = spread(seqs, "graph_id").select("graph_id", "seq", F.posexplode(F.filter(F.split("seq", ""), lambda c: c != "")).alias("pos", "wt"))
     rows = chars.select("graph_id", "seq", "pos", "wt", F.explode(_letters_but(F.col("wt"))).alias("mut"))
     if not with_sequences:
         return rows.drop("seq")
