@@ -14,6 +14,7 @@ def local_session(name: str = "protspark", cpus: str | None = None, memory: str
             .config("spark.sql.adaptive.enabled", "true")
             .config("spark.sql.session.timeZone", "UTC")
             .config("spark.driver.memory", memory)
+            .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
             .config("spark.ui.enabled", "false")
             .config("spark.ui.showConsoleProgress", "false")
             .config("spark.sql.execution.arrow.pyspark.enabled", "true")
