@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from protspark.llm import byte_index
+from protspark.llm import byte_index, credentials, divergence, wavelet
 from protspark.llm.common import table
 
 QUERIES: dict = {}
@@ -20,6 +20,21 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+@query("op1_distribution_divergence")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.quality_rules(table(spark, sf_dir, "documents"))
+
+
+@query("op3_credential_linking")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op4_wavelet_matrix")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.encode_documents(table(spark, sf_dir, "documents"))
+
+
 @query("op9_byte_position_index")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_index.near_duplicates(table(spark, sf_dir, "documents"))
