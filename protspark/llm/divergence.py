@@ -14,6 +14,7 @@ from collections import Counter, defaultdict
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from protspark.functions.lineage import cut
 from protspark.llm.common import WORD, map_batches
 
 #: Parameters of the method.
@@ -95,7 +96,7 @@ def references(docs: DataFrame) -> dict[str, dict]:
         return step
 
     counts = map_batches(docs.select(F.col("lang").cast("string"), "text"), "lang string, item string, n long", start, rows=4096)
-    counts = counts.groupBy("lang", "item").agg(F.sum("n").alias("n"))
+    counts = cut(counts.groupBy("lang", "item").agg(F.sum("n").alias("n")))
     first = F.row_number().over(_by_count()) <= COMMON_WORDS
     words = counts.where(F.col("item").startswith("w")).select("*", first.alias("top")).where("top").drop("top")
     out: dict[str, dict] = {}

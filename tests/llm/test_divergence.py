@@ -47,7 +47,7 @@ def test_rules(spark):
     for r in D.quality_rules(df).collect():
         got.setdefault(r.doc_id, []).append(r)
     assert all(r.kept for k in range(60) for r in got[k]) and len(got[1]) == 2 and got[1][0] == got[1][1]
-    assert not got[100][0].kept and not got[100][0].base_failed and not got[101][0].kept
+    assert not got[100][0].kept and not got[101][0].kept and got[100][0].class_distance > D.MAX_CLASS_DISTANCE
     assert got[102][0].base_failed and got[103][0].base_failed and got[104][0].base_failed and got[107][0].base_failed
     assert got[103][0].n_words == 0 and got[103][0].class_distance is None
     assert got[105][0].kept and got[None][0].kept and got[108][0].n_words == 90_000 and got[106][0].class_distance == 0
