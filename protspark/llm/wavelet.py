@@ -123,57 +123,82 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+class _Runs(dict):
+    """Bytes of the ids of a run of letters behind ``before``, which is always one piece for the library's model."""
+
+    def __init__(self, library, kind, before: str):
+        super().__init__()
+        self.model, self.cut, self.kind, self.before = library.model, library.pre_tokenizer.pre_tokenize_str, kind, before
+        self.lead = self.cut(before + "a")[0][0][:-1]
+
+    def __missing__(self, run: str) -> bytes:
+        piece = self.lead + run if run.isascii() else self.cut(self.before + run)[0][0]
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        self[run] = out = np.array([x.id for x in self.model.tokenize(piece)], self.kind).tobytes()
+        return out
+
+
+class _Words(dict):
+    """Bytes of the ids of ``before`` (a space or nothing) and a word."""
+    LETTERS_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
+    def __init__(self, library, kind, before: str):
+        super().__init__()
+        self.before = before
+        self.whole = lambda text: np.array(library.encode(text, add_special_tokens=False).ids, kind).tobytes()
+        self.runs, self.marks, self.line_end = _Runs(library, kind, before), {"": b""}, self.whole("\n")
+        self.bare = _Words(library, kind, "") if before else None
+
+    def __missing__(self, word: str) -> bytes:
+        m = self.LETTERS_MARKS.fullmatch(word)
+        if m:
+            run, mark = m.groups()
+            if mark not in self.marks:
+                if len(self.marks) > CACHE_WORDS:
+                    self.marks = {"": b""}
+                self.marks[mark] = self.whole(mark)
+            out = self.runs[run] + self.marks[mark]
+        elif self.bare is not None and len(lines := word.split("\n")) > 1 and lines == word.split():
+            return self.line_end.join([self[lines[0]], *[self.bare[x] for x in lines[1:]]])
+        else:
+            out = self.whole(self.before + word)
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        self[word] = out
+        return out
+
+
 class Encoder:
     """Ids of whole texts, equal to the library's, with a bounded cache of pieces.
 
     The byte-level pre-tokenizer always cuts before a single space between two other characters, so pieces between
-    such spaces are encoded apart; it also cuts between a run of letters and the marks behind it. Texts where a
-    space touches other white space, and texts that hold an added token, go to the library whole.
+    such spaces are encoded apart; it also cuts around a single line end and between a run of letters and the marks
+    behind it. Texts where a space touches other white space, and texts that hold an added token, go to the library whole.
     """
-    AROUND = re.compile(r" \s|\s |[\x1c-\x1f\x85]")
-    LETTERS_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
+    AROUND = re.compile(r" \s|\s |[\x1c-\x1f\x85\u180e\u200b]")
 
     def __init__(self, path: str):
         self.library = _tokenizer(path)
-        self.added = list(self.library.get_added_tokens_decoder().values())
+        self.added = [a.content for a in self.library.get_added_tokens_decoder().values()]
         self.width = max(1, (self.library.get_vocab_size() - 1).bit_length())
         self.kind = np.uint16 if self.width <= 16 else np.uint32
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _fill(self, missing: set[str]) -> None:
-        split, need = {}, set()
-        for w in missing:
-            m = self.LETTERS_MARKS.fullmatch(w)
-            split[w] = pieces = (" " + m[1], m[2]) if m else (" " + w,)
-            need.update(p for p in pieces if p not in self.parts)
-        need = list(need)
-        self.parts.update(zip(need, self._library(need)))
-        self.words.update((w, b"".join([self.parts[p] for p in pieces])) for w, pieces in split.items())
+        self.words = _Words(self.library, self.kind, " ")
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        if len(self.parts) > CACHE_WORDS:
-            self.parts.clear()
-        whole, pieces = [], {}
-        for k, t in enumerate(texts):
-            if not t or t[0].isspace() or t[-1].isspace() or self.AROUND.search(t) or any(a.content in t for a in self.added):
-                whole.append(k)
-            else:
-                pieces[k] = t.split(" ")
-        out: dict[int, bytes] = dict(zip(whole, self._library([texts[k] for k in whole])))
-        missing: set[str] = set()
-        for p in pieces.values():
-            missing.update(p[1:])
-        self._fill({w for w in missing if w not in self.words})
-        firsts = self._library([p[0] for p in pieces.values()])
-        for (k, p), first in zip(pieces.items(), firsts):
-            out[k] = first + b"".join(map(self.words.__getitem__, p[1:]))
-        return [out[k] for k in range(len(texts))]
+        return [self.one(t) for t in texts]
+
+    def one(self, t: str) -> bytes:
+        if not t or t[0].isspace() or t[-1].isspace() or self.AROUND.search(t) or any(a in t for a in self.added):
+            return self.words.whole(t)
+        first, *rest = t.split(" ")
+        return self.words.whole(first) + b"".join(map(self.words.__getitem__, rest))
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One encoder per worker process, so its cache outlives a task."""
+    return Encoder(path)
 
 
 SHARD = ("partition int, shard int, first long, n long, doc_ids binary, doc_starts binary, "
@@ -182,7 +207,7 @@ SHARD = ("partition int, shard int, first long, n long, doc_ids binary, doc_star
 
 class _Writer:
     def __init__(self, path: str, shard_tokens: int):
-        self.encode, self.limit = Encoder(path), shard_tokens
+        self.encode, self.limit = encoder(path), shard_tokens
         self.part = self.ids = self.held = None
         self.first = self.shard = 0
         self._clear()

@@ -30,7 +30,7 @@ def test_matrix():
 
 def test_encoder_equals_library(library):
     rng = random.Random(4)
-    bits = ["the", "house", "é", "Ünder", "'s", "don't", "x_y", "12", "3.5", " ", " ", " ", "  ", "\n", "\t", "!!", "...", "<|endoftext|>", "\x85", "\x1c", "日本", "ß,", "a-b", "'", " ", "　", "ª", "²"]
+    bits = ["the", "house", "é", "Ünder", "'s", "don't", "x_y", "12", "3.5", " ", " ", " ", "  ", "\n", "\t", "!!", "...", "<|endoftext|>", "\x85", "\x1c", "日本", "ß,", "a-b", "'", " ", "　", "ª", "²", "\n", "a\nb", "x.\nÉ"]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 25))) for _ in range(4_000)]
     encode = W.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
     for k in range(0, len(texts), 500):
