@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from protspark.llm import byte_index, credentials, divergence, wavelet
+from protspark.llm import byte_index, credentials, divergence, fair_mix, wavelet
 from protspark.llm.common import table
 
 QUERIES: dict = {}
@@ -35,6 +35,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.encode_documents(table(spark, sf_dir, "documents"))
 
 
+@query("op5_weighted_fair_queueing", fair_mix.SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fair_mix.mix_table(table(spark, sf_dir, "documents"))
+
+
 @query("op9_byte_position_index")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_index.near_duplicates(table(spark, sf_dir, "documents"))
