@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from protspark.llm import byte_index, credentials, divergence, fair_mix, wavelet
+from protspark.llm import byte_index, credentials, decontaminate, divergence, fair_mix, wavelet
 from protspark.llm.common import table
 
 QUERIES: dict = {}
@@ -25,6 +25,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.quality_rules(table(spark, sf_dir, "documents"))
 
 
+@query("op2_simhash_windows", decontaminate.SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op3_credential_linking")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.scan(table(spark, sf_dir, "documents"))
