@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from protspark.llm import byte_index, credentials, decontaminate, divergence, fair_mix, wavelet
+from protspark.llm import byte_index, credentials, decontaminate, divergence, fair_mix, superkmers, wavelet
 from protspark.llm.common import table
 
 QUERIES: dict = {}
@@ -45,6 +45,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fair_mix.mix_table(table(spark, sf_dir, "documents"))
 
 
+@query("op7_super_kmers", superkmers.SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superkmers.repeated_words(table(spark, sf_dir, "documents"))
+
+
 @query("op9_byte_position_index")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_index.near_duplicates(table(spark, sf_dir, "documents"))
