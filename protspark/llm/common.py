@@ -8,7 +8,6 @@ any name do no harm. Rows that are equal in id and text get equal results.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -59,11 +58,7 @@ def map_batches(df: DataFrame, schema: str, start: Callable[[], Callable], rows:
     return df.mapInArrow(run, schema)
 
 
-def crc_of(doc_id: int | None) -> int:
-    """crc32 of the id as text; null counts as empty text."""
-    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
-
-
-def id_remainder(name: str, mod: int) -> Column:
+def id_remainder(doc_id: str | Column, mod: int) -> Column:
     """crc32 of the id as decimal text, modulo ``mod``; null counts as empty text."""
-    return F.pmod(F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")), F.lit(mod)).cast("int")
+    c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+    return F.pmod(F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")), F.lit(mod)).cast("int")

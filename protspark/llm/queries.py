@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from protspark.llm import byte_index, credentials, decontaminate, divergence, fair_mix, superkmers, wavelet
+from protspark.llm import byte_index, centroids, credentials, decontaminate, divergence, fair_mix, nbsvm, superkmers, wavelet
 from protspark.llm.common import table
 
 QUERIES: dict = {}
@@ -50,6 +50,16 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superkmers.repeated_words(table(spark, sf_dir, "documents"))
 
 
+@query("op8_nearest_centroid")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.languages(table(spark, sf_dir, "documents"))
+
+
 @query("op9_byte_position_index")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_index.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op10_nb_support_vectors")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbsvm.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
