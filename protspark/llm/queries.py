@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from protspark.llm import byte_index, centroids, credentials, decontaminate, divergence, fair_mix, nbsvm, superkmers, wavelet
+from protspark.llm import byte_index, centroids, credentials, decontaminate, deobfuscate, divergence, fair_mix, nbsvm, superkmers, wavelet
 from protspark.llm.common import table
 
 QUERIES: dict = {}
@@ -45,6 +45,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fair_mix.mix_table(table(spark, sf_dir, "documents"))
 
 
+@query("op6_noisy_channel")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deobfuscate.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op7_super_kmers", superkmers.SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superkmers.repeated_words(table(spark, sf_dir, "documents"))
