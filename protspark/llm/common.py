@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DataType
 
+from protspark.functions.lineage import shared_folder
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WORD_BYTES = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWEST = -(2**63)
@@ -34,6 +36,16 @@ def id_of(name: str) -> Column:
     return F.when(F.col(name) != LOWEST, F.col(name))
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Like a checkpoint, but as compressed columns: for tables with texts. Deleted when the session's JVM ends."""
+    spark = df.sparkSession
+    folder = shared_folder(spark, name)
+    df.write.option("compression", "zstd").parquet(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def map_batches(df: DataFrame, schema: str, start: Callable[[], Callable], rows: int = 512) -> DataFrame:
     """Apply ``start()(*columns)`` to slices of at most ``rows`` rows; lists in, lists (or arrays) out.
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from protspark.functions.lineage import cut
-from protspark.llm.common import WORD_BYTES, id_of, key_of, map_batches
+from protspark.llm.common import WORD_BYTES, id_of, key_of, map_batches, stored
 
 WINDOW = 50
 RUN = 8
@@ -91,9 +91,13 @@ def _skeletons(docs: DataFrame, window: int, run: int) -> DataFrame:
 
 def _candidates(skeletons: DataFrame) -> DataFrame:
     """(key, th, mers): super-k-mers whose minimiser occurs in two documents or more."""
-    mers = skeletons.select("key", "th", F.explode(F.arrays_zip("ms", "ss", "ns")).alias("x")).select("key", "th", F.col("x.ms").alias("m"), F.col("x.ss").alias("s"), F.col("x.ns").alias("n"))
+    place = lambda x: F.shiftleft(x["ss"].cast("long"), 8) + x["ns"]
+    mers = (skeletons.select("row", "key", F.explode(F.arrays_zip("ms", "ss", "ns")).alias("x"))
+            .select("row", "key", F.col("x.ms").alias("m"), place(F.col("x")).alias("sn")))
     shared = mers.groupBy("m").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("m")
-    return mers.join(shared, "m", "left_semi").groupBy("key", "th").agg(F.collect_set(F.struct("m", "s", "n")).alias("mers"))
+    own = mers.drop("key").join(shared, "m", "left_semi").groupBy("row").agg(F.collect_list(F.struct("m", "sn")).alias("mers"))
+    unpacked = F.transform("mers", lambda x: F.struct(x["m"].alias("m"), F.shiftright(x["sn"], 8).cast("int").alias("s"), x["sn"].bitwiseAND(F.lit(255)).cast("int").alias("n")))
+    return skeletons.select("row", "key", "th").join(own, "row").select("key", "th", unpacked.alias("mers")).dropDuplicates(["key", "th"])
 
 
 def _packed(texts: DataFrame, window: int) -> DataFrame:
@@ -173,13 +177,13 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, run: int = RUN, slice_
     shorter than a window, lose nothing. Rows with one id are one document with several texts and never remove from
     each other; repeated rows get equal results. A null id is the smallest.
     """
-    rows = cut(_skeletons(docs, window, run))
+    rows = cut(_skeletons(docs, window, run)).withColumn("row", F.monotonically_increasing_id())
     mers = _candidates(rows)
     texts = docs.select(key_of().alias("key"), F.xxhash64("text").alias("th"), "text")
-    texts = cut(texts.join(mers, ["key", "th"]).dropDuplicates(["key", "th"]))
+    texts = stored(texts.join(mers, ["key", "th"]).dropDuplicates(["key", "th"]), "candidate-texts")
     packed = _packed(texts, window)
     # a string's id is a 128-bit digest, with the bucket in it
-    named = cut(packed.withColumn("id", F.struct(F.xxhash64("m", "packed").alias("a"), F.conv(F.substring(F.md5("packed"), 1, 15), 16, 10).cast("long").alias("b"))))
+    named = stored(packed.withColumn("id", F.struct(F.xxhash64("m", "packed").alias("a"), F.conv(F.substring(F.md5("packed"), 1, 15), 16, 10).cast("long").alias("b"))), "super-k-mers")
     strings = named.groupBy("m", "id").agg(F.min("key").alias("first"), F.any_value("packed").alias("packed"))
     least = _least(strings, window, slice_strings)
     hits = named.select("id", "key", "th", "s").join(least, "id")
