@@ -29,7 +29,9 @@ def roc_auc(df: DataFrame, score: str, label: str, by: list[str] = [], curve: Da
     c = curve if curve is not None else score_curve(df, score, label, by)
     neg = F.col("n") - F.col("pos")
     # Positives strictly above, plus half of those at the same score, for each negative.
-    wins = neg * (F.col("tp") - F.col("pos")) + neg * F.col("pos") / 2
+    # As doubles: a product of two counts leaves the range of a long at a few billion rows.
+    pos, lost = F.col("pos").cast("double"), neg.cast("double")
+    wins = lost * (F.col("tp") - F.col("pos")) + lost * pos / 2
     agg = c.groupBy(*by).agg(F.sum(wins).alias("_w"), F.sum("pos").alias("_p"), F.sum(neg).alias("_n"))
     both = (F.col("_p") > 0) & (F.col("_n") > 0)
     return agg.select(*by, F.when(both, F.col("_w") / F.col("_p") / F.col("_n")).otherwise(float("nan")).alias("auc"))
@@ -38,7 +40,7 @@ def roc_auc(df: DataFrame, score: str, label: str, by: list[str] = [], curve: Da
 def average_precision(df: DataFrame, score: str, label: str, by: list[str] = [], curve: DataFrame | None = None) -> DataFrame:
     """Sum of precision times recall step over distinct thresholds; 0 without positives."""
     c = curve if curve is not None else score_curve(df, score, label, by)
-    agg = c.groupBy(*by).agg(F.sum(F.col("pos") * F.col("tp") / F.col("seen")).alias("_s"), F.sum("pos").alias("_p"))
+    agg = c.groupBy(*by).agg(F.sum(F.col("pos").cast("double") * F.col("tp") / F.col("seen")).alias("_s"), F.sum("pos").alias("_p"))
     return agg.select(*by, F.when(F.col("_p") > 0, F.col("_s") / F.col("_p")).otherwise(0.0).alias("ap"))
 
 

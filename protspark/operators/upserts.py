@@ -35,21 +35,22 @@ def empty_edges(spark) -> DataFrame:
 
 
 def _old_entries(nodes: DataFrame) -> DataFrame:
-    return nodes.select("id", F.element_at("labels", 1).alias("label"), F.lit(-1).cast("long").alias("ord"), F.explode("props").alias("k", "v"))
+    return nodes.select("id", "labels", F.lit(-1).cast("long").alias("ord"), F.explode("props").alias("k", "v"))
 
 
 def _new_entries(batch: DataFrame, label: str, key: str, cols: list[str]) -> DataFrame:
     entries = F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v")) for c in cols])
-    return (batch.select(node_id(label, key).alias("id"), F.lit(label).alias("label"), F.col("ord").cast("long").alias("ord"), F.explode(entries).alias("e"))
-            .select("id", "label", "ord", "e.k", "e.v"))
+    return (batch.select(node_id(label, key).alias("id"), F.array(F.lit(label)).alias("labels"), F.col("ord").cast("long").alias("ord"), F.explode(entries).alias("e"))
+            .select("id", "labels", "ord", "e.k", "e.v"))
 
 
 def _assemble(entries: DataFrame) -> DataFrame:
-    """Last value per (node, property); null removes the property."""
-    last = entries.groupBy("id", "label", "k").agg(F.max_by("v", "ord").alias("v")).where(F.col("v").isNotNull())
-    # One entry per property name, so a node's list is as short as its column list.
-    return last.groupBy("id", "label").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("props")).select(
-        "id", F.array("label").alias("labels"), "props")
+    """Last value per (node, property); null removes the property. A node keeps all labels it ever had, sorted."""
+    last = entries.groupBy("id", "k").agg(F.max_by("v", "ord").alias("v"), F.flatten(F.collect_set("labels")).alias("ls"))
+    # One entry per property name, so a node's lists are as short as its column list.
+    entry = F.when(F.col("v").isNotNull(), F.struct("k", "v"))
+    nodes = last.groupBy("id").agg(F.array_sort(F.collect_list(entry)).alias("kv"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ls")))).alias("labels"))
+    return nodes.where(F.size("kv") > 0).select("id", "labels", F.map_from_entries("kv").alias("props"))
 
 
 def upsert_nodes(nodes: DataFrame, batch: DataFrame, label: str, key: str | None = None) -> DataFrame:

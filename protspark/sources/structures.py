@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from protspark.functions.columns import aa3_to_aa1
-from protspark.functions.skew import first_n
 from protspark.sources.files import read_lines, stem
 
 WATER = ["HOH", "WAT", "H2O", "DOD"]
@@ -88,7 +87,7 @@ def read_atoms(spark: SparkSession, root: str) -> DataFrame:
     return both.select(stem().alias("model_id"), "*").drop("path")
 
 
-def residues_of(atoms: DataFrame, atom: str = "CA") -> DataFrame:
+def residues_of(atoms: DataFrame, atom: str = "CA", keep_order: bool = False) -> DataFrame:
     """Amino-acid residues with one coordinate each; ``idx`` counts them per chain in file order.
 
     ``atom="CB"`` takes the beta carbon, and the alpha carbon for glycine. Of alternative locations the
@@ -104,11 +103,12 @@ def residues_of(atoms: DataFrame, atom: str = "CA") -> DataFrame:
                 .agg(F.min("ord").alias("ord"), F.min_by(F.when(chosen, F.struct("x", "y", "z")), F.when(chosen, best)).alias("p")))
     # A chain is bounded by the format (four-digit residue numbers), so its window is too.
     w = Window.partitionBy("model_id", "chain").orderBy("ord")
-    return residues.select(*key, "aa", "p.x", "p.y", "p.z", (F.row_number().over(w) - 1).alias("idx"))
+    order = ["ord"] if keep_order else []
+    return residues.select(*key, "aa", "p.x", "p.y", "p.z", (F.row_number().over(w) - 1).alias("idx"), *order)
 
 
-def read_residues(spark: SparkSession, root: str, atom: str = "CA") -> DataFrame:
-    return residues_of(read_atoms(spark, root), atom)
+def read_residues(spark: SparkSession, root: str, atom: str = "CA", keep_order: bool = False) -> DataFrame:
+    return residues_of(read_atoms(spark, root), atom, keep_order)
 
 
 def read_pdb_ca(spark: SparkSession, path: str) -> DataFrame:
@@ -145,16 +145,17 @@ def choose_chain(residues: DataFrame, policy: str = "longest", requested: str |
     """Rows of the chosen chain(s) per model.
 
     ``longest`` by residue count, ``first`` by first appearance, ``requested`` else first, or ``all``
-    chains with at least ``min_residues``. Ties go to the chain name.
+    chains with at least ``min_residues``. Ties go to the first in the file if residues carry ``ord``, then to the chain name.
     """
-    chains = residues.groupBy("model_id", "chain").agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("first_idx"))
+    seen = F.min("ord") if "ord" in residues.columns else F.lit(0)
+    chains = residues.groupBy("model_id", "chain").agg(F.count(F.lit(1)).alias("n"), seen.alias("seen"))
     if policy == "all":
         keep = chains.where(F.col("n") >= min_residues)
     else:
         order = {
-            "longest": F.struct((-F.col("n")).alias("a"), F.col("chain").alias("b")),
-            "first": F.struct(F.lit(0).alias("a"), F.col("chain").alias("b")),
-            "requested": F.struct(F.when(F.col("chain") == F.lit(requested), 0).otherwise(1).alias("a"), F.col("chain").alias("b")),
+            "longest": F.struct((-F.col("n")).alias("a"), "seen", "chain"),
+            "first": F.struct(F.lit(0).alias("a"), "seen", "chain"),
+            "requested": F.struct(F.when(F.col("chain") == F.lit(requested), 0).otherwise(1).alias("a"), "seen", "chain"),
         }[policy]
         keep = chains.groupBy("model_id").agg(F.min_by("chain", order).alias("chain"))
     return residues.join(keep.select("model_id", "chain"), ["model_id", "chain"], "left_semi")
@@ -179,8 +180,3 @@ def chain_report(sequences: DataFrame) -> DataFrame:
     """One row per structure with a ``chain -> (sequence, n_res)`` map."""
     entry = F.when(F.col("chain").isNotNull(), F.struct("chain", F.struct("sequence", "n_res")))
     return sequences.groupBy("model_id").agg(F.map_from_entries(F.collect_list(entry)).alias("chains"), F.max("error").alias("error"))
-
-
-def atom_sequence_first_n(residues: DataFrame, n: int) -> DataFrame:
-    """First ``n`` residues of each chain."""
-    return first_n(residues, ["model_id", "chain"], ["idx"], n).drop("_rn")
