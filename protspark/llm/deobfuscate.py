@@ -15,7 +15,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections import defaultdict
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -50,6 +49,7 @@ for _c, _k in CODES.items():
 
 _L = r"[^\W\d_]"
 SPACED = re.compile(rf"(?<![^\W_])(?:{_L}([ .\-_*])(?={_L}(?:\1|(?![^\W_])))){{2,}}{_L}(?![^\W_])")
+LONE = re.compile(r"(?<!\S)\S \S \S(?!\S)")
 LOOKALIKE = re.compile(rf"(?<!\S)(?=\S*{_L})[\w@$!|+€]*[0-9@$!|+€]{_L}[\w@$!|+€]*")
 REPEATED = re.compile(rf"(?<!\S)\w*({_L})\1\1\w*")
 EDGES = ".,;:?\"'()[]{}#*%&<>"
@@ -130,52 +130,65 @@ def language_model(docs: DataFrame) -> LanguageModel:
 
 
 class Restorer:
-    """Words of a text and the restored forms of its suspicious tokens."""
+    """Restored forms of suspicious words, and of letters set apart by spaces."""
 
     def __init__(self, model: LanguageModel):
-        self.restore = lru_cache(maxsize=50_000)(model.restore)
+        self.model = model
 
-    def extra(self, text: str) -> list[str]:
-        out = []
-        for m in SPACED.finditer(text):
-            out.append(self.restore(m.group()))
+    def word(self, word: str) -> list[str]:
+        out = [self.model.restore(m.group()) for m in SPACED.finditer(word)]
         for pattern in (LOOKALIKE, REPEATED):
-            for m in pattern.finditer(text):
+            for m in pattern.finditer(word):
                 token = m.group().rstrip("!|+$@")
-                letters = sum(c.isalpha() for c in token)
-                if letters * 3 >= len(token) > 2:
-                    out.append(self.restore(token))
+                if sum(c.isalpha() for c in token) * 3 >= len(token) > 2:
+                    out.append(self.model.restore(token))
         return out
 
+    def apart(self, text: str) -> list[str]:
+        return [self.model.restore(m.group()) for m in SPACED.finditer(text)] if LONE.search(text) else []
+
 
 def beginnings(word: str) -> list[str]:
     w = word.strip(EDGES + "!|+$@").lower() + "$"
     return [w[:n] for n in BEGINNINGS if len(w) >= n]
 
 
+class _Parts(dict):
+    """Hash of a word and all beginnings of the word and its restored forms; bounded."""
+
+    def __init__(self, model: LanguageModel):
+        super().__init__()
+        self.restorer = Restorer(model)
+
+    def __missing__(self, word: str) -> tuple[int, tuple]:
+        if len(self) > CACHE_WORDS // 2:
+            self.clear()
+        forms = [word, *self.restorer.word(word)]
+        self[word] = out = (zlib.crc32(word.encode("utf-8", "surrogatepass")) & 63, tuple({g for w in forms for g in beginnings(w)}))
+        return out
+
+
 def lexicon(train: DataFrame, model: LanguageModel) -> dict[str, float]:
     """Beginnings with their log rate ratio; ``train`` has text and y, a row per labelled document.
 
-    A beginning counts once per document and word before it. Moved are, per slice and beginning, two counts and a
+    A beginning counts once per document, word and word before it. Moved are, per slice and beginning, two counts and a
     64-bit set of hashed words before it in toxic texts.
     """
     def start():
-        restorer = Restorer(model)
+        parts = _Parts(model)
 
         def step(texts, ys):
             sums: dict = defaultdict(lambda: [0, 0, 0])
             total = [0, 0]
             for text, y in zip(texts, ys):
-                words = WORD.findall(text) + restorer.extra(text)
+                words = WORD.findall(text) + parts.restorer.apart(text)
                 total[y] += len(words)
-                found = set()
-                for before, word in zip(["", *words], words):
-                    context = zlib.crc32(before.encode("utf-8", "surrogatepass")) & 63
-                    found.update((g, context) for g in beginnings(word))
-                for g, context in found:
-                    row = sums[g]
-                    row[y] += 1
-                    row[2] |= y << context
+                for before, word in set(zip(["", *words], words)):
+                    context = parts[before][0]
+                    for g in parts[word][1]:
+                        row = sums[g]
+                        row[y] += 1
+                        row[2] |= y << context
             rows = [(g, *row) for g, row in sums.items()] + [(None, *total, 0)]
             g, clean, toxic, masks = zip(*rows)
             return list(g), list(clean), list(toxic), np.array(masks, np.uint64).view(np.int64)
@@ -193,14 +206,15 @@ def lexicon(train: DataFrame, model: LanguageModel) -> dict[str, float]:
 
 
 class _Weights(dict):
-    def __init__(self, known):
+    def __init__(self, model: LanguageModel, known: dict[str, float]):
         super().__init__()
-        self.known = known
+        self.restorer, self.known = Restorer(model), known
 
     def __missing__(self, word: str) -> float:
         if len(self) > CACHE_WORDS:
             self.clear()
-        self[word] = p = max([self.known.get(g, 0.0) for g in beginnings(word)], default=0.0)
+        forms = [word, *self.restorer.word(word)]
+        self[word] = p = max([self.known.get(g, 0.0) for w in forms for g in beginnings(w)], default=0.0)
         return p
 
 
@@ -208,11 +222,11 @@ class Evidence:
     """Three sums over the lexicon words of a restored text, and a one: weight, weight per word, different words."""
 
     def __init__(self, model: LanguageModel, known: dict[str, float]):
-        self.restorer, self.weights = Restorer(model), _Weights(known)
+        self.weights = _Weights(model, known)
 
     def __call__(self, text: str | None) -> list[float]:
         words = WORD.findall(text or "")
-        words += self.restorer.extra(text or "")
+        words += self.weights.restorer.apart(text or "")
         found = [(w, p) for w, p in zip(words, map(self.weights.__getitem__, words)) if p]
         weight = sum(p for _, p in found)
         return [min(weight, 30) / 5, min(60, 1000 * weight / max(20, len(words))) / 20, min(len({w for w, _ in found}), 6) / 2, 1.0]
