@@ -96,14 +96,20 @@ def eigenvector_centrality(edges: DataFrame, nodes: DataFrame | None = None, ite
     return ids.join(x, [KEY, "idx"], "left").select(KEY, "idx", F.coalesce("x", F.lit(0.0)).alias("eigen"))
 
 
+def _lengths(edges: DataFrame, weight: str | None) -> DataFrame:
+    """The shortest edge per pair, both directions. An edge without a positive, finite length is no edge."""
+    return adjacency(edges, weight).where("w > 0").groupBy(KEY, "idx", "nbr").agg(F.min("w").alias("w"))
+
+
 def shortest_distances(edges: DataFrame, nodes: DataFrame | None = None, weight: str | None = None,
                        sources: DataFrame | None = None) -> DataFrame:
     """``(graph_id, source, idx, dist)`` from every node (or the given sources) to all it reaches.
 
     Only improved distances are sent on in the next round. The result is quadratic in the graph size, as
-    all-pairs distances are; ``sources`` cuts it into blocks.
+    all-pairs distances are; ``sources`` cuts it into blocks. Edges whose weight is null, NaN, infinite, zero or
+    negative are left out, so the rounds end after at most as many as a graph has nodes.
     """
-    adj = cut(adjacency(edges, weight).groupBy(KEY, "idx", "nbr").agg(F.min("w").alias("w")))
+    adj = cut(_lengths(edges, weight))
     start = (sources if sources is not None else _nodes(edges, nodes)).select(KEY, F.col("idx").alias("source"), "idx", F.lit(0.0).alias("dist"))
     dist = cut(start.distinct())
     front = dist
@@ -160,7 +166,9 @@ def closeness(edges: DataFrame, nodes: DataFrame | None = None, weight: str | No
 
 
 def betweenness(edges: DataFrame, nodes: DataFrame | None = None, weight: str | None = None, normalized: bool = True) -> DataFrame:
-    """Share of shortest paths through each node, endpoints not counted. Hops unless ``weight``."""
+    """Share of shortest paths through each node, endpoints not counted. Hops unless ``weight``, which must be
+    positive; other edges are left out.
+    """
     edges = _stored(edges, weight)
     ids = cut(_nodes(edges, nodes))
     delta = _weighted_dependencies(edges, ids, weight) if weight else _hop_dependencies(edges, ids)
@@ -198,30 +206,37 @@ def _weighted_dependencies(edges: DataFrame, ids: DataFrame, weight: str) -> Dat
     dependencies backward, one hop per round for all sources and graphs together.
     """
     d = cut(shortest_distances(edges, ids, weight))
-    adj = adjacency(edges, weight).groupBy(KEY, "idx", "nbr").agg(F.min("w").alias("w"))
-    dag = cut(d.join(adj, [KEY, "idx"])
+    rounds = int(_sizes(ids).agg(F.max("_n")).first()[0] or 0)
+    dag = cut(d.join(_lengths(edges, weight), [KEY, "idx"])
               .join(d.select(KEY, "source", F.col("idx").alias("nbr"), F.col("dist").alias("_d2")), [KEY, "source", "nbr"])
               .where(F.col("dist") + F.col("w") == F.col("_d2")).select(KEY, "source", F.col("idx").alias("u"), F.col("nbr").alias("v")))
     start = ids.select(KEY, F.col("idx").alias("source"), "idx", F.lit(1.0).alias("c"))
-    sigma = cut(_flow(dag, start, "u", "v").groupBy(KEY, "source", "idx").agg(F.sum("c").alias("sigma")))
+    sigma = cut(_flow(dag, start, "u", "v", rounds).groupBy(KEY, "source", "idx").agg(F.sum("c").alias("sigma")))
     seeds = sigma.where(F.col("idx") != F.col("source")).select(KEY, "source", "idx", (1 / F.col("sigma")).alias("c"))
-    back = _flow(dag, seeds, "v", "u", include_start=False).groupBy(KEY, "source", "idx").agg(F.sum("c").alias("_g"))
+    back = _flow(dag, seeds, "v", "u", rounds, include_start=False).groupBy(KEY, "source", "idx").agg(F.sum("c").alias("_g"))
     return (back.join(sigma, [KEY, "source", "idx"]).where(F.col("idx") != F.col("source"))
             .groupBy(KEY, "idx").agg(F.sum(F.col("_g") * F.col("sigma")).alias("_b")))
 
 
-def _flow(dag: DataFrame, start: DataFrame, tail: str, head: str, include_start: bool = True) -> DataFrame:
-    """Amounts that reach each node along the acyclic edges over all walks, one set of rows per round."""
+def _flow(dag: DataFrame, start: DataFrame, tail: str, head: str, rounds: int, include_start: bool = True) -> DataFrame:
+    """Amounts that reach each node along the acyclic edges over all walks, one set of rows per round.
+
+    A walk has fewer edges than its graph has nodes. A longer one means lengths so small beside others that a sum
+    does not change, which is an error.
+    """
     front, total = cut(start), []
     if include_start:
         total.append(front)
-    while True:
+    for _ in range(rounds):
         moved = (dag.join(front.withColumnRenamed("idx", tail), [KEY, "source", tail])
                  .groupBy(KEY, "source", F.col(head).alias("idx")).agg(F.sum("c").alias("c")))
         front = cut(moved)
         if front.isEmpty():
             break
         total.append(front)
+    else:
+        if rounds:
+            raise ValueError("edge lengths of one graph differ by more than a double can add up")
     out = total[0] if total else front
     for t in total[1:]:
         out = out.unionByName(t)

@@ -89,6 +89,12 @@ def _link(batch: DataFrame, src: Column, dst: Column, kind: str, props: Column |
     return batch.select(src.alias("src"), dst.alias("dst"), F.lit(kind).alias("type"), p.alias("props"), F.col("ord").cast("long").alias("ord"))
 
 
+def _per(edges: DataFrame, kind: str, prop: str) -> DataFrame:
+    """Edges of one type under ``type@property``, so that a merge keeps one for each value of a stored property."""
+    keyed = F.concat_ws("@", F.lit(kind), F.coalesce(F.try_element_at("props", F.lit(prop)), F.lit("")))
+    return edges.withColumn("type", F.when(F.col("type") == kind, keyed).otherwise(F.col("type")))
+
+
 def _props(cols: dict[str, Column]) -> Column:
     """Property map without null entries."""
     full = F.create_map(*[x for k, c in cols.items() for x in (F.lit(k), c.cast("string"))])
@@ -115,11 +121,10 @@ def upsert_contacts(nodes: DataFrame, edges: DataFrame, batch: DataFrame, key_by
     residues = [_new_entries(e, "Residue", "residue_uid", ["residue_uid", "uniprot_id", "pos", "aa"]) for e in ends]
     proteins = _new_entries(rows, "Protein", "uniprot_id", ["uniprot_id"])
     has = [_link(rows, protein, node_id("Residue", uid(p)), "HAS_RESIDUE") for p in "ij"]
-    kind = F.lit("CONTACTS")
     props = _props({c: F.col(c) for c in ("dist", "w", "chain", "model_id", "contact_type")})
     pair = _link(rows, node_id("Residue", uid("i")), node_id("Residue", uid("j")), "CONTACTS", props)
     if key_by_model:
-        pair = pair.withColumn("type", F.concat_ws("@", kind, F.element_at("props", "model_id")))
+        pair, edges = _per(pair, "CONTACTS", "model_id"), _per(edges, "CONTACTS", "model_id")
     merged = merge_edges(edges, *has, pair)
     if key_by_model:
         merged = merged.withColumn("type", F.substring_index("type", "@", 1))
@@ -129,16 +134,18 @@ def upsert_contacts(nodes: DataFrame, edges: DataFrame, batch: DataFrame, key_by
 def upsert_assays(nodes: DataFrame, edges: DataFrame, batch: DataFrame, key_by_assay: bool = False) -> tuple[DataFrame, DataFrame]:
     """Assay rows whose protein and ligand both exist: the assay node, HAS_ASSAY, TARGETS and BINDS.
 
-    There is one BINDS per ligand and protein and the last assay wins, unless ``key_by_assay``.
+    There is one BINDS per ligand and protein and the last assay wins, unless ``key_by_assay``, which stores
+    ``assay_id`` on the edge and keeps one per assay.
     """
     rows = default_key(batch, "assays")
     linked = cut(_existing(_existing(rows, nodes, "Protein", "uniprot_id"), nodes, "Ligand", "ligand_id"))
     ligand, protein = node_id("Ligand", "ligand_id"), node_id("Protein", "uniprot_id")
     cols = [c for c in linked.columns if c != "ord"]
-    props = _props({c: F.col(c) if c in linked.columns else F.lit(None) for c in ("metric", "units", "value", "source", "year")})
+    said = ("metric", "units", "value", "source", "year", *(["assay_id"] if key_by_assay else []))
+    props = _props({c: F.col(c) if c in linked.columns else F.lit(None) for c in said})
     binds = _link(linked, ligand, protein, "BINDS", props)
     if key_by_assay:
-        binds = binds_per_assay(linked, ligand, protein, props)
+        binds, edges = _per(binds, "BINDS", "assay_id"), _per(edges, "BINDS", "assay_id")
     merged = merge_edges(edges, _link(linked, ligand, node_id("AssayResult", "assay_id"), "HAS_ASSAY"),
                          _link(linked, ligand, protein, "TARGETS"), binds)
     if key_by_assay:
@@ -146,11 +153,6 @@ def upsert_assays(nodes: DataFrame, edges: DataFrame, batch: DataFrame, key_by_a
     return _merge_nodes(nodes, _new_entries(linked, "AssayResult", "assay_id", cols)), merged
 
 
-def binds_per_assay(linked: DataFrame, ligand: Column, protein: Column, props: Column) -> DataFrame:
-    kind = F.concat_ws("@", F.lit("BINDS"), F.col("assay_id"))
-    return linked.select(ligand.alias("src"), protein.alias("dst"), kind.alias("type"), props.alias("props"), "ord")
-
-
 def upsert_toxicity(nodes: DataFrame, edges: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Toxicity rows whose ligand exists: the event node and HAS_TOXICITY."""
     rows = default_key(require_key(batch, "ligand_id"), "toxicity")
