@@ -166,8 +166,8 @@ def mapped_pairs(mapping: DataFrame, coords: DataFrame) -> DataFrame:
 
 
 def template_priors(mapping: DataFrame, coords: DataFrame, edges: list[float] = DISTANCE_EDGES,
-                    max_hits: int | None = 8, order: str = "template_id") -> DataFrame:
-    """Distance-bin distribution per query pair over the first ``max_hits`` templates: ``(query_id, qi, qj, bin, p)``.
+                    max_hits: int | None = None, order: str = "template_id") -> DataFrame:
+    """Distance-bin distribution per query pair over all, or the first ``max_hits``, templates: ``(query_id, qi, qj, bin, p)``.
 
     Only bins that occur are written; a pair that is written is a valid pair.
     """

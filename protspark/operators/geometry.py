@@ -218,8 +218,8 @@ def ligand_contacts(ca: DataFrame, ligand: DataFrame, cutoff: float = 4.0) -> Da
     return met.select("model_id", F.col("idx_i").alias("idx")).distinct()
 
 
-def hbond_pairs(protein: DataFrame, ligand: DataFrame, cutoff: float = 3.5, limit: int | None = 200) -> DataFrame:
-    """N/O atom pairs of ligand and protein within ``cutoff``; the first ``limit`` per model."""
+def hbond_pairs(protein: DataFrame, ligand: DataFrame, cutoff: float = 3.5, limit: int | None = None) -> DataFrame:
+    """N/O atom pairs of ligand and protein within ``cutoff``; all, or the first ``limit`` per model."""
     polar = lambda df: df.where(F.upper("element").isin("N", "O"))
     met = radius_join(polar(ligand), polar(protein), ["model_id"], cutoff, ["idx"], ["idx"])
     out = met.select("model_id", F.col("idx_i").alias("ligand_idx"), F.col("idx_j").alias("protein_idx"), "dist")

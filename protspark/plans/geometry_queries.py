@@ -108,9 +108,8 @@ def ligand_contacts(spark, sf):
 
 @query("geo08_hbond_pairs", f"""
     WITH {TWO_SETS_SQL}, d AS (SELECT b.model_id, b.idx AS ligand_idx, a.idx AS protein_idx, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) AS dist
-        FROM ca a JOIN lig b ON a.model_id = b.model_id WHERE a.z > -0.1 AND b.z > -0.1),
-    best AS (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY ligand_idx, protein_idx) AS rn FROM d WHERE dist <= 0.15)
-    SELECT model_id, ligand_idx, protein_idx, round(dist, 6) + 0.0 AS dist FROM best WHERE rn <= 200""")
+        FROM ca a JOIN lig b ON a.model_id = b.model_id WHERE a.z > -0.1 AND b.z > -0.1)
+    SELECT model_id, ligand_idx, protein_idx, round(dist, 6) + 0.0 AS dist FROM d WHERE dist <= 0.15""")
 def hbond_pairs(spark, sf):
     p = points(spark, sf).withColumn("element", F.when(F.col("z") > -0.1, F.when(F.col("x") > 0, "n").otherwise("O")).otherwise("C"))
     return G.hbond_pairs(p.where("y >= 0"), p.where("y < 0"), 0.15).withColumn("dist", r6("dist"))
@@ -188,10 +187,10 @@ TEMPLATE_SQL = ORDER_SQL + """, m AS (SELECT o_custkey AS query_id, res.* FROM r
 
 
 @query("geo12_template_priors", f"""
-    WITH {TEMPLATE_SQL}, n AS (SELECT query_id, qi, qj, {BIN_SQL} AS bin, count(*) AS c FROM tp WHERE rn <= 8 GROUP BY 1, 2, 3, 4)
+    WITH {TEMPLATE_SQL}, n AS (SELECT query_id, qi, qj, {BIN_SQL} AS bin, count(*) AS c FROM tp GROUP BY 1, 2, 3, 4)
     SELECT query_id, qi, qj, bin, round(c / sum(c) OVER (PARTITION BY query_id, qi, qj), 6) + 0.0 AS p FROM n""")
 def template_priors(spark, sf):
-    return A.template_priors(*customer_templates(spark, sf), max_hits=8).withColumn("p", r6("p"))
+    return A.template_priors(*customer_templates(spark, sf)).withColumn("p", r6("p"))
 
 
 @query("geo12_templates_used", f"WITH {TEMPLATE_SQL} SELECT query_id, count(DISTINCT model_id) AS templates_used FROM m GROUP BY 1")
@@ -200,9 +199,9 @@ def templates_used(spark, sf):
 
 
 @query("geo12_contact_prior", f"""
-    WITH {TEMPLATE_SQL} SELECT query_id, qi, qj, round(avg(CASE WHEN {BIN_SQL} <= 2 THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS prior FROM tp WHERE rn <= 8 GROUP BY 1, 2, 3""")
+    WITH {TEMPLATE_SQL} SELECT query_id, qi, qj, round(avg(CASE WHEN {BIN_SQL} <= 2 THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS prior FROM tp GROUP BY 1, 2, 3""")
 def contact_prior(spark, sf):
-    return A.contact_prior(A.template_priors(*customer_templates(spark, sf), max_hits=8)).withColumn("prior", r6("prior"))
+    return A.contact_prior(A.template_priors(*customer_templates(spark, sf))).withColumn("prior", r6("prior"))
 
 
 @query("geo13_soft_prior", f"""

@@ -82,15 +82,14 @@ def a3m(spark, sf):
 
 
 @query("src05_aligned_fasta", f"""
-    WITH {MSA_FILES_SQL}, kept AS (SELECT *, row_number() OVER (PARTITION BY msa_id, chunk ORDER BY row_id) AS rn
-        FROM raw JOIN width USING (msa_id, chunk) WHERE length(seq) = w)
-    SELECT CAST(row_id AS VARCHAR) AS name, seq FROM kept WHERE rn <= 64""")
+    WITH {MSA_FILES_SQL}
+    SELECT CAST(row_id AS VARCHAR) AS name, seq FROM raw JOIN width USING (msa_id, chunk) WHERE length(seq) = w""")
 def aligned_fasta(spark, sf):
     rows = _msa_rows(spark, sf)
     path = shared_folder(spark, "afa")
     dotted = F.lower(F.translate("seq", "-", "."))
     write_ordered(rows.withColumn("value", F.concat(F.lit(">"), "row_id", F.lit("\n"), dotted)), path, "chunk", "row_id")
-    return seqfiles.read_aligned_fasta(spark, path, max_seqs=64).select("name", "seq")
+    return seqfiles.read_aligned_fasta(spark, path).select("name", "seq")
 
 
 def pdb_line(record: str, atom: str, resname, chain, resseq, x, y, z, element: str, occupancy: float = 1.0):

@@ -46,8 +46,8 @@ def read_a3m(spark: SparkSession, path: str) -> DataFrame:
     return _with_query_width(rows).select(stem().alias("msa_id"), "ord", F.col("header").alias("name"), "seq")
 
 
-def read_aligned_fasta(spark: SparkSession, path: str, max_seqs: int | None = 64) -> DataFrame:
-    """Aligned rows with insertions kept: ``.``/``_`` become ``-``, letters upper; first ``max_seqs`` rows."""
+def read_aligned_fasta(spark: SparkSession, path: str, max_seqs: int | None = None) -> DataFrame:
+    """Aligned rows with insertions kept: ``.``/``_`` become ``-``, letters upper; all rows, or the first ``max_seqs``."""
     rows = read_records(spark, path).where(F.col("seq") != "").withColumn("seq", F.upper(F.translate("seq", "._", "--")))
     wide = _with_query_width(rows)
     kept = first_n(wide, ["path"], ["ord"], max_seqs) if max_seqs else wide
