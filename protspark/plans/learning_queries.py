@@ -41,16 +41,20 @@ def boosted(spark, sf):
     return importances.withColumn("importance", r6("importance"))
 
 
-DOT_SQL = "CAST(a.embedding[1] AS DOUBLE) * CAST(b.embedding[2] AS DOUBLE) + CAST(a.embedding[2] AS DOUBLE) * CAST(b.embedding[1] AS DOUBLE)"
+#: Two projections of all 64 entries: the sum of the odd places and the sum of the even ones.
+ODD_EVEN = [[1.0, 0.0] * 32, [0.0, 1.0] * 32]
+DOT_SQL = "a.odd * b.even + a.even * b.odd"
 
 
 @query("mlt04_score_pairs", f"""
-    WITH {PAIRS_SQL} SELECT model_id AS graph_id, i, j, round(1 / (1 + exp(-(0.5 * (({DOT_SQL}) + ({DOT_SQL})) + 0.25 + 0.1 * dist + CASE WHEN j - i >= 2 THEN -0.5 ELSE 0.0 END))), 6) + 0.0 AS score
-    FROM pairs JOIN embeddings a ON a.vec_id = i JOIN embeddings b ON b.vec_id = j WHERE dist <= 0.1""")
+    WITH {PAIRS_SQL}, l AS (SELECT vec_id, d, CAST(embedding[d] AS DOUBLE) AS v FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS d FROM embeddings)),
+    e AS (SELECT vec_id, sum(v) FILTER (d % 2 = 1) AS odd, sum(v) FILTER (d % 2 = 0) AS even FROM l GROUP BY 1)
+    SELECT model_id AS graph_id, i, j, round(1 / (1 + exp(-(0.5 * (({DOT_SQL}) + ({DOT_SQL})) + 0.25 + 0.1 * dist + CASE WHEN j - i >= 2 THEN -0.5 ELSE 0.0 END))), 6) + 0.0 AS score
+    FROM pairs JOIN e a ON a.vec_id = i JOIN e b ON b.vec_id = j WHERE dist <= 0.1""")
 def score_pairs(spark, sf):
-    features = table(spark, sf, "embeddings").select(F.col("label").alias("graph_id"), F.col("vec_id").alias("idx"), F.slice("embedding", 1, 2).alias("features"))
+    features = table(spark, sf, "embeddings").select(F.col("label").alias("graph_id"), F.col("vec_id").alias("idx"), F.col("embedding").alias("features"))
     pairs = contacts(points(spark, sf), 0.1).select(F.col("model_id").alias("graph_id"), "i", "j", F.col("dist").alias("mi"))
-    s = L.score_pairs(features, pairs, u=[[1.0, 0.0], [0.0, 1.0]], v=[[0.0, 1.0], [1.0, 0.0]], bias=0.25, mi_weight=0.1, distance_bias=[0.0, 0.0, -0.5], symmetric=True, squash=True)
+    s = L.score_pairs(features, pairs, u=ODD_EVEN, v=ODD_EVEN[::-1], bias=0.25, mi_weight=0.1, distance_bias=[0.0, 0.0, -0.5], symmetric=True, squash=True)
     return s.select("graph_id", "i", "j", r6("score").alias("score"))
 
 

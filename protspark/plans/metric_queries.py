@@ -169,15 +169,17 @@ def _rollup_part(by: str) -> str:
     grp = "GROUP BY g" if by else ""
     part = "PARTITION BY g " if by else ""
     return f"""SELECT {g} AS g, count(*) AS n, sum(y) AS positives, round({f1_sql('0.5')}, 6) + 0.0 AS f1,
-        round((sum(rk{by}) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (CAST(sum(y) AS DOUBLE) * sum(1 - y)), 6) + 0.0 AS auc FROM r {grp}"""
+        round((sum(rk{by}) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (CAST(sum(y) AS DOUBLE) * sum(1 - y)), 6) + 0.0 AS auc,
+        round(sum(y * tp{by} / seen{by}) / sum(y), 6) + 0.0 AS ap FROM r {grp}"""
 
 
 @query("evl14_rollup_metrics", f"""
-    WITH {S}, r AS (SELECT *, rank() OVER (ORDER BY prob) + (count(*) OVER (PARTITION BY prob) - 1) / 2.0 AS rk, rank() OVER (PARTITION BY g ORDER BY prob) + (count(*) OVER (PARTITION BY g, prob) - 1) / 2.0 AS rk_g FROM s)
+    WITH {S}, r AS (SELECT *, rank() OVER (ORDER BY prob) + (count(*) OVER (PARTITION BY prob) - 1) / 2.0 AS rk, rank() OVER (PARTITION BY g ORDER BY prob) + (count(*) OVER (PARTITION BY g, prob) - 1) / 2.0 AS rk_g,
+        sum(y) OVER (ORDER BY prob DESC) AS tp, count(*) OVER (ORDER BY prob DESC) AS seen, sum(y) OVER (PARTITION BY g ORDER BY prob DESC) AS tp_g, count(*) OVER (PARTITION BY g ORDER BY prob DESC) AS seen_g FROM s)
     {_rollup_part('_g')} UNION ALL {_rollup_part('')}""")
 def rollup_metrics(spark, sf):
     m = E.rollup_metrics(scored(spark, sf), "prob", "y", "g")
-    return m.select("g", "n", "positives", r6("f1").alias("f1"), r6("auc").alias("auc"))
+    return m.select("g", "n", "positives", r6("f1").alias("f1"), r6("auc").alias("auc"), r6("ap").alias("ap"))
 
 
 @query("evl15_sweep_summary", """

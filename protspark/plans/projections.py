@@ -124,6 +124,16 @@ def residue_codes(spark, sf):
         "p_partkey", "code", C.aa3_to_aa1(F.lower("code")).alias("aa"), C.aa3_to_aa1("code", "standard", None).alias("strict"))
 
 
+@query("prj11_residue_codes_contact", """
+    WITH c AS (SELECT p_partkey, ['SEC', 'PYL', 'ASX', 'GLX', 'XLE', 'XAA', 'UNK', 'ALA', 'TRP', 'MSE'][p_size % 10 + 1] AS code FROM part)
+    SELECT p_partkey, code, substr('CKBZJXXAWX', list_position(['SEC', 'PYL', 'ASX', 'GLX', 'XLE', 'XAA', 'UNK', 'ALA', 'TRP', 'MSE'], code), 1) AS aa FROM c""")
+def residue_codes_contact(spark, sf):
+    names = ["SEC", "PYL", "ASX", "GLX", "XLE", "XAA", "UNK", "ALA", "TRP", "MSE"]
+    code = F.element_at(F.array(*[F.lit(c) for c in names]), F.pmod("p_size", F.lit(len(names))) + 1)
+    return table(spark, sf, "part").select("p_partkey", code.alias("code")).select(
+        "p_partkey", "code", C.aa3_to_aa1("code", "contact").alias("aa"))
+
+
 @query("prj12_sequence_text", r"""
     WITH t AS (SELECT doc_id, text AS s FROM documents)
     SELECT doc_id, md5(regexp_replace(s, '[OBUZ]', 'X', 'g')) AS normal,

@@ -16,6 +16,7 @@ AA3_TABLES = {
     "structure": {**AA3_STANDARD, "MSE": "M"},
     "seqres": {**AA3_STANDARD, "SEC": "U", "PYL": "O"},
     "template": {**AA3_STANDARD, "MSE": "M", "ASX": "B", "GLX": "Z", "SEC": "U", "PYL": "O"},
+    "contact": {**AA3_STANDARD, "SEC": "C", "PYL": "K", "ASX": "B", "GLX": "Z", "XLE": "J", "XAA": "X", "UNK": "X"},
 }
 
 # Distance bin edges (angstrom) of the template prior.

@@ -87,18 +87,19 @@ def read_atoms(spark: SparkSession, root: str) -> DataFrame:
     return both.select(stem().alias("model_id"), "*").drop("path")
 
 
-def residues_of(atoms: DataFrame, atom: str = "CA", keep_order: bool = False) -> DataFrame:
+def residues_of(atoms: DataFrame, atom: str = "CA", keep_order: bool = False, table: str = "structure", unknown: str | None = None) -> DataFrame:
     """Amino-acid residues with one coordinate each; ``idx`` counts them per chain in file order.
 
     ``atom="CB"`` takes the beta carbon, and the alpha carbon for glycine. Of alternative locations the
-    one with the highest occupancy is used. A residue without the atom keeps null coordinates.
+    one with the highest occupancy is used. A residue without the atom keeps null coordinates. Residues that ``table``
+    does not name are left out, or kept with the letter ``unknown``.
     """
     key = ["model_id", "chain", "resseq", "icode", "resname"]
     wanted = F.when(F.lit(atom == "CB") & (F.upper("resname") != "GLY"), "CB").otherwise("CA")
     chosen = F.col("atom") == wanted
     best = F.struct(-F.col("occupancy"), F.col("ord"))
     residues = (atoms.where(~F.upper("resname").isin(WATER))
-                .withColumn("aa", aa3_to_aa1("resname", "structure", default=None)).where(F.col("aa").isNotNull())
+                .withColumn("aa", aa3_to_aa1("resname", table, default=unknown)).where(F.col("aa").isNotNull())
                 .groupBy(*key, "aa")
                 .agg(F.min("ord").alias("ord"), F.min_by(F.when(chosen, F.struct("x", "y", "z")), F.when(chosen, best)).alias("p")))
     # A chain is bounded by the format (four-digit residue numbers), so its window is too.
@@ -107,8 +108,9 @@ def residues_of(atoms: DataFrame, atom: str = "CA", keep_order: bool = False) ->
     return residues.select(*key, "aa", "p.x", "p.y", "p.z", (F.row_number().over(w) - 1).alias("idx"), *order)
 
 
-def read_residues(spark: SparkSession, root: str, atom: str = "CA", keep_order: bool = False) -> DataFrame:
-    return residues_of(read_atoms(spark, root), atom, keep_order)
+def read_residues(spark: SparkSession, root: str, atom: str = "CA", keep_order: bool = False, table: str = "structure",
+                  unknown: str | None = None) -> DataFrame:
+    return residues_of(read_atoms(spark, root), atom, keep_order, table, unknown)
 
 
 def read_pdb_ca(spark: SparkSession, path: str) -> DataFrame:
