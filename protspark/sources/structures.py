@@ -92,13 +92,15 @@ def residues_of(atoms: DataFrame, atom: str = "CA", keep_order: bool = False, ta
 
     ``atom="CB"`` takes the beta carbon, and the alpha carbon for glycine. Of alternative locations the
     one with the highest occupancy is used. A residue without the atom keeps null coordinates. Residues that ``table``
-    does not name are left out, or kept with the letter ``unknown``.
+    does not name are left out. With ``unknown`` every residue of ``ATOM`` records is kept, those with that letter, and
+    hetero atoms are not residues.
     """
     key = ["model_id", "chain", "resseq", "icode", "resname"]
     wanted = F.when(F.lit(atom == "CB") & (F.upper("resname") != "GLY"), "CB").otherwise("CA")
     chosen = F.col("atom") == wanted
     best = F.struct(-F.col("occupancy"), F.col("ord"))
-    residues = (atoms.where(~F.upper("resname").isin(WATER))
+    own = atoms if unknown is None else atoms.where("record = 'ATOM'")
+    residues = (own.where(~F.upper("resname").isin(WATER))
                 .withColumn("aa", aa3_to_aa1("resname", table, default=unknown)).where(F.col("aa").isNotNull())
                 .groupBy(*key, "aa")
                 .agg(F.min("ord").alias("ord"), F.min_by(F.when(chosen, F.struct("x", "y", "z")), F.when(chosen, best)).alias("p")))

@@ -93,7 +93,7 @@ ATOM 4 C CA . GLY A 5 9.0 9.0 9.0 2
 """
 
 
-def test_structures(spark, tmp_path):
+def test_structures(spark, tmp_path, tmp_path_factory):
     put(tmp_path, "1abc.pdb", PDB)
     put(tmp_path, "2xyz.cif", CIF)
     ca = rows(structures.read_residues(spark, str(tmp_path)), "model_id", "chain", "idx", "resseq", "icode", "aa", "x")
@@ -101,6 +101,11 @@ def test_structures(spark, tmp_path):
                   ("2xyz", "A", 0, 4, "", "A", 1.0), ("2xyz", "A", 1, 5, "", "G", 4.0)]
     cb = {(r["model_id"], r["idx"]): r["y"] for r in structures.read_residues(spark, str(tmp_path), "CB").where("chain = 'A'").collect()}
     assert cb == {("1abc", 0): 9.0, ("1abc", 1): 5.0, ("1abc", 2): None, ("2xyz", 0): 2.5, ("2xyz", 1): 5.0}
+    other = tmp_path_factory.mktemp("odd")
+    put(other, "3odd.pdb", PDB.replace("CA  GLY A   2 ", "CA  QQQ A   2 ").replace("CA  ALA A   2A", "CA  SEC A   2A"))
+    odd = structures.read_residues(spark, str(other), table="contact", unknown="X")
+    assert rows(odd, "chain", "idx", "aa") == [("A", 0, "A"), ("A", 1, "X"), ("A", 2, "C")]  # hetero atoms are no residues
+    assert rows(structures.read_residues(spark, str(other)), "chain", "idx", "aa") == [("A", 0, "A"), ("B", 0, "M")]
     simple = structures.read_pdb_ca(spark, str(tmp_path / "1abc.pdb"))
     assert rows(simple, "resseq", "x", "idx") == [(1, 1.0, 0), (2, 4.0, 1), (7, 4.0, 2)]
     assert rows(structures.read_seqres(spark, str(tmp_path / "1abc.pdb")), "chain", "seq") == [("A", "AGU")]
