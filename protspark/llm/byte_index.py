@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from protspark.functions.lineage import cut
 from protspark.llm.common import LOWEST, WORD_BYTES, id_of, key_of, map_batches
 from protspark.llm.components import components
+from protspark.llm.near_copies import one_of_each  # noqa: F401  the pipeline's stage, at its own similarity
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -159,11 +160,3 @@ def _shifted(nodes: DataFrame, hot: int) -> DataFrame:
     null_id = F.when(F.col("node") == LOWEST, F.lit(LOWEST + 1)).otherwise(F.col("node"))
     back = lambda c: F.when(F.col(c) == LOWEST + 1, F.lit(LOWEST)).otherwise(F.col(c)).alias(c)
     return fingerprint_links(nodes.select("fp", null_id.alias("node")), hot).select(back("a"), back("b"))
-
-
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the row with the smallest id stays."""
-    kept = near_duplicates(docs).select(F.col("component_id").alias("_kept")).select(key_of("_kept").alias("_kept")).distinct()
-    keyed = docs.select(key_of().alias("_key"), F.struct(*docs.columns).alias("_row"))
-    return (keyed.join(kept, keyed["_key"] == kept["_kept"], "left_semi").dropDuplicates(["_key"])
-            .select(*[F.col("_row")[c].alias(c) for c in docs.columns]))
