@@ -1,8 +1,8 @@
 """Toxicity with noisy-channel deobfuscation.
 
-A character trigram model is counted over every document. Suspicious tokens (look-alike digits and signs inside words,
-letters set apart, repeated letters) become character lattices: each sign may stand for several letters, a repeated
-letter or a separator for nothing, each at a channel cost. Viterbi decoding under the language model restores the
+A character trigram model is counted over every document. Suspicious tokens (look-alike digits and signs anywhere in words,
+masked letters, letters and signs set apart, repeated letters) become character lattices: each sign may stand for several
+letters, a mask for any, a repeated letter or a separator for nothing, each at a channel cost. Viterbi decoding under the language model restores the
 likeliest word. The restored text is scored with a lexicon of word beginnings, learned from all labelled rows by
 the lower confidence bound of their rate in toxic texts over that in others. A beginning enters only with several
 different words before it, so a toxic text that was copied many times does not make its ordinary words toxic. A
@@ -36,6 +36,8 @@ LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7":
               "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e"}
 SEPARATORS = " .-_*"
 SIGN_COST, REPEAT_COST, SEPARATOR_COST, KEEP_COST = 0.7, 0.2, 0.1, 6.0
+MASK = "*"
+MASK_FORMS = 6
 
 #: Letters of the model; any other character is the border of a word.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïñòóôõöùúûüýÿœ"
@@ -49,9 +51,12 @@ for _c, _k in CODES.items():
 
 _L = r"[^\W\d_]"
 SPACED = re.compile(rf"(?<![^\W_])(?:{_L}([ .\-_*])(?={_L}(?:\1|(?![^\W_])))){{2,}}{_L}(?![^\W_])")
-LONE = re.compile(r"(?<!\S)\S \S \S(?!\S)")
-LOOKALIKE = re.compile(rf"(?<!\S)(?=\S*{_L})[\w@$!|+€]*[0-9@$!|+€]{_L}[\w@$!|+€]*")
-REPEATED = re.compile(rf"(?<!\S)\w*({_L})\1\1\w*")
+_S = r"(?:[^\W\d_]|[013-9@$!|+€])"
+#: Letters and signs set apart by any white space, each perhaps with a mark behind it.
+RUN = re.compile(rf"(?<![^\W_]){_S}(?:[.\-_*]*\s+{_S}){{2,}}(?![^\W_])")
+PIECE = re.compile(r"[\w@$!|+€.\-*]+")
+LETTER = re.compile(_L)
+MIXED = re.compile(rf"[013-9@$!|+€.\-_*]|({_L})\1\1")
 EDGES = ".,;:?\"'()[]{}#*%&<>"
 
 
@@ -74,25 +79,34 @@ class LanguageModel:
         self.cost = -np.log((n + 5 * two) / (n.sum(axis=2, keepdims=True) + 5))
 
     def restore(self, token: str) -> str:
-        """The likeliest word behind a token, by Viterbi over (last two letters)."""
+        """The likeliest word behind a token."""
+        return self._costed(token)[1]
+
+    def unmasked(self, token: str) -> list[str]:
+        """The likeliest words behind one masked letter; behind several, the likeliest one."""
+        if token.count(MASK) > 1:
+            return [self._masked(token)]
+        return [w for _, w in sorted(self._costed(token.replace(MASK, c)) for c in CODES)[:MASK_FORMS]]
+
+    @staticmethod
+    def _choices(c: str, before: str) -> list[tuple[str, float]]:
+        low = c.lower()
+        if low in CODES:
+            return [(low, 0.0), ("", REPEAT_COST)] if low == before else [(low, 0.0)]
+        if low.isalpha():
+            return [(low, 0.0)]
+        choices = [(x, SIGN_COST) for x in LOOKALIKES.get(c, "")]
+        if c in SEPARATORS or c.isspace() or c in LOOKALIKES and c == before:
+            choices.append(("", SEPARATOR_COST))
+        return choices or [(c, KEEP_COST)]
+
+    def _costed(self, token: str) -> tuple[float, str]:
+        """Cost and word of the cheapest path, by Viterbi over (last two letters)."""
         states = {(0, 0): (0.0, "")}
         before = ""
-        for k, c in enumerate(token):
-            low = c.lower()
-            choices: list[tuple[str, float]] = []
-            if low in CODES:
-                choices.append((low, 0.0))
-                if low == before:
-                    choices.append(("", REPEAT_COST))
-            elif low.isalpha():
-                choices.append((low, 0.0))
-            else:
-                choices += [(x, SIGN_COST) for x in LOOKALIKES.get(c, "")]
-                if c in SEPARATORS or c in LOOKALIKES and c == before:
-                    choices.append(("", SEPARATOR_COST))
-                if not choices:
-                    choices.append((c, KEEP_COST))
-            before = low
+        for c in token:
+            choices = self._choices(c, before)
+            before = c.lower()
             after: dict = {}
             for (a, b), (cost, word) in states.items():
                 for x, channel in choices:
@@ -104,7 +118,35 @@ class LanguageModel:
                     if state not in after or total < after[state][0]:
                         after[state] = (total, word + x)
             states = after
-        return min((cost + self.cost[a, b, 0], word) for (a, b), (cost, word) in states.items())[1]
+        return min((cost + self.cost[a, b, 0], word) for (a, b), (cost, word) in states.items())
+
+    def _masked(self, token: str) -> str:
+        """The same over whole tables of states: each mask is one letter, whichever."""
+        now = np.full((SIZE, SIZE), np.inf)
+        now[0, 0] = 0.0
+        back, before = [], ""
+        for c in token:
+            new, of = np.full((SIZE, SIZE), np.inf), np.zeros((SIZE, SIZE), np.int64)
+            for x, channel in [(x, 0.0) for x in ALPHABET] if c == MASK else self._choices(c, before):
+                if x:
+                    code = CODES.get(x, 0)
+                    ways = now + self.cost[:, :, code]
+                    total, a = ways.min(axis=0) + channel, ways.argmin(axis=0)
+                    better = total < new[:, code]
+                    new[better, code], of[better, code] = total[better], a[better]
+                else:
+                    better = now + channel < new
+                    new[better], of[better] = now[better] + channel, -1
+            before = c.lower()
+            back.append((c.lower(), of))
+            now = new
+        a, b = np.unravel_index((now + self.cost[:, :, 0]).argmin(), now.shape)
+        word = ""
+        for c, of in reversed(back):
+            if of[a, b] >= 0:
+                word = (ALPHABET[b - 1] if b else c) + word
+                a, b = of[a, b], a
+        return word
 
 
 def language_model(docs: DataFrame) -> LanguageModel:
@@ -137,15 +179,32 @@ class Restorer:
 
     def word(self, word: str) -> list[str]:
         out = [self.model.restore(m.group()) for m in SPACED.finditer(word)]
-        for pattern in (LOOKALIKE, REPEATED):
-            for m in pattern.finditer(word):
-                token = m.group().rstrip("!|+$@")
-                if sum(c.isalpha() for c in token) * 3 >= len(token) > 2:
-                    out.append(self.model.restore(token))
+        for token in tokens(word):
+            out.append(self.model.restore(token))
+            if MASK in token:
+                out += self.model.unmasked(token)
         return out
 
     def apart(self, text: str) -> list[str]:
-        return [self.model.restore(m.group()) for m in SPACED.finditer(text)] if LONE.search(text) else []
+        out = []
+        for m in RUN.finditer(text):
+            run = m.group()
+            if LETTER.search(run):  # as a whole, and in parts where one separator ends
+                out += [self.model.restore(x) for x in dict.fromkeys([run, *(p.group() for p in SPACED.finditer(run))])]
+        return out
+
+
+def tokens(word: str) -> set[str]:
+    """The parts between edge marks that mix letters with look-alikes, separators or masks, or repeat a letter.
+
+    Signs at the end may be letters or marks, so both readings count. Below three characters no beginning is reached.
+    """
+    found = set()
+    for m in PIECE.finditer(word):
+        token = m.group().strip(".-_")
+        token = token.strip(MASK) if token[:1] == token[-1:] == MASK else token.rstrip(MASK)  # markup, or a visible beginning
+        found |= {token, token.rstrip("!|+$@").rstrip(".-_")}
+    return {t for t in found if len(t) > 2 and LETTER.search(t) and MIXED.search(t)}
 
 
 def beginnings(word: str) -> list[str]:
