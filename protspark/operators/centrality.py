@@ -39,7 +39,7 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, alpha: float = 0.
     """PageRank of undirected graphs; dangling mass goes to all nodes of the graph.
 
     Stops when the total change is below ``tol * n`` in every graph, tested every ``every`` rounds;
-    ``tol=None`` runs exactly ``iters`` rounds.
+    ``tol=None`` runs exactly ``iters`` rounds. With a tolerance that ``iters`` rounds do not reach an error is raised.
     """
     edges = _stored(edges, weight)
     ids = _nodes(edges, nodes)
@@ -68,6 +68,8 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, alpha: float = 0.
             if change.where(~F.col("ok")).isEmpty():
                 return new.select(KEY, "idx", F.col("pr").alias("pagerank"))
         rank = new.select(KEY, "idx", "pr")
+    if tol is not None:
+        raise RuntimeError(f"PageRank did not converge to {tol} in {iters} rounds")
     return rank.withColumnRenamed("pr", "pagerank")
 
 
@@ -75,11 +77,16 @@ def eigenvector_centrality(edges: DataFrame, nodes: DataFrame | None = None, ite
                            weight: str | None = "w", every: int = 5) -> DataFrame:
     """Leading eigenvector with unit length per graph, by power iteration on ``A + I``; isolated nodes are 0.
 
-    The shift keeps the eigenvectors and makes two-sided graphs converge.
+    The shift keeps the eigenvectors and makes two-sided graphs converge. With a tolerance that ``iters`` rounds do not
+    reach an error is raised; ``tol=None`` runs exactly ``iters`` rounds.
     """
     edges = _stored(edges, weight)
     ids = _nodes(edges, nodes)
-    adj = cut(adjacency(edges, weight))
+    adj = adjacency(edges, weight)
+    if tol is not None:  # the same eigenvectors; without it the shift outweighs small weights and rounds hardly move
+        top = adj.groupBy(KEY, "idx").agg(F.sum("w").alias("_d")).groupBy(KEY).agg(F.max("_d").alias("_d"))
+        adj = adj.join(top, KEY).withColumn("w", F.when(F.col("_d") > 0, F.col("w") / F.col("_d")).otherwise(F.col("w"))).drop("_d")
+    adj = cut(adj)
     linked = adj.select(KEY, "idx").distinct()
     size = _sizes(linked)
     x = linked.join(size, KEY).select(KEY, "idx", (1 / F.sqrt(F.col("_n"))).alias("x"))
@@ -90,9 +97,12 @@ def eigenvector_centrality(edges: DataFrame, nodes: DataFrame | None = None, ite
         new = raw.join(norm, KEY).select(KEY, "idx", (F.col("y") / F.col("_l")).alias("x"), F.col("x").alias("_old"))
         new = cut(new)
         x = new.select(KEY, "idx", "x")
-        if tol is not None and k % every == 0:
+        if tol is not None and (k % every == 0 or k == iters):
             if (new.agg(F.max(F.abs(F.col("x") - F.col("_old")))).first()[0] or 0.0) < tol:
                 break
+    else:
+        if tol is not None:
+            raise RuntimeError(f"eigenvector centrality did not converge to {tol} in {iters} rounds")
     return ids.join(x, [KEY, "idx"], "left").select(KEY, "idx", F.coalesce("x", F.lit(0.0)).alias("eigen"))
 
 

@@ -138,6 +138,18 @@ def eigenvector(spark, sf):
     return C.eigenvector_centrality(graphs(spark, sf), iters=6, tol=None).select(KEY, "idx", r6("eigen").alias("eigen"))
 
 
+@query("gra10_pagerank_converged")
+def pagerank_converged(spark, sf):
+    """Without SQL: compared with the dense solution in the tests."""
+    return C.pagerank(graphs(spark, sf), tol=1e-8, iters=1_000).select(KEY, "idx", "pagerank")
+
+
+@query("gra11_eigenvector_converged")
+def eigenvector_converged(spark, sf):
+    """Without SQL: compared with the dense solution in the tests."""
+    return C.eigenvector_centrality(graphs(spark, sf), iters=10_000).select(KEY, "idx", "eigen")
+
+
 DIST_SQL = "RECURSIVE " + GRAPH_SQL + """, walk AS (SELECT graph_id, idx AS s, idx AS v, 0 AS d FROM nodes
         UNION SELECT walk.graph_id, s, b, d + 1 FROM walk JOIN adj ON adj.graph_id = walk.graph_id AND adj.a = v WHERE d < 14),
     dist AS (SELECT graph_id, s, v, min(d) AS d FROM walk GROUP BY 1, 2, 3)"""
