@@ -208,12 +208,15 @@ def contact_prior(priors: DataFrame, edges: list[float] = DISTANCE_EDGES, within
     return priors.groupBy("query_id", "qi", "qj").agg(F.sum(F.when(F.col("bin") <= last, F.col("p")).otherwise(0.0)).alias("prior"))
 
 
-def usable_hits(hits: DataFrame, structures: DataFrame, n: int = 8, order: str = "ord") -> DataFrame:
-    """First ``n`` hits per query with a parsable template id, then those whose structure is at hand.
+def usable_hits(hits: DataFrame, structures: DataFrame, n: int | None = None, order: str = "ord", first: int | None = None) -> DataFrame:
+    """Hits per query with a parsable template id whose structure is at hand; the first ``n`` of them if a cap is given.
 
-    ``structures``: column ``code``. The cap comes before the check of availability.
+    ``structures``: column ``code``. ``first`` looks at the first hits only, before availability is checked, so a query
+    may then have fewer usable hits than there are.
     """
-    parsed = hits.withColumn("_p", parse_subject("subject")).where(F.col("_p").isNotNull())
-    capped = first_n(parsed, ["query_id"], [order], n).drop("_rn")
-    keyed = capped.select(*hits.columns, F.col("_p.code").alias("code"), F.col("_p.chain").alias("template_chain"))
-    return keyed.join(structures.select(F.upper("code").alias("code")).distinct(), "code", "left_semi")
+    rows = hits.withColumn("_p", parse_subject("subject")).where(F.col("_p").isNotNull())
+    if first is not None:
+        rows = first_n(rows, ["query_id"], [order], first).drop("_rn")
+    keyed = rows.select(*hits.columns, F.col("_p.code").alias("code"), F.col("_p.chain").alias("template_chain"))
+    usable = keyed.join(structures.select(F.upper("code").alias("code")).distinct(), "code", "left_semi")
+    return usable if n is None else first_n(usable, ["query_id"], [order], n).drop("_rn")

@@ -10,7 +10,7 @@ from protspark.functions.skew import first_n
 from protspark.schemas import SEARCH_PROPERTIES, SLIM_DEFAULT, SLIM_KEYS
 
 
-def seed_nodes(nodes: DataFrame, query: str, k: int | None = 50, properties: list[str] | None = None) -> DataFrame:
+def seed_nodes(nodes: DataFrame, query: str, k: int | None = None, properties: list[str] | None = None) -> DataFrame:
     """Nodes with any query word as a case-insensitive substring of any searched property.
 
     The first ``k`` by (label, id): a fixed order makes the result repeatable. ``k=None`` keeps all.
@@ -23,6 +23,10 @@ def seed_nodes(nodes: DataFrame, query: str, k: int | None = 50, properties: lis
     return found.orderBy(F.element_at("labels", 1), "id").limit(k) if k else found
 
 
+def _first(df: DataFrame, order: list, n: int | None) -> DataFrame:
+    return df if n is None else df.orderBy(*order).limit(n)
+
+
 def undirected(edges: DataFrame) -> DataFrame:
     """Each edge once per end: ``(id, other)`` plus the edge's own columns."""
     out = edges.withColumns({"id": F.col("src"), "other": F.col("dst")})
@@ -85,22 +89,22 @@ def contact_order(edges: DataFrame) -> list[Column]:
     return [w.desc(), dist.asc(), F.col("src"), F.col("dst")]
 
 
-def structure_subgraph(nodes: DataFrame, edges: DataFrame, protein: str, model: str, max_residues: int = 200,
-                       max_edges: int = 1500) -> tuple[DataFrame, DataFrame]:
-    """A protein, its structure if there is one, up to ``max_residues`` residues of that model's contacts, and
-    the best ``max_edges`` contacts among them. Residues are made distinct before the cap.
+def structure_subgraph(nodes: DataFrame, edges: DataFrame, protein: str, model: str, max_residues: int | None = None,
+                       max_edges: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """A protein, its structure if there is one, the residues of that model's contacts (up to ``max_residues``), and the
+    contacts among them (the best ``max_edges``). Residues are made distinct before a cap; without one all are returned.
     """
     pid, sid = f"Protein:{protein}", f"Structure:{model}"
     own = edges.where((F.col("type") == "HAS_RESIDUE") & (F.col("src") == pid)).select(F.col("dst").alias("src"))
     contacts = (edges.where((F.col("type") == "CONTACTS") & (F.element_at("props", "model_id") == model))
                 .join(own, "src", "left_semi"))
     ends = contacts.select(F.col("src").alias("id")).union(contacts.select("dst")).distinct()
-    residues = (nodes.where(F.array_contains("labels", "Residue")).join(ends, "id", "left_semi")
-                .orderBy(F.element_at("props", "pos").try_cast("int").asc_nulls_last(), "id").limit(max_residues))
+    residues = _first(nodes.where(F.array_contains("labels", "Residue")).join(ends, "id", "left_semi"),
+                      [F.element_at("props", "pos").try_cast("int").asc_nulls_last(), "id"], max_residues)
     kept = residues.select("id")
     inside = (contacts.join(kept.withColumnRenamed("id", "src"), "src", "left_semi")
               .join(kept.withColumnRenamed("id", "dst"), "dst", "left_semi"))
-    best = inside.orderBy(*contact_order(inside)).limit(max_edges)
+    best = _first(inside, contact_order(inside), max_edges)
     link = edges.where((F.col("type") == "HAS_STRUCTURE") & (F.col("src") == pid) & (F.col("dst") == sid))
     linked = link.select(F.col("dst").alias("id"))
     structure = nodes.where(F.col("id") == sid).join(linked, "id", "left_semi")
@@ -121,11 +125,13 @@ def residue_degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
 
 
-def prune_by_degree(nodes: DataFrame, edges: DataFrame, max_nodes: int = 220, ord_col: str = "id") -> tuple[DataFrame, DataFrame]:
-    """All other nodes, then residues by contact degree until ``max_nodes``; edges between kept nodes.
+def prune_by_degree(nodes: DataFrame, edges: DataFrame, max_nodes: int | None = None, ord_col: str = "id") -> tuple[DataFrame, DataFrame]:
+    """All other nodes, then residues by contact degree until ``max_nodes``, if given; edges between kept nodes.
 
     Ties keep ``ord_col`` order.
     """
+    if max_nodes is None:
+        return nodes, restrict_edges(edges, nodes)
     is_residue = F.array_contains("labels", "Residue")
     others = nodes.where(~is_residue)
     budget = max(0, max_nodes - others.count())
@@ -143,11 +149,11 @@ def restrict_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             .join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi"))
 
 
-def cap_edges(edges: DataFrame, max_edges: int = 800) -> DataFrame:
-    """Every other edge, and the best ``max_edges`` contacts; weight or distance 0 counts as missing."""
+def cap_edges(edges: DataFrame, max_edges: int | None = None) -> DataFrame:
+    """Every other edge, and all contacts or the best ``max_edges``; weight or distance 0 counts as missing."""
     number = lambda name, missing: F.coalesce(F.nullif(F.element_at("props", name).try_cast("double"), F.lit(0.0)), F.lit(missing))
     contacts = edges.where(F.col("type") == "CONTACTS")
-    best = contacts.orderBy(number("w", 1.0).desc(), number("dist", 999999.0).asc(), "src", "dst").limit(max_edges)
+    best = _first(contacts, [number("w", 1.0).desc(), number("dist", 999999.0).asc(), "src", "dst"], max_edges)
     return edges.where(F.col("type") != "CONTACTS").unionByName(best)
 
 
@@ -174,7 +180,7 @@ def slim_props(nodes: DataFrame) -> DataFrame:
 
 
 def snapshot(nodes: DataFrame, edges: DataFrame, **meta) -> DataFrame:
-    """One nested row from capped node and edge tables (their caps bound its size)."""
+    """One nested row from node and edge tables, which bound its size."""
     node, edge = F.struct("id", "labels", "props"), F.struct("src", "dst", "type", "props")
     n_type = "struct<id:string,labels:array<string>,props:map<string,string>>"
     e_type = "struct<src:string,dst:string,type:string,props:map<string,string>>"
@@ -206,11 +212,14 @@ def pack_snapshot(nodes: DataFrame, edges: DataFrame, **meta) -> DataFrame:
     return row.select(F.to_json(F.struct(*row.columns)).alias("snapshot_json"))
 
 
-def cap_snapshot_json(snapshots: DataFrame, limit: int = 200_000, max_nodes: int = 220, max_edges: int = 800) -> Column:
-    """Compact JSON of snapshot rows; documents above ``limit`` characters keep their first nodes and edges."""
+def cap_snapshot_json(snapshots: DataFrame, limit: int | None = None, max_nodes: int | None = None, max_edges: int | None = None) -> Column:
+    """Compact JSON of snapshot rows, whole; if a caller gives limits, documents above ``limit`` characters keep their first nodes and edges."""
     rest = [c for c in snapshots.columns if c not in ("nodes", "edges")]
     full = F.to_json(F.struct(*rest, "nodes", "edges"))
-    slim = F.to_json(F.struct(*rest, F.slice("nodes", 1, max_nodes).alias("nodes"), F.slice("edges", 1, max_edges).alias("edges")))
+    if limit is None:
+        return full
+    part = lambda name, n: (F.col(name) if n is None else F.slice(name, 1, n)).alias(name)
+    slim = F.to_json(F.struct(*rest, part("nodes", max_nodes), part("edges", max_edges)))
     return F.when(F.length(full) > limit, slim).otherwise(full)
 
 

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from protspark.functions.lineage import cut
 from protspark.functions.ordered import exact_quantiles, ranked
 from protspark.functions.skew import first_n
 
 STATS = ["pident", "alnlen", "qstart", "qend", "evalue", "bits"]
 
 
-def top_hits(hits: DataFrame, max_hits: int = 16) -> DataFrame:
-    """Best row per (query, subject), then the best ``max_hits`` subjects per query, with ``rank``.
+def top_hits(hits: DataFrame, max_hits: int | None = None) -> DataFrame:
+    """Best row per (query, subject), then all subjects per query or the best ``max_hits``, with ``rank``.
 
     Lowest e-value first, then highest bits, then input order; missing values last.
     """
@@ -20,6 +21,8 @@ def top_hits(hits: DataFrame, max_hits: int = 16) -> DataFrame:
     key = F.struct(F.coalesce("evalue", F.lit(float("inf"))), F.coalesce(-F.col("bits"), F.lit(1e9)), F.col("ord"))
     rest = [c for c in hits.columns if c not in ("query", "subject")]
     best = hits.groupBy("query", "subject").agg(F.min_by(F.struct(*rest), key).alias("_r")).select("query", "subject", "_r.*")
+    if max_hits is None:
+        return ranked(cut(best), ["query"], order, "rank")
     return first_n(best, ["query"], order, max_hits, "rank")
 
 

@@ -35,9 +35,9 @@ def contact_rows(spark: SparkSession, root: str, structures: DataFrame, targets:
     return named.select("uniprot_id", "chain", F.col("i_pos").alias("i"), "aa_i", F.col("j_pos").alias("j"), "aa_j", "w", "dist", "model_id", "contact_type")
 
 
-def question_prompt(nodes: DataFrame, edges: DataFrame, question: str, template: str, k: int = 50, max_nodes: int = 220,
-                    max_edges: int = 800) -> DataFrame:
-    """Search, expand, prune, cap, shorten and pack the graph, and fill ``{{question}}`` and ``{{snapshot_json}}``.
+def question_prompt(nodes: DataFrame, edges: DataFrame, question: str, template: str, k: int | None = None, max_nodes: int | None = None,
+                    max_edges: int | None = None) -> DataFrame:
+    """Search, expand, prune and cap (as far as limits are given), shorten and pack the graph, and fill ``{{question}}`` and ``{{snapshot_json}}``.
 
     ``nodes`` and ``edges`` are stored tables. What follows the search is read several times by the next
     steps and is written once each.

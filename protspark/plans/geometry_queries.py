@@ -229,12 +229,25 @@ def query_sequence(spark, sf):
     best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ord) AS rn FROM h)
     SELECT query_id, ord, best.code, chain AS template_chain FROM best WHERE rn <= 8 AND code IN (SELECT substr(CAST(10000 + p_partkey AS VARCHAR), 2, 4) FROM part WHERE p_size > 20)""")
 def usable_hits(spark, sf):
+    """Of the first eight hits of a query those at hand."""
+    return A.usable_hits(*supplier_hits(spark, sf), first=8).select("query_id", "ord", "code", "template_chain")
+
+
+def supplier_hits(spark, sf):
     li, p = table(spark, sf, "lineitem"), table(spark, sf, "part")
     code = lambda c: F.substring((F.col(c) + 10000).cast("string"), 2, 4)
     subject = F.when(F.col("l_linestatus") == "O", F.concat(code("l_partkey"), F.lit("_"), F.lower("l_returnflag"))).otherwise("not a template")
     ord_ = F.col("l_orderkey") * 10000000 + F.col("l_partkey") * 1000 + F.col("l_linenumber") * 100 + F.col("l_quantity").cast("int")
     h = li.select(F.col("l_suppkey").alias("query_id"), ord_.alias("ord"), subject.alias("subject"))
-    return A.usable_hits(h, p.where("p_size > 20").select(code("p_partkey").alias("code")), 8).select("query_id", "ord", "code", "template_chain")
+    return h, p.where("p_size > 20").select(code("p_partkey").alias("code"))
+
+
+@query("geo15_all_usable_hits", """
+    SELECT l_suppkey AS query_id, l_orderkey * 10000000 + l_partkey * 1000 + l_linenumber * 100 + CAST(l_quantity AS INT) AS ord, substr(CAST(10000 + l_partkey AS VARCHAR), 2, 4) AS code, l_returnflag AS template_chain
+    FROM lineitem WHERE l_linestatus = 'O' AND substr(CAST(10000 + l_partkey AS VARCHAR), 2, 4) IN (SELECT substr(CAST(10000 + p_partkey AS VARCHAR), 2, 4) FROM part WHERE p_size > 20)""")
+def all_usable_hits(spark, sf):
+    """Every hit at hand, without a cap."""
+    return A.usable_hits(*supplier_hits(spark, sf)).select("query_id", "ord", "code", "template_chain")
 
 
 @query("geo10_align_pairs_roundtrip", f"""
