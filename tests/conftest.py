@@ -25,8 +25,3 @@ def small_groups(spark):
     spark.conf.set(HOT_GROUP_CONF, "5")
     yield
     spark.conf.unset(HOT_GROUP_CONF)
-
-
-def rows(df, *cols):
-    out = df.select(*cols) if cols else df
-    return sorted(tuple(r) for r in out.collect())

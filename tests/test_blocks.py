@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from conftest import rows
+from support import rows
 from protspark.functions import ordered, skew
 
 

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from conftest import rows
+from support import rows
 from protspark.operators import alignments as A
 from protspark.operators import geometry as G
 

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from support import rows
 from protspark.functions.columns import render_prompt
 from protspark.operators import retrieval as R
 from protspark.operators import upserts as U

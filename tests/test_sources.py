@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from support import rows
 from protspark.schemas import VARIANT_SYNONYMS
 from protspark.sources import entities, hits, sequences, sinks, snapshots, structures
 

@@ -2,7 +2,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from conftest import rows
+from support import rows
 from protspark.operators import upserts as U
 from protspark.streaming.ingest import entity_stream, fold_log, ingest_stream
 

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from conftest import rows
+from support import rows
 from protspark.functions import columns as C
 from protspark.operators import cleaning, drift, evaluation as E, learning, profiles as P, splits, topk as T, variants as V
 from protspark.streaming.monitor import monitor_stream

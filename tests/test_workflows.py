@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from conftest import rows
+from support import rows
 from protspark.functions.lineage import cut
 from protspark.operators import upserts as U
 from protspark.operators.workflows import contact_rows, question_prompt
