@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from protspark.llm import byte_index, centroids, credentials, decontaminate, deobfuscate, divergence, fair_mix, nbsvm, superkmers, wavelet
+from protspark.llm import (byte_index, centroids, credentials, decontaminate, deobfuscate, divergence, fair_mix, fill_in_middle, nbsvm, sentence_pieces,
+                           superkmers, wavelet, whitening)
 from protspark.llm.common import table
 
 QUERIES: dict = {}
@@ -68,3 +69,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_nb_support_vectors")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbsvm.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op11_shifted_cholesky_qr")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_swar_units", fill_in_middle.SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(table(spark, sf_dir, "documents"))
+
+
+@query("op13_vectorised_merges")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.digests(table(spark, sf_dir, "documents"))
