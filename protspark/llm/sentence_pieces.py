@@ -30,9 +30,9 @@ from pyspark.sql import DataFrame, functions as F
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 NONE = np.iinfo(np.int32).max
-KNOWN_IDS = 1 << 22  # ids of known words that a worker keeps
+KNOWN_IDS = 1 << 19  # ids of known words that a worker keeps, about 50 MB with their words
 KNOWN_CHARS = 64  # longer words are not kept
-CHARS_PER_SLICE = 1 << 22
+CHARS_PER_SLICE = 1 << 19
 
 
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -347,7 +347,7 @@ def decoded(encoded: DataFrame, model: str | None = None) -> DataFrame:
         m = _encoder(path).model
         for b in batches:
             raw = [x or b"" for x in b.column(1).to_pylist()]
-            for k, stop in _slices([len(x) for x in raw], 4 * CHARS_PER_SLICE):
+            for k, stop in _slices([len(x) for x in raw], CHARS_PER_SLICE):
                 ids = np.frombuffer(b"".join(raw[k:stop]), "<u4").astype(np.int64)
                 texts = decode(m, ids, np.array([len(x) // 4 for x in raw[k:stop]], np.int64))
                 yield pa.RecordBatch.from_arrays([*(c.slice(k, stop - k) for c in b.columns), pa.array(texts, pa.string())], schema=schema)
