@@ -33,3 +33,17 @@ def shared_folder(spark: SparkSession, name: str = "table") -> str:
     """A fresh path below the shared folder for a table written by a job."""
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str = "round") -> DataFrame:
+    """Like ``cut``, for loops: the table as files of the shared folder, deleted when the session's JVM ends.
+
+    A checkpoint keeps the size that the optimizer estimated for its plan. In a loop the estimates of the joins of all
+    rounds multiply, to numbers of so many digits that planning takes longer than the work. Files have their true size.
+    """
+    spark = df.sparkSession
+    folder = shared_folder(spark, name)
+    df.write.parquet(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(folder)

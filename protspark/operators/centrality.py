@@ -1,16 +1,29 @@
 """Node centralities of many graphs at once, by joins on ``(graph_id, node)``.
 
-No graph is handed to one task: distances, path counts and scores are tables, and each round is a join
-with the edge table and an aggregation, ending in a checkpoint.
+No graph is handed to one task. A node's state is one row, and a round joins the edges with the state of their far end and
+adds up per node. The edges hold one row from each node to itself, by which it keeps its own values, so that a round names
+the state once and several rounds make one job, with one shuffle each, before the next checkpoint.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from protspark.functions.lineage import cut
+from protspark.functions.lineage import written
+from protspark.functions.ordered import ranked
 from protspark.operators.residue_graph import KEY, adjacency, graph_nodes
 
+BLOCK = 16  # sources whose distances are kept at a time, in columns of one row per node
+ROUNDS = 4  # rounds between two checkpoints
+KEPT, STEPS = 6, 3  # eigenvector search: vectors kept from cycle to cycle, and new ones in a cycle
+DEPENDENT = 1e-6  # a direction of the basis whose squared length is below this depends on the others
+INF = "double('Infinity')"
+
 
 def _nodes(edges: DataFrame, nodes: DataFrame | None) -> DataFrame:
     return graph_nodes(edges) if nodes is None else nodes.select(KEY, "idx").distinct()
@@ -18,7 +31,7 @@ def _nodes(edges: DataFrame, nodes: DataFrame | None) -> DataFrame:
 
 def _stored(edges: DataFrame, weight: str | None) -> DataFrame:
     """The needed columns, written once: the rounds below read the edges many times."""
-    return cut(edges.select(KEY, "i", "j", *([weight] if weight else [])))
+    return written(edges.select(KEY, "i", "j", *([weight] if weight else [])))
 
 
 def _sizes(nodes: DataFrame) -> DataFrame:
@@ -34,78 +47,185 @@ def degree_centrality(edges: DataFrame, nodes: DataFrame | None = None) -> DataF
             .select(KEY, "idx", F.when(F.col("_n") > 1, F.coalesce("_d", F.lit(0)) / (F.col("_n") - 1)).otherwise(1.0).alias("degree")))
 
 
-def pagerank(edges: DataFrame, nodes: DataFrame | None = None, alpha: float = 0.85, iters: int = 100,
-             tol: float | None = 1e-6, weight: str | None = "w", every: int = 5) -> DataFrame:
+def _with_self(adj: DataFrame, ids: DataFrame) -> DataFrame:
+    """The edges and one row from each node to itself (``own``), written once."""
+    own = ids.select(KEY, "idx", F.col("idx").alias("nbr"), F.lit(True).alias("own"))
+    return written(adj.withColumn("own", F.lit(False)).unionByName(own, allowMissingColumns=True))
+
+
+def _round(adj: DataFrame, state: DataFrame, kept: list[str], sums: dict[str, str]) -> DataFrame:
+    """One round: per node sums over its edges, its own row among them, and its own ``kept`` columns.
+
+    The sums' terms are SQL text over the edge's columns and the far end's state; ``own`` marks the node's own row. Wide rows
+    are written as text because a Python call per term would take longer than the round.
+    """
+    return (adj.join(state.withColumnRenamed("idx", "nbr"), [KEY, "nbr"]).groupBy(KEY, "idx")
+            .agg(*[F.expr(f"sum({e}) AS {n}") for n, e in sums.items()], *[F.expr(f"max(CASE WHEN own THEN {c} END) AS {c}") for c in kept]))
+
+
+def pagerank(edges: DataFrame, nodes: DataFrame | None = None, alpha: float = 0.85, iters: int = 500,
+             tol: float | None = 1e-6, weight: str | None = "w", rounds: int = 8) -> DataFrame:
     """PageRank of undirected graphs; dangling mass goes to all nodes of the graph.
 
-    Stops when the total change is below ``tol * n`` in every graph, tested every ``every`` rounds;
-    ``tol=None`` runs exactly ``iters`` rounds. With a tolerance that ``iters`` rounds do not reach an error is raised.
+    Stops when the residual summed over a graph is below ``tol * n`` in every graph, tested every ``rounds`` rounds. The step
+    of an undirected graph has real eigenvalues between ``-alpha`` and ``alpha``, so each round is extrapolated by Chebyshev's
+    rule from the two before: 1e-6 takes 24 rounds instead of 85. ``tol=None`` runs exactly ``iters`` plain rounds. With
+    a tolerance that ``iters`` rounds do not reach an error is raised.
     """
     edges = _stored(edges, weight)
     ids = _nodes(edges, nodes)
-    adj = adjacency(edges, weight)
-    out = adj.groupBy(KEY, "idx").agg(F.sum("w").alias("_out"))
-    steps = cut(adj.join(out.where(F.col("_out") > 0), [KEY, "idx"]).select(KEY, F.col("idx").alias("from"), F.col("nbr").alias("idx"), (F.col("w") / F.col("_out")).alias("share")))
-    base = cut(ids.join(_sizes(ids), KEY).join(out, [KEY, "idx"], "left")
-               .select(KEY, "idx", "_n", (F.coalesce("_out", F.lit(0.0)) == 0).alias("_dangling")))
-    rank = base.select(KEY, "idx", (1 / F.col("_n")).alias("pr"))
-    # Without dangling nodes (the usual case) the rounds need no per-graph sum.
-    has_dangling = not base.where("_dangling").isEmpty()
+    links = adjacency(edges, weight)
+    out = links.groupBy(KEY, "idx").agg(F.sum("w").alias("_out"))
+    steps = links.join(out.where(F.col("_out") > 0), [KEY, "idx"]).select(
+        KEY, F.col("idx").alias("nbr"), F.col("nbr").alias("idx"), (F.col("w") / F.col("_out")).alias("share"))
+    known = written(ids.join(out, [KEY, "idx"], "left").select(KEY, "idx", (F.coalesce("_out", F.lit(0.0)) <= 0).alias("_stuck")))
+    sizes = known.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n"), F.count_if("_stuck").alias("_s"))
+    adj = _with_self(steps, known)
+    # A dangling node receives the even share only, so the mass all of them hold is known from the start when it has settled.
+    even = (1 - alpha) / F.col("_n")
+    if tol is not None:
+        even = even * (1 + alpha * F.col("_s") / (F.col("_n") - alpha * F.col("_s")))
+    state = known.join(sizes, KEY).select(KEY, "idx", "_n", "_stuck", even.alias("even"), (1 / F.col("_n")).alias("x"), F.lit(0.0).alias("before"))
+    if tol is None:
+        state = state.withColumn("lost", F.col("x") * 0)
+        has_stuck = not known.where("_stuck").isEmpty()
+    omega = 1.0
     for k in range(1, iters + 1):
-        flow = steps.join(rank.select(KEY, F.col("idx").alias("from"), "pr"), [KEY, "from"]).groupBy(KEY, "idx").agg(F.sum(F.col("pr") * F.col("share")).alias("_in"))
-        joined = base.join(flow, [KEY, "idx"], "left")
-        lost = F.lit(0.0)
-        if has_dangling:
-            gone = base.where("_dangling").join(rank, [KEY, "idx"]).groupBy(KEY).agg(F.sum("pr").alias("_lost"))
-            joined, lost = joined.join(gone, KEY, "left"), F.coalesce("_lost", F.lit(0.0))
-        new = joined.select(KEY, "idx", "_n", (alpha * (F.coalesce("_in", F.lit(0.0)) + lost / F.col("_n")) + (1 - alpha) / F.col("_n")).alias("pr"))
-        test = tol is not None and (k % every == 0 or k == iters)
-        if test or k % every == 0:
-            new = cut(new)
+        if tol is None and has_stuck:
+            lost = state.groupBy(KEY).agg(F.sum(F.when(F.col("_stuck"), F.col("x")).otherwise(0.0)).alias("_l"))
+            state = state.join(lost, KEY).withColumn("lost", F.col("_l") / F.col("_n")).drop("_l")
+        moved = _round(adj, state, [c for c in state.columns if c not in (KEY, "idx")], {"flow": "CASE WHEN own THEN 0D ELSE share * x END"})
+        step = alpha * F.col("flow") + F.col("even") + (alpha * F.col("lost") if tol is None else F.lit(0.0))
+        new = F.lit(omega) * (step - F.col("before")) + F.col("before")
+        kept = [c for c in state.columns if c not in (KEY, "idx", "x", "before")]
+        test = tol is not None and (k % rounds == 0 or k == iters)
+        state = moved.select(KEY, "idx", *kept, new.alias("x"), F.col("x").alias("before"), *([F.abs(step - F.col("x")).alias("_left")] if test else []))
+        if tol is not None:
+            omega = 2 / (2 - alpha * alpha) if k == 1 else 1 / (1 - alpha * alpha * omega / 4)
+        if test or (tol is None and (has_stuck or k % ROUNDS == 0)):
+            state = written(state)
         if test:
-            change = new.join(rank.withColumnRenamed("pr", "_old"), [KEY, "idx"]).groupBy(KEY).agg(
-                (F.sum(F.abs(F.col("pr") - F.col("_old"))) < tol * F.max("_n")).alias("ok"))
-            if change.where(~F.col("ok")).isEmpty():
-                return new.select(KEY, "idx", F.col("pr").alias("pagerank"))
-        rank = new.select(KEY, "idx", "pr")
-    if tol is not None:
-        raise RuntimeError(f"PageRank did not converge to {tol} in {iters} rounds")
-    return rank.withColumnRenamed("pr", "pagerank")
+            if state.groupBy(KEY).agg((F.sum("_left") <= tol * F.max("_n")).alias("ok")).where(~F.col("ok")).isEmpty():
+                break
+            state = state.drop("_left")
+    else:
+        if tol is not None:
+            raise RuntimeError(f"PageRank did not converge to {tol} in {iters} rounds")
+    return state.select(KEY, "idx", F.col("x").alias("pagerank"))
 
 
-def eigenvector_centrality(edges: DataFrame, nodes: DataFrame | None = None, iters: int = 100, tol: float | None = 1e-8,
-                           weight: str | None = "w", every: int = 5) -> DataFrame:
-    """Leading eigenvector with unit length per graph, by power iteration on ``A + I``; isolated nodes are 0.
+def eigenvector_centrality(edges: DataFrame, nodes: DataFrame | None = None, iters: int = 2_000, tol: float | None = 1e-8,
+                           weight: str | None = "w") -> DataFrame:
+    """Leading eigenvector with unit length per graph; isolated nodes are 0.
 
-    The shift keeps the eigenvectors and makes two-sided graphs converge. With a tolerance that ``iters`` rounds do not
-    reach an error is raised; ``tol=None`` runs exactly ``iters`` rounds.
+    With a tolerance: thick-restarted Lanczos. The residual of the best vector is multiplied by the edges ``STEPS`` times
+    (Chebyshev recurrence); together with the ``KEPT`` best vectors so far it spans a small space per graph, in which the next
+    best vectors are found from inner products, a few dozen numbers per graph. This goes on until the residual, relative to
+    the largest weighted degree, is at most ``tol``; graphs that are done leave. More than ``iters`` rounds are an error.
+
+    ``tol=None`` runs exactly ``iters`` rounds of power iteration on ``A + I``.
     """
     edges = _stored(edges, weight)
     ids = _nodes(edges, nodes)
-    adj = adjacency(edges, weight)
-    if tol is not None:  # the same eigenvectors; without it the shift outweighs small weights and rounds hardly move
-        top = adj.groupBy(KEY, "idx").agg(F.sum("w").alias("_d")).groupBy(KEY).agg(F.max("_d").alias("_d"))
-        adj = adj.join(top, KEY).withColumn("w", F.when(F.col("_d") > 0, F.col("w") / F.col("_d")).otherwise(F.col("w"))).drop("_d")
-    adj = cut(adj)
-    linked = adj.select(KEY, "idx").distinct()
-    size = _sizes(linked)
-    x = linked.join(size, KEY).select(KEY, "idx", (1 / F.sqrt(F.col("_n"))).alias("x"))
-    for k in range(1, iters + 1):
-        moved = adj.join(x.select(KEY, F.col("idx").alias("nbr"), "x"), [KEY, "nbr"]).groupBy(KEY, "idx").agg(F.sum(F.col("w") * F.col("x")).alias("_ax"))
-        raw = moved.join(x, [KEY, "idx"]).select(KEY, "idx", (F.col("_ax") + F.col("x")).alias("y"), "x")
-        norm = raw.groupBy(KEY).agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("_l"))
-        new = raw.join(norm, KEY).select(KEY, "idx", (F.col("y") / F.col("_l")).alias("x"), F.col("x").alias("_old"))
-        new = cut(new)
-        x = new.select(KEY, "idx", "x")
-        if tol is not None and (k % every == 0 or k == iters):
-            if (new.agg(F.max(F.abs(F.col("x") - F.col("_old")))).first()[0] or 0.0) < tol:
-                break
-    else:
-        if tol is not None:
-            raise RuntimeError(f"eigenvector centrality did not converge to {tol} in {iters} rounds")
+    links = adjacency(edges, weight)
+    x = _power_rounds(links, iters) if tol is None else _krylov(links, tol, iters)
     return ids.join(x, [KEY, "idx"], "left").select(KEY, "idx", F.coalesce("x", F.lit(0.0)).alias("eigen"))
 
 
+def _power_rounds(links: DataFrame, iters: int) -> DataFrame:
+    linked = links.select(KEY, "idx").distinct()
+    adj = _with_self(links, linked)
+    state = linked.withColumn("x", F.lit(1.0))
+    for k in range(1, iters + 1):
+        state = _round(adj, state, [], {"x": "CASE WHEN own THEN x ELSE w * x END"})
+        if k % ROUNDS == 0 or k == iters:
+            state = written(state)
+            length = state.groupBy(KEY).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("_l"))
+            state = state.join(length, KEY).select(KEY, "idx", (F.col("x") / F.col("_l")).alias("x"))
+    return state
+
+
+def _krylov(links: DataFrame, tol: float, iters: int) -> DataFrame:
+    degree = links.groupBy(KEY, "idx").agg(F.sum("w").alias("_d"))
+    scale = written(degree.groupBy(KEY).agg(F.max("_d").alias("_top"), F.avg("_d").alias("_mean"), F.count(F.lit(1)).alias("_n"))
+                .selectExpr(KEY, "_n", "CASE WHEN _top > 0 THEN _top ELSE 1D END AS _top", "_mean"))
+    adj = _with_self(links.join(scale, KEY).select(KEY, "idx", "nbr", (F.col("w") / F.col("_top")).alias("w")), degree)
+    known = scale.selectExpr(KEY, f"transform(sequence(1, {KEPT}), k -> CASE WHEN k = 1 THEN _mean / _top ELSE 0D END) AS values")
+    q, p = [f"q{k}" for k in range(KEPT)], [f"p{k}" for k in range(1, STEPS + 2)]
+    state = degree.join(scale, KEY).selectExpr(KEY, "idx", "1 / sqrt(_n) AS q0", *[f"0D AS {c}" for c in q[1:]], "_mean / _top AS value")
+    done = []
+    for _ in range(-(-iters // (STEPS + 1))):
+        # p1 is the residual of q0, the others are Chebyshev polynomials of the edges on it.
+        have = [*q, "value"]
+        for k, c in enumerate(p):
+            moved = _round(adj, state, have, {"y": f"CASE WHEN own THEN 0D ELSE w * {p[k - 1] if k else 'q0'} END"})
+            new = "y - value * q0" if k == 0 else "y" if k == 1 else f"2 * y - {p[k - 2]}"
+            state = moved.selectExpr(KEY, "idx", *have, f"{new} AS {c}")
+            have = [*have, c]
+        state = written(state)
+        every = [*q, *p]
+        products = [f"sum({a} * {b}) AS g{i}_{j}" for i, a in enumerate(every) for j, b in enumerate(every) if j >= i]
+        gram = state.groupBy(KEY).agg(*map(F.expr, products), *[F.expr(f"sum({a}) AS s{i}") for i, a in enumerate(every[:-1])])
+        best = written(_best_in_basis(known.join(gram, KEY)))
+        turned = [" + ".join(f"c[{k * (KEPT + STEPS) + j}] * {v}" for j, v in enumerate(every[:-1])) + f" AS {c}" for k, c in enumerate(q)]
+        both = state.drop("value").join(best, KEY)
+        done.append(both.where(F.col("left") <= tol).selectExpr(KEY, "idx", "q0 AS x"))
+        if best.where(F.col("left") > tol).isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        state = both.where(F.col("left") > tol).selectExpr(KEY, "idx", *turned, "values[0] AS value")
+        known = best.where(F.col("left") > tol).select(KEY, "values")
+    raise RuntimeError(f"eigenvector centrality did not converge to {tol} in {iters} rounds")
+
+
+def _best_in_basis(gram: DataFrame) -> DataFrame:
+    """Per graph the leading vectors within the span of the kept ones and the new ones: (graph_id, c, values, left).
+
+    ``c`` are their coefficients, one vector after the other, ``values`` their eigenvalues and ``left`` the length of the
+    residual of the first kept vector. One row per graph comes in, of a fixed number of inner products and the vectors' own
+    sums, which give the sign, and many graphs are solved in one call.
+    """
+    m = KEPT + STEPS
+
+    def of(values: np.ndarray, g: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        times = np.zeros((len(g), m + 1, m))  # the edges applied to a new vector, in terms of all vectors
+        for j in range(KEPT, m):
+            times[:, j + 1, j] = 1.0 if j == KEPT else 0.5
+            if j > KEPT:
+                times[:, j - 1, j] = 0.5
+        h = (g @ times)[:, :m]
+        h[:, KEPT:, :KEPT] = h[:, :KEPT, KEPT:].transpose(0, 2, 1)
+        at = np.arange(m)
+        h[:, at[:KEPT], at[:KEPT]] = values  # the kept vectors are the leading ones of the last span
+        h = (h + h.transpose(0, 2, 1)) / 2
+        diagonal = np.einsum("nii->ni", g)[:, :m]
+        size = np.where(diagonal > 0, 1 / np.sqrt(np.where(diagonal > 0, diagonal, 1.0)), 0.0)
+        lengths, turn = np.linalg.eigh(g[:, :m, :m] * size[:, :, None] * size[:, None, :])
+        used = lengths > DEPENDENT
+        w = size[:, :, None] * turn * np.where(used, 1 / np.sqrt(np.where(used, lengths, 1.0)), 0.0)[:, None, :]
+        small = w.transpose(0, 2, 1) @ h @ w
+        small[:, at, at] = np.where(used, small[:, at, at], -4.0)  # beyond the spectrum, never among the best
+        found, vectors = np.linalg.eigh(small)
+        c, found = (w @ vectors)[:, :, :-KEPT - 1:-1], found[:, :-KEPT - 1:-1]
+        c = np.where(found[:, None, :] < -2, 0.0, c)
+        c[:, :, 0] *= np.where(np.einsum("ni,ni->n", c[:, :, 0], sums) < 0, -1.0, 1.0)[:, None]
+        return c.transpose(0, 2, 1).reshape(len(g), -1), np.where(found < -2, 0.0, found)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            g = np.zeros((b.num_rows, m + 1, m + 1))
+            i, j = np.triu_indices(m + 1)
+            numbers = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns[2:]], axis=1)
+            g[:, i, j] = g[:, j, i] = numbers[:, :len(i)]
+            c, values = of(b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, KEPT), g, numbers[:, len(i):])
+            lists = [pa.array(list(x), pa.list_(pa.float64())) for x in (c, values)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *lists, pa.array(np.sqrt(np.maximum(g[:, KEPT, KEPT], 0.0)))], [KEY, "c", "values", "left"])
+
+    key_type = gram.schema[KEY].dataType.simpleString()
+    return gram.mapInArrow(run, f"{KEY} {key_type}, c array<double>, values array<double>, left double")
+
+
 def _lengths(edges: DataFrame, weight: str | None) -> DataFrame:
     """The shortest edge per pair, both directions. An edge without a positive, finite length is no edge."""
     return adjacency(edges, weight).where("w > 0").groupBy(KEY, "idx", "nbr").agg(F.min("w").alias("w"))
@@ -119,135 +239,136 @@ def shortest_distances(edges: DataFrame, nodes: DataFrame | None = None, weight:
     all-pairs distances are; ``sources`` cuts it into blocks. Edges whose weight is null, NaN, infinite, zero or
     negative are left out, so the rounds end after at most as many as a graph has nodes.
     """
-    adj = cut(_lengths(edges, weight))
+    adj = written(_lengths(edges, weight))
     start = (sources if sources is not None else _nodes(edges, nodes)).select(KEY, F.col("idx").alias("source"), "idx", F.lit(0.0).alias("dist"))
-    dist = cut(start.distinct())
+    dist = written(start.distinct())
     front = dist
     while True:
         tried = (front.join(adj, [KEY, "idx"]).groupBy(KEY, "source", F.col("nbr").alias("idx")).agg(F.min(F.col("dist") + F.col("w")).alias("dist")))
         known = dist.select(KEY, "source", "idx", F.col("dist").alias("_old"))
-        front = cut(tried.join(known, [KEY, "source", "idx"], "left").where(F.col("_old").isNull() | (F.col("dist") < F.col("_old"))).drop("_old"))
+        front = written(tried.join(known, [KEY, "source", "idx"], "left").where(F.col("_old").isNull() | (F.col("dist") < F.col("_old"))).drop("_old"))
         if front.isEmpty():
             return dist
-        dist = cut(dist.unionByName(front).groupBy(KEY, "source", "idx").agg(F.min("dist").alias("dist")))
+        dist = written(dist.unionByName(front).groupBy(KEY, "source", "idx").agg(F.min("dist").alias("dist")))
 
 
-def hop_levels(edges: DataFrame, nodes: DataFrame | None = None, sources: DataFrame | None = None) -> list[DataFrame]:
-    """Breadth-first levels from every node: ``(graph_id, source, idx, sigma)`` per hop count.
+def _blocks(edges: DataFrame, ids: DataFrame, weight: str | None, block: int) -> Iterator[tuple[DataFrame, DataFrame, int, int]]:
+    """Distances from one block of sources after another: (links, distances, number of the first source, width).
 
-    ``sigma`` counts the shortest paths from the source. A neighbour of level h is in level h-1, h or h+1,
-    so a round looks at two levels only, never at all that is known.
+    ``d0, d1, ...`` of a node are its distances from the block's sources, infinite where there is no path, and ``no`` is its
+    own number as a source. So the state is a block's width times the nodes, whatever the size of a graph.
     """
-    adj = cut(adjacency(edges.select(KEY, "i", "j").distinct(), None).select(KEY, "idx", "nbr"))
-    start = (sources if sources is not None else _nodes(edges, nodes)).select(KEY, F.col("idx").alias("source"), "idx").distinct()
-    front = cut(start.withColumn("sigma", F.lit(1.0)))
-    levels, before = [front], None
+    if weight:
+        lengths = _lengths(edges, weight)
+    else:
+        lengths = adjacency(edges, None).distinct()
+    links = _with_self(lengths.where("idx <> nbr"), ids)
+    numbered = written(ranked(ids, [KEY], [F.col("idx")], "no").join(_sizes(ids), KEY))
+    largest = numbered.agg(F.max("_n")).first()[0] or 0
+    width = min(block, largest)
+    for first in range(1, largest + 1, max(width, 1)):
+        own = [f"CASE WHEN no = {first + k} THEN 0D ELSE {INF} END AS d{k}" for k in range(width)]
+        start = numbered.where(F.col("_n") >= first).selectExpr(KEY, "idx", "no", *own)
+        yield links, _relaxed(links, start, width), first, width
+
+
+def _relaxed(links: DataFrame, state: DataFrame, width: int) -> DataFrame:
+    """Shorten all distances over the edges until nothing changes."""
+    d = [f"d{k}" for k in range(width)]
+    near = [f"min(CASE WHEN own THEN {c} ELSE {c} + w END) AS {c}" for c in d]
+    old = [f"max(CASE WHEN own THEN {c} END) AS _{c}" for c in d]
     while True:
-        reached = front.join(adj, [KEY, "idx"]).groupBy(KEY, "source", F.col("nbr").alias("idx")).agg(F.sum("sigma").alias("sigma"))
-        seen = front.select(KEY, "source", "idx") if before is None else front.select(KEY, "source", "idx").unionByName(before.select(KEY, "source", "idx"))
-        before, front = front, cut(reached.join(seen, [KEY, "source", "idx"], "left_anti"))
-        if front.isEmpty():
-            return levels
-        levels.append(front)
+        for k in range(ROUNDS):
+            columns = ["max(CASE WHEN own THEN no END) AS no", *near, *(old if k == ROUNDS - 1 else [])]
+            state = links.join(state.withColumnRenamed("idx", "nbr"), [KEY, "nbr"]).groupBy(KEY, "idx").agg(*map(F.expr, columns))
+        moved = " OR ".join(f"{c} < _{c}" for c in d)
+        state = written(state.selectExpr(KEY, "idx", "no", *d, f"{moved} AS _moved"))
+        if state.where("_moved").isEmpty():
+            return state.drop("_moved")
 
 
-def hop_distances(levels: list[DataFrame]) -> DataFrame:
-    out = None
-    for hop, level in enumerate(levels):
-        part = level.select(KEY, "source", "idx", F.lit(float(hop)).alias("dist"))
-        out = part if out is None else out.unionByName(part)
-    return out
+def closeness(edges: DataFrame, nodes: DataFrame | None = None, weight: str | None = None, block: int = BLOCK) -> DataFrame:
+    """``(r-1)/sum d * (r-1)/(n-1)`` with r reachable nodes; 0 for isolated nodes. Hops unless ``weight``.
 
-
-def closeness(edges: DataFrame, nodes: DataFrame | None = None, weight: str | None = None, distances: DataFrame | None = None) -> DataFrame:
-    """``(r-1)/sum d * (r-1)/(n-1)`` with r reachable nodes; 0 for isolated nodes. Hops unless ``weight``."""
+    Distances are found for ``block`` sources at a time and added up per node at once; they are the same in both directions.
+    """
     edges = _stored(edges, weight)
-    ids = cut(_nodes(edges, nodes))
-    nodes = ids
-    if distances is not None:
-        d = distances
-    elif weight:
-        d = shortest_distances(edges, nodes, weight)
-    else:
-        d = hop_distances(hop_levels(edges, nodes))
-    agg = d.groupBy(KEY, F.col("source").alias("idx")).agg((F.count(F.lit(1)) - 1).alias("_r"), F.sum("dist").alias("_s"))
+    ids = written(_nodes(edges, nodes))
+    total = None
+    for _, d, _, width in _blocks(edges, ids, weight, block):
+        found = " + ".join(f"CAST(d{k} > 0 AND d{k} < {INF} AS BIGINT)" for k in range(width))
+        far = " + ".join(f"CASE WHEN d{k} < {INF} THEN d{k} ELSE 0D END" for k in range(width))
+        total = _added(total, d.selectExpr(KEY, "idx", f"{found} AS _r", f"{far} AS _s"), ["_r", "_s"])
     value = F.when((F.col("_s") > 0) & (F.col("_n") > 1), F.col("_r") / F.col("_s") * F.col("_r") / (F.col("_n") - 1)).otherwise(0.0)
-    return ids.join(agg, [KEY, "idx"], "left").join(_sizes(ids), KEY).select(KEY, "idx", F.coalesce(value, F.lit(0.0)).alias("closeness"))
+    if total is None:
+        return ids.select(KEY, "idx", F.lit(0.0).alias("closeness"))
+    return ids.join(total, [KEY, "idx"], "left").join(_sizes(ids), KEY).select(KEY, "idx", F.coalesce(value, F.lit(0.0)).alias("closeness"))
+
+
+def _added(total: DataFrame | None, part: DataFrame, cols: list[str]) -> DataFrame:
+    """Node sums with one more block's; nothing of the block itself is kept."""
+    if total is None:
+        return part
+    return written(total.unionByName(part).groupBy(KEY, "idx").agg(*[F.sum(c).alias(c) for c in cols]))
 
 
-def betweenness(edges: DataFrame, nodes: DataFrame | None = None, weight: str | None = None, normalized: bool = True) -> DataFrame:
+def betweenness(edges: DataFrame, nodes: DataFrame | None = None, weight: str | None = None, normalized: bool = True, block: int = BLOCK) -> DataFrame:
     """Share of shortest paths through each node, endpoints not counted. Hops unless ``weight``, which must be
     positive; other edges are left out.
+
+    For ``block`` sources at a time the edges on shortest paths are marked, one bit per source; path counts flow along them
+    and dependencies back, and what a block gives is added to the node sums at once.
     """
     edges = _stored(edges, weight)
-    ids = cut(_nodes(edges, nodes))
-    delta = _weighted_dependencies(edges, ids, weight) if weight else _hop_dependencies(edges, ids)
+    ids = written(_nodes(edges, nodes))
+    total = None
+    for links, d, first, width in _blocks(edges, ids, weight, min(block, 62)):
+        total = _added(total, _dependencies(links, d, first, width), ["_b"])
+    if total is None:
+        return ids.select(KEY, "idx", F.lit(0.0).alias("betweenness"))
     pairs = (F.col("_n") - 1) * (F.col("_n") - 2)
     scale = F.when(F.col("_n") > 2, 1 / pairs).otherwise(1.0) if normalized else F.lit(0.5)
-    return (ids.join(delta, [KEY, "idx"], "left").join(_sizes(ids), KEY)
+    return (ids.join(total, [KEY, "idx"], "left").join(_sizes(ids), KEY)
             .select(KEY, "idx", (F.coalesce("_b", F.lit(0.0)) * scale).alias("betweenness")))
 
 
-def _hop_dependencies(edges: DataFrame, ids: DataFrame) -> DataFrame:
-    """Summed dependencies per node. Level by level from the far end: with ``g = dependency / paths``,
-    ``g(u) = sum over next-level neighbours v of (1 / paths(v) + g(v))``.
-    """
-    levels = hop_levels(edges, ids)
-    adj = cut(adjacency(edges.select(KEY, "i", "j").distinct(), None).select(KEY, "idx", "nbr"))
-    parts, below = [], None
-    for level in reversed(levels[1:]):
-        known = level if below is None else level.join(below, [KEY, "source", "idx"], "left")
-        g = F.lit(0.0) if below is None else F.coalesce("g", F.lit(0.0))
-        if below is not None:
-            parts.append(known.select(KEY, "idx", (g * F.col("sigma")).alias("d")))
-        sent = known.select(KEY, "source", F.col("idx").alias("nbr"), (1 / F.col("sigma") + g).alias("_c"))
-        # Sent to all neighbours; only those one level up read it.
-        below = cut(sent.join(adj, [KEY, "nbr"]).groupBy(KEY, "source", "idx").agg(F.sum("_c").alias("g")))
-    if not parts:
-        return ids.select(KEY, "idx", F.lit(0.0).alias("_b"))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return every.groupBy(KEY, "idx").agg(F.sum("d").alias("_b"))
-
-
-def _weighted_dependencies(edges: DataFrame, ids: DataFrame, weight: str) -> DataFrame:
-    """Edges on a shortest path from each source form an acyclic table. Path counts flow forward along it,
-    dependencies backward, one hop per round for all sources and graphs together.
+def _dependencies(links: DataFrame, d: DataFrame, first: int, width: int) -> DataFrame:
+    """Summed dependencies of one block's sources per node."""
+    ks = range(width)
+    far = d.selectExpr(KEY, "idx AS nbr", *[f"d{k} AS _u{k}" for k in ks])
+    near = d.selectExpr(KEY, "idx", *[f"d{k}" for k in ks])
+    mask = " | ".join(f"CASE WHEN _u{k} < {INF} AND _u{k} + w = d{k} THEN {1 << k}L ELSE 0L END" for k in ks)
+    tight = written(links.where("NOT own").join(far, [KEY, "nbr"]).join(near, [KEY, "idx"]).selectExpr(KEY, "idx", "nbr", f"{mask} AS mask").where("mask <> 0"))
+    nodes = d.select(KEY, "idx")
+    onto, back = _with_self(tight, nodes), _with_self(tight.selectExpr(KEY, "nbr AS idx", "idx AS nbr", "mask"), nodes)
+    source = [f"CASE WHEN no = {first + k} THEN 1D ELSE 0D END" for k in ks]
+    paths = _settled(onto, d.selectExpr(KEY, "idx", "no", *[f"{s} AS x{k}" for k, s in enumerate(source)]), ["no"], source)
+    paths = paths.selectExpr(KEY, "idx", "no", *[f"x{k} AS s{k}" for k in ks])
+    share = [f"CASE WHEN s{k} > 0 THEN 1 / s{k} ELSE 0D END" for k in ks]
+    shares = _settled(back, paths.selectExpr("*", *[f"{s} AS x{k}" for k, s in enumerate(share)]), ["no", *[f"s{k}" for k in ks]], share)
+    gained = " + ".join(f"CASE WHEN s{k} > 0 AND no <> {first + k} THEN s{k} * x{k} - 1 ELSE 0D END" for k in ks)
+    return shares.selectExpr(KEY, "idx", f"{gained} AS _b")
+
+
+def _settled(links: DataFrame, state: DataFrame, kept: list[str], start: list[str]) -> DataFrame:
+    """``x_k = start_k + sum of x_k`` over the marked edges of column k, an acyclic set, round by round until nothing changes.
+
+    A walk has fewer edges than its graph has nodes. A longer one would mean lengths so small beside others that a sum does
+    not change, which is an error.
     """
-    d = cut(shortest_distances(edges, ids, weight))
-    rounds = int(_sizes(ids).agg(F.max("_n")).first()[0] or 0)
-    dag = cut(d.join(_lengths(edges, weight), [KEY, "idx"])
-              .join(d.select(KEY, "source", F.col("idx").alias("nbr"), F.col("dist").alias("_d2")), [KEY, "source", "nbr"])
-              .where(F.col("dist") + F.col("w") == F.col("_d2")).select(KEY, "source", F.col("idx").alias("u"), F.col("nbr").alias("v")))
-    start = ids.select(KEY, F.col("idx").alias("source"), "idx", F.lit(1.0).alias("c"))
-    sigma = cut(_flow(dag, start, "u", "v", rounds).groupBy(KEY, "source", "idx").agg(F.sum("c").alias("sigma")))
-    seeds = sigma.where(F.col("idx") != F.col("source")).select(KEY, "source", "idx", (1 / F.col("sigma")).alias("c"))
-    back = _flow(dag, seeds, "v", "u", rounds, include_start=False).groupBy(KEY, "source", "idx").agg(F.sum("c").alias("_g"))
-    return (back.join(sigma, [KEY, "source", "idx"]).where(F.col("idx") != F.col("source"))
-            .groupBy(KEY, "idx").agg(F.sum(F.col("_g") * F.col("sigma")).alias("_b")))
-
-
-def _flow(dag: DataFrame, start: DataFrame, tail: str, head: str, rounds: int, include_start: bool = True) -> DataFrame:
-    """Amounts that reach each node along the acyclic edges over all walks, one set of rows per round.
-
-    A walk has fewer edges than its graph has nodes. A longer one means lengths so small beside others that a sum
-    does not change, which is an error.
-    """
-    front, total = cut(start), []
-    if include_start:
-        total.append(front)
-    for _ in range(rounds):
-        moved = (dag.join(front.withColumnRenamed("idx", tail), [KEY, "source", tail])
-                 .groupBy(KEY, "source", F.col(head).alias("idx")).agg(F.sum("c").alias("c")))
-        front = cut(moved)
-        if front.isEmpty():
-            break
-        total.append(front)
-    else:
-        if rounds:
+    x = [f"x{k}" for k in range(len(start))]
+    terms = {c: f"CASE WHEN own THEN {start[k]} WHEN mask & {1 << k}L <> 0 THEN {c} ELSE 0D END" for k, c in enumerate(x)}
+    moved = " OR ".join(f"abs({c} - _{c}) > 1e-12D * {c}" for c in x)
+    done, limit = 0, None
+    while True:
+        for k in range(ROUNDS):
+            last = k == ROUNDS - 1
+            now = state.selectExpr("*", *[f"{c} AS _{c}" for c in x]) if last else state
+            state = _round(links, now, [*kept, *([f"_{c}" for c in x] if last else [])], terms)
+        state = written(state.selectExpr(KEY, "idx", *kept, *x, f"{moved} AS _moved"))
+        if state.where("_moved").isEmpty():
+            return state.drop("_moved")
+        done += ROUNDS
+        limit = limit or (state.groupBy(KEY).count().agg(F.max("count")).first()[0] or 0)
+        if done > limit + ROUNDS:
             raise ValueError("edge lengths of one graph differ by more than a double can add up")
-    out = total[0] if total else front
-    for t in total[1:]:
-        out = out.unionByName(t)
-    return out

@@ -138,16 +138,40 @@ def eigenvector(spark, sf):
     return C.eigenvector_centrality(graphs(spark, sf), iters=6, tol=None).select(KEY, "idx", r6("eigen").alias("eigen"))
 
 
-@query("gra10_pagerank_converged")
+def _squared(name: str, k: int, scaled: bool) -> str:
+    """Matrix ``name_k`` as the square of the one before, scaled to a largest entry of 1 if asked."""
+    product = f"SELECT x.graph_id, x.a, y.b, sum(x.v * y.v) AS v FROM {name}{k - 1} x JOIN {name}{k - 1} y ON x.graph_id = y.graph_id AND x.b = y.a GROUP BY 1, 2, 3"
+    return f"{name}{k} AS MATERIALIZED (" + (f"SELECT graph_id, a, b, v / max(v) OVER (PARTITION BY graph_id) AS v FROM ({product})" if scaled else product) + ")"
+
+
+def pagerank_limit_sql(doublings: int) -> str:
+    """The fixed point: the series of all powers of the step, 2 ** doublings of them, by squaring each graph's matrix."""
+    steps = ["m0 AS MATERIALIZED (SELECT adj.graph_id, adj.b AS a, adj.a AS b, 0.85 * w / out AS v FROM adj JOIN o ON o.graph_id = adj.graph_id AND o.a = adj.a)",
+             "x0 AS (SELECT graph_id, idx, 0.15::DOUBLE / n AS x FROM nodes JOIN size USING (graph_id))"]
+    for k in range(1, doublings + 1):
+        steps += [f"""x{k} AS MATERIALIZED (SELECT graph_id, idx, sum(x) AS x FROM (SELECT * FROM x{k - 1} UNION ALL SELECT m.graph_id, m.a, m.v * x.x FROM m{k - 1} m
+            JOIN x{k - 1} x ON x.graph_id = m.graph_id AND x.idx = m.b) GROUP BY 1, 2)""", _squared("m", k, False)]
+    return f"""WITH {GRAPH_SQL}, o AS (SELECT graph_id, a, sum(w) AS out FROM adj GROUP BY 1, 2), {', '.join(steps[:-1])}
+        SELECT graph_id, idx, round(x, 6) + 0.0 AS pagerank FROM x{doublings}"""
+
+
+@query("gra10_pagerank_converged", pagerank_limit_sql(8))
 def pagerank_converged(spark, sf):
-    """Without SQL: compared with the dense solution in the tests."""
-    return C.pagerank(graphs(spark, sf), tol=1e-8, iters=1_000).select(KEY, "idx", "pagerank")
+    return C.pagerank(graphs(spark, sf), tol=1e-15).select(KEY, "idx", r6("pagerank").alias("pagerank"))
+
+
+def eigen_limit_sql(squarings: int) -> str:
+    """Powers of ``A / largest degree + I``, squared again and again, applied to ones."""
+    steps = [_squared("m", k, True) for k in range(1, squarings + 1)]
+    return f"""WITH {GRAPH_SQL}, top AS (SELECT graph_id, max(d) AS d FROM (SELECT graph_id, a, sum(w) AS d FROM adj GROUP BY 1, 2) GROUP BY 1),
+        m0 AS MATERIALIZED (SELECT graph_id, a, b, w / d AS v FROM adj JOIN top USING (graph_id) UNION ALL SELECT graph_id, idx, idx, 1.0::DOUBLE FROM nodes), {', '.join(steps)},
+        x AS (SELECT graph_id, a AS idx, sum(v) AS x FROM m{squarings} GROUP BY 1, 2)
+        SELECT graph_id, idx, round(x / sqrt(sum(x * x) OVER (PARTITION BY graph_id)), 6) + 0.0 AS eigen FROM x"""
 
 
-@query("gra11_eigenvector_converged")
+@query("gra11_eigenvector_converged", eigen_limit_sql(16))
 def eigenvector_converged(spark, sf):
-    """Without SQL: compared with the dense solution in the tests."""
-    return C.eigenvector_centrality(graphs(spark, sf), iters=10_000).select(KEY, "idx", "eigen")
+    return C.eigenvector_centrality(graphs(spark, sf), tol=1e-12).select(KEY, "idx", r6("eigen").alias("eigen"))
 
 
 DIST_SQL = "RECURSIVE " + GRAPH_SQL + """, walk AS (SELECT graph_id, idx AS s, idx AS v, 0 AS d FROM nodes
@@ -162,7 +186,31 @@ def closeness(spark, sf):
     return C.closeness(graphs(spark, sf)).select(KEY, "idx", r6("closeness").alias("closeness"))
 
 
-@query("gra12_closeness_weighted")
+def lengths_sql(rounds: int = 14) -> str:
+    """Weighted distances by relaxing every edge once a round; a graph here has at most 15 nodes."""
+    steps = [f"""d{k} AS MATERIALIZED (SELECT graph_id, s, v, min(d) AS d FROM (SELECT * FROM d{k - 1} UNION ALL SELECT x.graph_id, x.s, adj.b, x.d + adj.w FROM d{k - 1} x
+        JOIN adj ON adj.graph_id = x.graph_id AND adj.a = x.v) GROUP BY 1, 2, 3)""" for k in range(1, rounds + 1)]
+    return f"{GRAPH_SQL}, d0 AS (SELECT graph_id, idx AS s, idx AS v, 0.0::DOUBLE AS d FROM nodes), {', '.join(steps)}, dist AS (SELECT * FROM d{rounds})"
+
+
+def weighted_betweenness_sql(rounds: int = 14) -> str:
+    """Path counts forward and dependencies back along the edges on shortest paths, one step a round."""
+    steps = ["p0 AS (SELECT graph_id, idx AS s, idx AS v, 1.0::DOUBLE AS c FROM nodes)"]
+    steps += [f"""p{k} AS MATERIALIZED (SELECT graph_id, s, v, sum(c) AS c FROM (SELECT * FROM p0 UNION ALL SELECT t.graph_id, t.s, t.v, p.c FROM tight t
+        JOIN p{k - 1} p ON p.graph_id = t.graph_id AND p.s = t.s AND p.v = t.u) GROUP BY 1, 2, 3)""" for k in range(1, rounds + 1)]
+    steps += [f"h0 AS (SELECT graph_id, s, v, 1 / c AS c FROM p{rounds})"]
+    steps += [f"""h{k} AS MATERIALIZED (SELECT graph_id, s, v, sum(c) AS c FROM (SELECT * FROM h0 UNION ALL SELECT t.graph_id, t.s, t.u, h.c FROM tight t
+        JOIN h{k - 1} h ON h.graph_id = t.graph_id AND h.s = t.s AND h.v = t.v) GROUP BY 1, 2, 3)""" for k in range(1, rounds + 1)]
+    return f"""WITH {lengths_sql(rounds)}, tight AS MATERIALIZED (SELECT x.graph_id, x.s, x.v AS u, y.v FROM dist x JOIN adj ON adj.graph_id = x.graph_id AND adj.a = x.v
+            JOIN dist y ON y.graph_id = x.graph_id AND y.s = x.s AND y.v = adj.b WHERE x.d + adj.w = y.d), {', '.join(steps)},
+        b AS (SELECT graph_id, v AS idx, sum(p.c * h.c - 1) AS b FROM p{rounds} p JOIN h{rounds} h USING (graph_id, s, v) WHERE s <> v GROUP BY 1, 2)
+        SELECT nodes.graph_id, nodes.idx, round(coalesce(b, 0) * CASE WHEN n > 2 THEN 1.0::DOUBLE / ((n - 1) * (n - 2)) ELSE 1.0 END, 6) + 0.0 AS betweenness
+        FROM nodes JOIN size USING (graph_id) LEFT JOIN b ON b.graph_id = nodes.graph_id AND b.idx = nodes.idx"""
+
+
+@query("gra12_closeness_weighted", f"""
+    WITH {lengths_sql()}, c AS (SELECT graph_id, s AS idx, count(*) - 1 AS r, sum(d) AS t FROM dist GROUP BY 1, 2)
+    SELECT graph_id, idx, round(CASE WHEN t > 0 THEN r / t * r / (n - 1) ELSE 0 END, 6) + 0.0 AS closeness FROM c JOIN size USING (graph_id)""")
 def closeness_weighted(spark, sf):
     return C.closeness(graphs(spark, sf), weight="w").select(KEY, "idx", r6("closeness").alias("closeness"))
 
@@ -179,7 +227,7 @@ def betweenness(spark, sf):
     return C.betweenness(graphs(spark, sf)).select(KEY, "idx", r6("betweenness").alias("betweenness"))
 
 
-@query("gra13_betweenness_weighted")
+@query("gra13_betweenness_weighted", weighted_betweenness_sql())
 def betweenness_weighted(spark, sf):
     return C.betweenness(graphs(spark, sf), weight="w").select(KEY, "idx", r6("betweenness").alias("betweenness"))
 

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from protspark.functions.lineage import cut
 from protspark.operators import centrality as C
 from protspark.plans import residue_graph_queries as Q
 
@@ -12,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture
 def dense(spark, monkeypatch):
     """Some graphs of the registered queries, as matrices."""
-    some = Q.graphs(spark, SF).where("graph_id % 40 = 1").localCheckpoint()
+    some = cut(Q.graphs(spark, SF).where("graph_id % 40 = 1"))
     monkeypatch.setattr(Q, "graphs", lambda *_: some)
     mats = {}
     for r in Q.graphs(spark, SF).select("graph_id", "i", "j", "w").collect():
