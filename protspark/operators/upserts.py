@@ -1,11 +1,14 @@
 """Idempotent keyed upserts into a property graph kept as a node and an edge table.
 
 Nodes are ``(id, labels, props)`` with ``id = label:key``; edges are ``(src, dst, type, props)``. A batch
-carries ``ord``, the order of its rows. The latest row wins per property (nodes) or per edge. An upsert is
-one aggregation by key over the batch and the rows it touches: partial results are combined before the
-shuffle, so a key with very many rows does not load one task. Rows no batch key names pass through by an
-anti join, which needs no shuffle of the stored table while the batch's keys are small enough to broadcast.
-The batch is written once to the checkpoint folder, because its keys, nodes and edges are all made from it.
+carries ``ord``, the order of its rows. The latest row wins per property (nodes) or per edge. All rows of a label carry the
+same columns, so a batch is reduced to the last row per key, partially before the shuffle, and then merged with the stored
+table by one outer join that reads it once. The batch is written once to the checkpoint folder, because its keys,
+nodes and edges are all made from it. For many small batches on a large graph see ``streaming/store.py``, which does not
+touch the stored table.
+
+``*_changes`` functions turn a batch into node rows ``(id, label, ord, row, need)`` and edge rows ``(src, dst, type, props,
+ord, need)``; ``need`` are the ids of nodes that must exist for the row to count.
 """
 
 from __future__ import annotations
@@ -16,11 +19,11 @@ from protspark.functions.columns import coalesce_nonempty, default_key, derive_p
 from protspark.functions.lineage import cut
 from protspark.schemas import ENDPOINTS, LABEL_KEYS
 
+
 def _no_props() -> Column:
     return F.create_map().cast("map<string,string>")
 
 
-
 def node_id(label: str, key: str | Column) -> Column:
     c = F.col(key) if isinstance(key, str) else key
     return F.concat(F.lit(f"{label}:"), c.cast("string"))
@@ -34,39 +37,36 @@ def empty_edges(spark) -> DataFrame:
     return spark.createDataFrame([], "src string, dst string, type string, props map<string,string>")
 
 
-def _old_entries(nodes: DataFrame) -> DataFrame:
-    return nodes.select("id", "labels", F.lit(-1).cast("long").alias("ord"), F.explode("props").alias("k", "v"))
+def _needs(*ids: Column) -> Column:
+    return (F.array(*ids) if ids else F.array()).cast("array<string>").alias("need")
 
 
-def _new_entries(batch: DataFrame, label: str, key: str, cols: list[str]) -> DataFrame:
-    entries = F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v")) for c in cols])
-    return (batch.select(node_id(label, key).alias("id"), F.array(F.lit(label)).alias("labels"), F.col("ord").cast("long").alias("ord"), F.explode(entries).alias("e"))
-            .select("id", "labels", "ord", "e.k", "e.v"))
+def _rows(batch: DataFrame, label: str, key: str, cols: list[str], *need: Column) -> DataFrame:
+    """One node row per batch row: its columns as a map, null values kept."""
+    entries = F.create_map(*[x for c in cols for x in (F.lit(c), F.col(c).cast("string"))]) if cols else _no_props()
+    return batch.select(node_id(label, key).alias("id"), F.lit(label).alias("label"), F.col("ord").cast("long").alias("ord"),
+                        entries.cast("map<string,string>").alias("row"), _needs(*need))
 
 
-def _assemble(entries: DataFrame) -> DataFrame:
-    """Last value per (node, property); null removes the property. A node keeps all labels it ever had, sorted."""
-    last = entries.groupBy("id", "k").agg(F.max_by("v", "ord").alias("v"), F.flatten(F.collect_set("labels")).alias("ls"))
-    # One entry per property name, so a node's lists are as short as its column list.
-    entry = F.when(F.col("v").isNotNull(), F.struct("k", "v"))
-    nodes = last.groupBy("id").agg(F.array_sort(F.collect_list(entry)).alias("kv"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ls")))).alias("labels"))
-    return nodes.where(F.size("kv") > 0).select("id", "labels", F.map_from_entries("kv").alias("props"))
+def node_changes(batch: DataFrame, label: str, key: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """One node per key, no edges."""
+    rows = _rows(batch, label, key or LABEL_KEYS[label], [c for c in batch.columns if c != "ord"])
+    return rows, _link(batch.where(F.lit(False)), F.lit(""), F.lit(""), "")
 
 
 def upsert_nodes(nodes: DataFrame, batch: DataFrame, label: str, key: str | None = None) -> DataFrame:
     """Merge rows by key; the last row wins per property, null removes it, blank overwrites it."""
-    key = key or LABEL_KEYS[label]
-    cols = [c for c in batch.columns if c != "ord"]
-    return _merge_nodes(nodes, _new_entries(cut(batch), label, key, cols))
+    return _merge_nodes(nodes, node_changes(batch, label, key)[0])
 
 
-def _merge_nodes(nodes: DataFrame, *entries: DataFrame) -> DataFrame:
-    new = entries[0]
-    for e in entries[1:]:
-        new = new.unionByName(e)
-    touched = new.select("id").distinct()
-    merged = _assemble(_old_entries(nodes.join(touched, "id", "left_semi")).unionByName(new))
-    return nodes.join(touched, "id", "left_anti").unionByName(merged)
+def _merge_nodes(nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """The stored nodes with the last row of each id; a null value removes a property, and labels are kept."""
+    last = rows.groupBy("id").agg(F.max_by("row", "ord").alias("row"), F.first("label").alias("label"))
+    both = nodes.select("id", "labels", "props").join(last, "id", "full_outer")
+    labels = F.expr("CASE WHEN label IS NULL THEN labels ELSE array_sort(array_union(coalesce(labels, array()), array(label))) END")
+    props = F.expr("""CASE WHEN row IS NULL THEN coalesce(props, CAST(map() AS map<string,string>)) ELSE map_concat(
+        map_filter(coalesce(props, CAST(map() AS map<string,string>)), (k, v) -> NOT map_contains_key(row, k)), map_filter(row, (k, v) -> v IS NOT NULL)) END""")
+    return both.select("id", labels.alias("labels"), props.alias("props"))
 
 
 def merge_edges(edges: DataFrame, *batches: DataFrame) -> DataFrame:
@@ -76,17 +76,23 @@ def merge_edges(edges: DataFrame, *batches: DataFrame) -> DataFrame:
         part = b.select("src", "dst", "type", F.col("props").cast("map<string,string>"), F.col("ord").cast("long"))
         new = part if new is None else new.unionByName(part)
     key = ["src", "dst", "type"]
-    touched = new.select(*key).distinct()
-    old = edges.select(*key, "props", F.lit(-1).cast("long").alias("ord")).join(touched, key, "left_semi")
     given = F.when(F.col("props").isNotNull(), F.col("ord"))
-    merged = (old.unionByName(new).groupBy(*key).agg(F.max_by("props", given).alias("props"))
-              .withColumn("props", F.coalesce("props", _no_props())))
-    return edges.join(touched, key, "left_anti").select(*key, "props").unionByName(merged)
+    last = new.groupBy(*key).agg(F.max_by("props", given).alias("_new"), F.lit(True).alias("_touched"))
+    both = edges.select(*key, "props").join(last, key, "full_outer")
+    merged = F.when(F.col("_touched"), F.coalesce("_new", "props", _no_props())).otherwise(F.col("props"))
+    return both.select(*key, merged.alias("props"))
 
 
-def _link(batch: DataFrame, src: Column, dst: Column, kind: str, props: Column | None = None) -> DataFrame:
+def _link(batch: DataFrame, src: Column, dst: Column, kind: str, props: Column | None = None, need: tuple[Column, ...] = ()) -> DataFrame:
     p = F.lit(None).cast("map<string,string>") if props is None else props
-    return batch.select(src.alias("src"), dst.alias("dst"), F.lit(kind).alias("type"), p.alias("props"), F.col("ord").cast("long").alias("ord"))
+    return batch.select(src.alias("src"), dst.alias("dst"), F.lit(kind).alias("type"), p.alias("props"), F.col("ord").cast("long").alias("ord"), _needs(*need))
+
+
+def _all(*parts: DataFrame) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def _per(edges: DataFrame, kind: str, prop: str) -> DataFrame:
@@ -107,28 +113,49 @@ def _existing(batch: DataFrame, nodes: DataFrame, label: str, key: str) -> DataF
     return batch.join(ids, node_id(label, key) == F.col("_id"), "left_semi")
 
 
-def upsert_contacts(nodes: DataFrame, edges: DataFrame, batch: DataFrame, key_by_model: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Residue contacts: protein, both residues, HAS_RESIDUE edges and one directed CONTACTS edge per pair.
-
-    By default a later model overwrites the edge of an earlier one; ``key_by_model`` keeps one per model.
-    """
-    rows = cut(require_key(batch, "uniprot_id").withColumns({
-        "model_id": F.coalesce(F.col("model_id"), F.lit("")), "contact_type": F.coalesce(F.col("contact_type"), F.lit(""))}))
+def contact_changes(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Residue contacts: protein, both residues, HAS_RESIDUE edges and one directed CONTACTS edge per pair."""
+    rows = require_key(batch, "uniprot_id").withColumns({
+        "model_id": F.coalesce(F.col("model_id"), F.lit("")), "contact_type": F.coalesce(F.col("contact_type"), F.lit(""))})
     uid = lambda p: F.concat_ws(":", F.col("uniprot_id"), F.col(p).cast("string"))
     protein = node_id("Protein", "uniprot_id")
     ends = [rows.select((F.col("ord") * 2 + k).alias("ord"), uid(p).alias("residue_uid"), "uniprot_id",
                         F.col(p).alias("pos"), F.col(f"aa_{p}").alias("aa")) for k, p in enumerate("ij")]
-    residues = [_new_entries(e, "Residue", "residue_uid", ["residue_uid", "uniprot_id", "pos", "aa"]) for e in ends]
-    proteins = _new_entries(rows, "Protein", "uniprot_id", ["uniprot_id"])
+    residues = [_rows(e, "Residue", "residue_uid", ["residue_uid", "uniprot_id", "pos", "aa"]) for e in ends]
     has = [_link(rows, protein, node_id("Residue", uid(p)), "HAS_RESIDUE") for p in "ij"]
     props = _props({c: F.col(c) for c in ("dist", "w", "chain", "model_id", "contact_type")})
     pair = _link(rows, node_id("Residue", uid("i")), node_id("Residue", uid("j")), "CONTACTS", props)
-    if key_by_model:
-        pair, edges = _per(pair, "CONTACTS", "model_id"), _per(edges, "CONTACTS", "model_id")
-    merged = merge_edges(edges, *has, pair)
-    if key_by_model:
+    return _all(_rows(rows, "Protein", "uniprot_id", ["uniprot_id"]), *residues), _all(*has, pair)
+
+
+def _merged(nodes: DataFrame, edges: DataFrame, rows: DataFrame, links: DataFrame, per: tuple[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both tables with a batch's changes; ``per`` (type, property) keeps one edge of the type per value of the property."""
+    if per:
+        links, edges = _per(links, *per), _per(edges, *per)
+    merged = merge_edges(edges, links)
+    if per:
         merged = merged.withColumn("type", F.substring_index("type", "@", 1))
-    return _merge_nodes(nodes, proteins, *residues), merged
+    return _merge_nodes(nodes, rows), merged
+
+
+def upsert_contacts(nodes: DataFrame, edges: DataFrame, batch: DataFrame, key_by_model: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``contact_changes`` merged. By default a later model overwrites the edge of an earlier one; ``key_by_model`` keeps
+    one per model.
+    """
+    return _merged(nodes, edges, *contact_changes(cut(batch)), ("CONTACTS", "model_id") if key_by_model else None)
+
+
+def assay_changes(batch: DataFrame, key_by_assay: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The assay node, HAS_ASSAY, TARGETS and BINDS; all need the protein and the ligand."""
+    rows = default_key(batch, "assays")
+    ligand, protein = node_id("Ligand", "ligand_id"), node_id("Protein", "uniprot_id")
+    need = (ligand, protein)
+    cols = [c for c in rows.columns if c != "ord"]
+    said = ("metric", "units", "value", "source", "year", *(["assay_id"] if key_by_assay else []))
+    props = _props({c: F.col(c) if c in rows.columns else F.lit(None) for c in said})
+    links = _all(_link(rows, ligand, node_id("AssayResult", "assay_id"), "HAS_ASSAY", need=need),
+                 _link(rows, ligand, protein, "TARGETS", need=need), _link(rows, ligand, protein, "BINDS", props, need))
+    return _rows(rows, "AssayResult", "assay_id", cols, *need), links
 
 
 def upsert_assays(nodes: DataFrame, edges: DataFrame, batch: DataFrame, key_by_assay: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -137,29 +164,22 @@ def upsert_assays(nodes: DataFrame, edges: DataFrame, batch: DataFrame, key_by_a
     There is one BINDS per ligand and protein and the last assay wins, unless ``key_by_assay``, which stores
     ``assay_id`` on the edge and keeps one per assay.
     """
-    rows = default_key(batch, "assays")
-    linked = cut(_existing(_existing(rows, nodes, "Protein", "uniprot_id"), nodes, "Ligand", "ligand_id"))
-    ligand, protein = node_id("Ligand", "ligand_id"), node_id("Protein", "uniprot_id")
-    cols = [c for c in linked.columns if c != "ord"]
-    said = ("metric", "units", "value", "source", "year", *(["assay_id"] if key_by_assay else []))
-    props = _props({c: F.col(c) if c in linked.columns else F.lit(None) for c in said})
-    binds = _link(linked, ligand, protein, "BINDS", props)
-    if key_by_assay:
-        binds, edges = _per(binds, "BINDS", "assay_id"), _per(edges, "BINDS", "assay_id")
-    merged = merge_edges(edges, _link(linked, ligand, node_id("AssayResult", "assay_id"), "HAS_ASSAY"),
-                         _link(linked, ligand, protein, "TARGETS"), binds)
-    if key_by_assay:
-        merged = merged.withColumn("type", F.substring_index("type", "@", 1))
-    return _merge_nodes(nodes, _new_entries(linked, "AssayResult", "assay_id", cols)), merged
+    linked = cut(_existing(_existing(default_key(batch, "assays"), nodes, "Protein", "uniprot_id"), nodes, "Ligand", "ligand_id"))
+    return _merged(nodes, edges, *assay_changes(linked, key_by_assay), ("BINDS", "assay_id") if key_by_assay else None)
+
+
+def toxicity_changes(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The event node and HAS_TOXICITY; both need the ligand."""
+    rows = default_key(require_key(batch, "ligand_id"), "toxicity")
+    ligand = node_id("Ligand", "ligand_id")
+    cols = [c for c in rows.columns if c != "ord"]
+    return (_rows(rows, "ToxicityEvent", "tox_id", cols, ligand),
+            _link(rows, ligand, node_id("ToxicityEvent", "tox_id"), "HAS_TOXICITY", need=(ligand,)))
 
 
 def upsert_toxicity(nodes: DataFrame, edges: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Toxicity rows whose ligand exists: the event node and HAS_TOXICITY."""
-    rows = default_key(require_key(batch, "ligand_id"), "toxicity")
-    linked = cut(_existing(rows, nodes, "Ligand", "ligand_id"))
-    cols = [c for c in linked.columns if c != "ord"]
-    merged = merge_edges(edges, _link(linked, node_id("Ligand", "ligand_id"), node_id("ToxicityEvent", "tox_id"), "HAS_TOXICITY"))
-    return _merge_nodes(nodes, _new_entries(linked, "ToxicityEvent", "tox_id", cols)), merged
+    return _merged(nodes, edges, *toxicity_changes(cut(_existing(batch, nodes, "Ligand", "ligand_id"))))
 
 
 PARTNERS = {"uniprot_id": "Protein", "ligand_id": "Ligand", "antibody_id": "Antibody", "peptide_id": "Peptide"}
@@ -175,13 +195,21 @@ def normalize_structures(batch: DataFrame) -> DataFrame:
     return rows.withColumn("pdb_id", F.coalesce(given, derive_pdb_id("structure_id", "path")))
 
 
-def upsert_structures(nodes: DataFrame, edges: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The structure node always; HAS_STRUCTURE from each partner that exists."""
-    rows = cut(normalize_structures(batch))
+def structure_changes(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The structure node always; HAS_STRUCTURE from each partner, which it needs."""
+    rows = normalize_structures(batch)
     cols = [c for c in rows.columns if c != "ord"]
-    links = [_link(_existing(rows, nodes, label, key), node_id(label, key), node_id("Structure", "structure_id"), "HAS_STRUCTURE")
+    links = [_link(rows, node_id(label, key), node_id("Structure", "structure_id"), "HAS_STRUCTURE", need=(node_id(label, key),))
              for key, label in PARTNERS.items() if key in rows.columns]
-    return _merge_nodes(nodes, _new_entries(rows, "Structure", "structure_id", cols)), merge_edges(edges, *links)
+    none = _link(rows.where(F.lit(False)), F.lit(""), F.lit(""), "HAS_STRUCTURE")
+    return _rows(rows, "Structure", "structure_id", cols), _all(none, *links)
+
+
+def upsert_structures(nodes: DataFrame, edges: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The structure node always; HAS_STRUCTURE from each partner that exists."""
+    rows, links = structure_changes(cut(batch))
+    known = nodes.select(F.col("id").alias("_id"), F.explode("labels").alias("_label")).where(F.col("_id").startswith(F.concat("_label", F.lit(":")))).select("_id").distinct()
+    return _merged(nodes, edges, rows, links.join(known, F.get("need", F.lit(0)) == F.col("_id"), "left_semi"))
 
 
 def check_unique(nodes: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from protspark.operators import upserts as U
-from protspark.plans.registry import query, table
+from protspark.plans.registry import ORACLES, query, table
 
 
 def proteins(spark, sf):
@@ -85,14 +85,38 @@ def contact_edges_by_model(spark, sf):
     UNION ALL SELECT DISTINCT 'TARGETS', 'Ligand:' || l, 'Protein:' || p, NULL, NULL FROM linked
     UNION ALL SELECT DISTINCT 'HAS_ASSAY', 'Ligand:' || l, 'AssayResult:' || a, NULL, NULL FROM linked""")
 def upsert_assays(spark, sf):
-    nodes = U.upsert_nodes(U.upsert_nodes(U.empty_nodes(spark), proteins(spark, sf), "Protein"), ligands(spark, sf), "Ligand")
+    _, edges = U.upsert_assays(partners(spark, sf), U.empty_edges(spark), assay_batch(spark, sf))
+    return edges.select("type", "src", "dst", prop("metric"), F.col("props")["value"].cast("double").alias("value"))
+
+
+def partners(spark, sf):
+    return U.upsert_nodes(U.upsert_nodes(U.empty_nodes(spark), proteins(spark, sf), "Protein"), ligands(spark, sf), "Ligand")
+
+
+def assay_batch(spark, sf):
     o = table(spark, sf, "orders")
-    batch = o.select(F.col("o_orderkey").alias("ord"), F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderkey").cast("string")).otherwise("").alias("assay_id"),
+    return o.select(F.col("o_orderkey").alias("ord"), F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderkey").cast("string")).otherwise("").alias("assay_id"),
                      F.col("o_custkey").cast("string").alias("uniprot_id"), F.pmod("o_custkey", F.lit(150)).cast("string").alias("ligand_id"), F.col("o_orderstatus").alias("metric"), F.col("o_totalprice").alias("value"))
-    _, edges = U.upsert_assays(nodes, U.empty_edges(spark), batch)
+
+
+@query("ups03_assays_applied_twice", ORACLES["ups03_upsert_assays"])
+def assays_twice(spark, sf):
+    """A batch applied again changes nothing."""
+    nodes, edges = partners(spark, sf), U.empty_edges(spark)
+    for _ in range(2):
+        nodes, edges = U.upsert_assays(nodes, edges, assay_batch(spark, sf))
     return edges.select("type", "src", "dst", prop("metric"), F.col("props")["value"].cast("double").alias("value"))
 
 
+@query("ups02_contacts_applied_twice", ORACLES["ups02_upsert_contacts_edges"])
+def contacts_twice(spark, sf):
+    """A batch applied again changes nothing."""
+    nodes, edges = U.empty_nodes(spark), U.empty_edges(spark)
+    for _ in range(2):
+        nodes, edges = U.upsert_contacts(nodes, edges, contact_batch(spark, sf))
+    return edges.select("type", "src", "dst", F.col("props")["dist"].cast("double").alias("dist"), prop("model_id"))
+
+
 @query("ups04_upsert_toxicity", """
     SELECT 'Ligand:' || doc_id AS src, 'ToxicityEvent:tox:' || doc_id || ':' || CASE WHEN toxic = 1 THEN 'toxic' ELSE 'clean' END AS dst
     FROM labels JOIN documents USING (doc_id) WHERE lang = 'en'""")

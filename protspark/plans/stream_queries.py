@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from protspark.functions.lineage import shared_folder
 from protspark.operators import drift, upserts
+from protspark.plans import graph_tables
 from protspark.plans.drift_queries import EDGES, bin_sql
-from protspark.plans.registry import query, r6, table
-from protspark.streaming import ingest, monitor
+from protspark.plans.registry import ORACLES, query, r6, table
+from protspark.streaming import ingest, monitor, store
 
 
 @query("str01_ingest_stream", """
@@ -24,6 +25,33 @@ def ingest_stream(spark, sf):
     return nodes.select("id", F.col("props")["name"].alias("name"), F.col("props")["source"].alias("source"))
 
 
+@query("str01_merge_stream", """
+    SELECT 'Ligand:' || user_id AS id, arg_max(event_type, event_id) AS name, CAST(arg_max(event_id, event_id) AS VARCHAR) AS source FROM events GROUP BY user_id""")
+def merge_stream(spark, sf):
+    """The same feed merged into a store, one file per trigger, with a restart after the second file."""
+    e = table(spark, sf, "events").select(F.col("user_id").alias("ligand_id"), F.col("event_type").alias("name"), F.col("event_id").alias("source"), F.col("event_id").alias("ord"))
+    files, state = shared_folder(spark, "arrivals"), shared_folder(spark, "offsets")
+    graph = store.GraphStore(spark, shared_folder(spark, "graph"), buckets=4, fanout=2)
+    arrived = F.pmod(F.xxhash64("name"), F.lit(4)) < 2
+    for part in (e.where(arrived), e.where(~arrived)):
+        part.repartition(2, "name").write.mode("append").option("header", True).csv(files)
+        stream = ingest.entity_stream(spark, files, "ligand_id string, name string, source string, ord long", files_per_batch=1)
+        store.merge_stream(stream, graph, lambda rows: upserts.node_changes(rows, "Ligand"), state).awaitTermination()
+    return graph.nodes().select("id", F.col("props")["name"].alias("name"), F.col("props")["source"].alias("source"))
+
+
+@query("str01_merge_assays", ORACLES["ups03_upsert_assays"])
+def merge_assays(spark, sf):
+    """Assays arrive before the proteins and ligands they need; the graph is that of one upsert over all."""
+    graph = store.GraphStore(spark, shared_folder(spark, "graph"), buckets=4, fanout=2)
+    batch = graph_tables.assay_batch(spark, sf)
+    for k in range(3):
+        graph.append(*upserts.assay_changes(batch.where(F.pmod("ord", F.lit(3)) == 2 - k)), k, "assays")
+    graph.append(*upserts.node_changes(graph_tables.proteins(spark, sf), "Protein"), 0, "targets")
+    graph.append(*upserts.node_changes(graph_tables.ligands(spark, sf), "Ligand"), 0, "ligands")
+    return graph.edges().select("type", "src", "dst", graph_tables.prop("metric"), F.col("props")["value"].cast("double").alias("value"))
+
+
 BINS = len(EDGES) - 1
 
 
