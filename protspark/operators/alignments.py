@@ -80,47 +80,108 @@ SCHEMES = {
 }
 
 
-def _align(a: str, b: str, scheme: tuple[float, float, float, float]) -> tuple[str, str, float]:
-    """Global alignment with affine gaps; ties prefer the diagonal."""
-    match, mismatch, opening, extend = scheme
-    x, y = np.frombuffer(a.encode("utf-32-le"), np.uint32), np.frombuffer(b.encode("utf-32-le"), np.uint32)
-    n, m = len(x), len(y)
-    best = np.full((n + 1, m + 1), -np.inf)
-    up = np.full((n + 1, m + 1), -np.inf)
-    side = np.full((n + 1, m + 1), -np.inf)
-    best[0, 0] = 0.0
-    up[1:, 0] = opening + extend * np.arange(n)
-    side[0, 1:] = opening + extend * np.arange(m)
-    best[1:, 0], best[0, 1:] = up[1:, 0], side[0, 1:]
-    steps = extend * np.arange(m + 1)
-    for r in range(1, n + 1):
-        up[r, 1:] = np.maximum(best[r - 1, 1:] + opening, up[r - 1, 1:] + extend)
-        base = np.maximum(best[r - 1, :-1] + np.where(y == x[r - 1], match, mismatch), up[r, 1:])
+CELLS = 1 << 20  # cells of a score table that is held whole
+DIAGONAL, UP, SIDE = range(3)  # steps: both letters, a query letter on a gap, a target letter on a gap
+
+
+class _Aligner:
+    """Global alignment with affine gaps in memory that grows with the sequences, not with their product.
+
+    A table of up to ``CELLS`` cells is traced back (ties prefer the diagonal). A larger one is halved by query rows: the
+    scores of the upper half from the start and of the lower half from the end meet in one row, whose best place splits
+    the problem in two. A vertical gap may cross that row, so each part knows what the first residue of a gap at its ends costs.
+    """
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, scheme: tuple[float, float, float, float]) -> None:
+        self.match, self.mismatch, self.opening, self.extend = scheme
+        self.score, self.steps = self._solve(x, y, self.opening, self.opening)
+
+    def _row(self, fits: np.ndarray, best: np.ndarray, up: np.ndarray, first: float, ramp: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The next row's scores: best, ending in a vertical gap, ending in a horizontal gap."""
+        new_up = np.maximum(best + self.opening, up + self.extend)
+        new_up[0] = first
+        base = np.empty_like(best)
+        base[0] = first
+        np.maximum(best[:-1] + fits, new_up[1:], out=base[1:])
         # A gap along the row may start at any earlier column: a running maximum gives them all at once.
-        start = np.concatenate([[best[r, 0]], base]) + opening - extend - steps
-        side[r, 1:] = (np.maximum.accumulate(start) + steps)[:-1] + extend
-        best[r, 1:] = np.maximum(base, side[r, 1:])
-    qa, ta, r, c, state = [], [], n, m, "best"
-    close = lambda p, q: abs(p - q) <= 1e-9 * max(1.0, abs(p))
-    while r or c:
-        if state == "best":
-            s = match if r and c and x[r - 1] == y[c - 1] else mismatch
-            if r and c and close(best[r, c], best[r - 1, c - 1] + s):
-                r, c = r - 1, c - 1
-                qa.append(a[r]); ta.append(b[c])
-                continue
-            state = "up" if r and close(best[r, c], up[r, c]) else "side"
-        if state == "up":
-            opened = close(up[r, c], best[r - 1, c] + opening)
-            r -= 1
-            qa.append(a[r]); ta.append(GAP)
-        else:
-            opened = close(side[r, c], best[r, c - 1] + opening)
-            c -= 1
-            qa.append(GAP); ta.append(b[c])
-        if opened:
-            state = "best"
-    return "".join(reversed(qa)), "".join(reversed(ta)), float(best[n, m])
+        start = base + (self.opening - self.extend) - ramp
+        side = np.full_like(best, -np.inf)
+        side[1:] = (np.maximum.accumulate(start) + ramp)[:-1] + self.extend
+        return np.maximum(base, side), new_up, side
+
+    def _ends(self, y: np.ndarray, top: float) -> tuple[np.ndarray, ...]:
+        best = np.empty(len(y) + 1)
+        best[0], best[1:] = 0.0, self.opening + self.extend * np.arange(len(y))
+        return best, np.full(len(y) + 1, -np.inf), self.extend * np.arange(len(y) + 1)
+
+    def _fits(self, x: np.ndarray, y: np.ndarray) -> dict[int, np.ndarray]:
+        return {c: np.where(y == c, self.match, self.mismatch) for c in np.unique(x).tolist()}
+
+    def _last_row(self, x: np.ndarray, y: np.ndarray, top: float) -> tuple[np.ndarray, np.ndarray]:
+        best, up, ramp = self._ends(y, top)
+        fits = self._fits(x, y)
+        for r, c in enumerate(x.tolist()):
+            best, up, _ = self._row(fits[c], best, up, top + self.extend * r, ramp)
+        return best, up
+
+    def _solve(self, x: np.ndarray, y: np.ndarray, top: float, bottom: float) -> tuple[float, list[int]]:
+        """Score and steps; ``top`` and ``bottom`` are the costs of the first residue of a vertical gap at the ends."""
+        n, m = len(x), len(y)
+        if (n + 1) * (m + 1) <= CELLS or n < 2:
+            return self._traced(x, y, top, bottom)
+        mid = n // 2
+        above, above_up = self._last_row(x[:mid], y, top)
+        below, below_up = (v[::-1] for v in self._last_row(x[mid:][::-1], y[::-1], bottom))
+        apart, across = above + below, above_up + below_up - self.opening + self.extend
+        j, k = int(apart.argmax()), int(across.argmax())
+        if apart[j] >= across[k] - 1e-9 * max(1.0, abs(across[k])):
+            return float(apart[j]), self._solve(x[:mid], y[:j], top, self.opening)[1] + self._solve(x[mid:], y[j:], self.opening, bottom)[1]
+        head = self._solve(x[:mid - 1], y[:k], top, self.extend)[1]
+        return float(across[k]), head + [UP, UP] + self._solve(x[mid + 1:], y[k:], self.extend, bottom)[1]
+
+    def _traced(self, x: np.ndarray, y: np.ndarray, top: float, bottom: float) -> tuple[float, list[int]]:
+        n, m = len(x), len(y)
+        best, up, side = (np.empty((n + 1, m + 1)) for _ in range(3))
+        best[0], up[0], ramp = self._ends(y, top)
+        side[0] = best[0]
+        fits = self._fits(x, y)
+        for r, c in enumerate(x.tolist()):
+            best[r + 1], up[r + 1], side[r + 1] = self._row(fits[c], best[r], up[r], top + self.extend * r, ramp)
+        close = lambda p, q: abs(p - q) <= 1e-9 * max(1.0, abs(p))
+        last = up[n, m] - self.opening + bottom
+        score = max(best[n, m], last)
+        steps, r, c = [], n, m
+        state = UP if n and last > best[n, m] and not close(last, best[n, m]) else DIAGONAL
+        while r or c:
+            if state == DIAGONAL:
+                if r and c and close(best[r, c], best[r - 1, c - 1] + fits[int(x[r - 1])][c - 1]):
+                    r, c = r - 1, c - 1
+                    steps.append(DIAGONAL)
+                    continue
+                state = UP if r and close(best[r, c], up[r, c]) else SIDE
+            if state == UP:
+                opened = close(up[r, c], best[r - 1, c] + self.opening)
+                r -= 1
+            else:
+                opened = close(side[r, c], best[r, c - 1] + self.opening)
+                c -= 1
+            steps.append(state)
+            if opened:
+                state = DIAGONAL
+        return float(score), steps[::-1]
+
+
+def _align(a: str, b: str, scheme: tuple[float, float, float, float]) -> tuple[str, str, float]:
+    """Aligned strings and the score."""
+    x, y = (np.frombuffer(s.encode("utf-32-le"), np.uint32) for s in (a, b))
+    found = _Aligner(x, y, scheme)
+    steps = np.array(found.steps, np.int8)
+    sides = []
+    for letters, gap in ((x, SIDE), (y, UP)):
+        out = np.full(len(steps), ord(GAP), np.uint32)
+        out[steps != gap] = letters
+        sides.append(out.tobytes().decode("utf-32-le"))
+    return sides[0], sides[1], found.score
 
 
 def align_pairs(pairs: DataFrame, key: list[str], scheme: str = "canonical", query: str = "query", target: str = "target") -> DataFrame:

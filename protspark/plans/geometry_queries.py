@@ -257,3 +257,25 @@ def align_roundtrip(spark, sf):
     done = A.align_pairs(neighbour_sequences(spark, sf), ["query_id"], "template")
     bare = lambda c: F.translate(c, "-", "")
     return done.select("query_id", bare("qaln").alias("query"), bare("taln").alias("target"), (F.length("qaln") == F.length("taln")).alias("same_width"))
+
+
+def align_score_sql(match: float, mismatch: float, opening: float, extend: float) -> str:
+    """The score recurrence, one anti-diagonal per step. ``lb`` is the score of the cell to the left, by which the next step
+    reaches the diagonal."""
+    low = "-1e18::DOUBLE"
+    return f"""
+    WITH RECURSIVE {SEQUENCES_SQL}, pair AS (SELECT a.query_id, a.seq AS q, b.seq AS t FROM seqs a JOIN seqs b ON b.query_id = a.query_id + 1),
+    dp AS (SELECT query_id, q, t, 0::BIGINT AS i, 0::BIGINT AS j, 0.0::DOUBLE AS best, {low} AS up, {low} AS side, {low} AS lb FROM pair
+        UNION ALL SELECT query_id, q, t, i, j, greatest(diag, up, side) AS best, up, side, lb FROM (
+            SELECT query_id, any_value(q) AS q, any_value(t) AS t, i, j, max(up) AS up, max(side) AS side, max(diag) AS diag, max(lb) AS lb FROM (
+                SELECT query_id, q, t, i + 1 AS i, j, greatest(best + {opening}, up + {extend}) AS up, {low} AS side,
+                    lb + CASE WHEN substr(q, i + 1, 1) = substr(t, j, 1) THEN {match} ELSE {mismatch} END AS diag, {low} AS lb FROM dp WHERE i < length(q)
+                UNION ALL SELECT query_id, q, t, i, j + 1, {low}, greatest(best + {opening}, side + {extend}), {low}, best FROM dp WHERE j < length(t))
+            GROUP BY query_id, i, j))
+    SELECT query_id, round(best, 6) + 0.0 AS score FROM dp WHERE i = length(q) AND j = length(t)"""
+
+
+@query("geo10_align_scores", align_score_sql(*A.SCHEMES["canonical"]))
+def align_scores(spark, sf):
+    """The best score of every sequence against the next one."""
+    return A.align_pairs(neighbour_sequences(spark, sf), ["query_id"], "canonical").select("query_id", r6("score").alias("score"))
