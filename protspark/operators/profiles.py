@@ -6,7 +6,12 @@ the map side, so a very deep alignment is spread over all tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from protspark.functions.lineage import cut
@@ -80,22 +85,97 @@ def profile_entropy(msa: DataFrame) -> DataFrame:
     return counts.groupBy("msa_id", "col").agg(F.sum(term).alias("entropy"))
 
 
+def mi_inputs(msa: DataFrame, min_depth: int = 10, max_len: int | None = None) -> DataFrame:
+    """Per alignment its ``depth`` and ``length``, and why ``column_mi`` leaves it out: null, ``shallow`` or ``wide``."""
+    shape = msa.groupBy("msa_id").agg(F.count(F.lit(1)).alias("depth"), F.min_by(F.length("seq"), "row_id").alias("length"))
+    wide = F.when(F.col("length") > max_len, "wide") if max_len else F.lit(None).cast("string")
+    return shape.withColumn("reason", F.when(F.col("depth") < min_depth, "shallow").otherwise(wide))
+
+
+TILE = 64  # columns of a tile
+ROWS_PER_TILE = 100_000  # rows of one alignment that one sorted run of a tile pair takes
+
+
+def letter_pairs(msa: DataFrame, tile: int = TILE, rows_per_tile: int = ROWS_PER_TILE) -> DataFrame:
+    """(msa_id, a, b, ca, cb, n): rows in which columns ``a < b`` hold the amino acids ``ca`` and ``cb``.
+
+    Sequences are cut into tiles of ``tile`` columns and travel once per pair of tiles, as two short strings. A tile of rows is
+    a matrix with one column per (column, letter), and one matrix product counts all letter pairs of two tiles. A task
+    holds one such table of counts at a time: its rows come sorted by alignment and tile pair. Deep alignments are
+    dealt out by row, and their counts added up afterwards.
+    """
+    salts = msa.groupBy("msa_id").agg(F.ceil(F.count(F.lit(1)) / rows_per_tile).cast("int").alias("_salts"))
+    cells = F.expr(f"""explode(flatten(transform(sequence(0, cast(ceil(length(seq) / {tile}) as int) - 1),
+        x -> transform(sequence(x, cast(ceil(length(seq) / {tile}) as int) - 1), y -> struct(x AS ta, y AS tb)))))""")
+    cut_at = lambda t: F.expr(f"substring(seq, {t} * {tile} + 1, {tile})")
+    keys = ["msa_id", "ta", "tb"]
+    tiles = (msa.where(F.length("seq") > 0).join(salts, "msa_id").withColumn("_salt", F.pmod(F.xxhash64("row_id"), F.col("_salts")))
+             .select("msa_id", "seq", "_salt", cells.alias("_c")).select("msa_id", "_c.ta", "_c.tb", "_salt", "seq")
+             .select(*keys, "_salt", cut_at("ta").alias("sa"), cut_at("tb").alias("sb")))
+    key_type = msa.schema["msa_id"].dataType.simpleString()
+    placed = spread(tiles, *keys, "_salt").sortWithinPartitions(*keys).drop("_salt")
+    return placed.mapInArrow(partial(_count_tiles, tile), f"msa_id {key_type}, a int, b int, ca string, cb string, n long")
+
+
+def _hot(strings: list[str], width: int) -> np.ndarray:
+    """Rows of a tile as 0 and 1: one column per (column, amino acid)."""
+    k = len(LETTERS)
+    codes = np.full((len(strings), width), k, np.int64)
+    known = np.full(0x110000, k, np.int64) if any(not s.isascii() for s in strings) else np.full(128, k, np.int64)
+    known[[ord(c) for c in LETTERS]] = np.arange(k)
+    flat = known[np.frombuffer("".join(strings).encode("utf-32-le"), np.uint32)]
+    sizes = np.array([len(s) for s in strings])
+    codes[np.arange(width) < sizes[:, None]] = flat
+    out = np.zeros((len(strings), width * (k + 1)), np.float32)
+    out[np.arange(len(strings))[:, None], np.arange(width) * (k + 1) + codes] = 1.0
+    return out.reshape(len(strings), width, k + 1)[:, :, :k].reshape(len(strings), width * k)
+
+
+def _count_tiles(tile: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    k = len(LETTERS)
+    key, counts = None, None
+
+    def done() -> pa.RecordBatch:
+        at_a, at_b = np.nonzero(counts)
+        a, b = key[1] * tile + at_a // k, key[2] * tile + at_b // k
+        keep = a < b
+        at_a, at_b = at_a[keep], at_b[keep]
+        names = pa.array(LETTERS)
+        pick = lambda at: names.take(pa.array(at % k))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([key[0].as_py()], key[0].type).take(pa.array(np.zeros(len(at_a), np.int64))), pa.array(a[keep], pa.int32()), pa.array(b[keep], pa.int32()),
+             pick(at_a), pick(at_b), pa.array(np.rint(counts[at_a, at_b]).astype(np.int64))], ["msa_id", "a", "b", "ca", "cb", "n"])
+
+    for batch in batches:
+        ta, tb = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+        ids = batch.column(0).dictionary_encode()
+        code = ids.indices.to_numpy(zero_copy_only=False)
+        code = np.where(np.isnan(code), -1, code) if code.dtype.kind == "f" else code
+        new = np.r_[True, (code[1:] != code[:-1]) | (ta[1:] != ta[:-1]) | (tb[1:] != tb[:-1])]
+        heads = np.flatnonzero(new)
+        for s, e in zip(heads.tolist(), [*heads[1:].tolist(), batch.num_rows]):
+            here = (batch.column(0)[s], int(ta[s]), int(tb[s]))
+            if key is None or (key[0].as_py(), *key[1:]) != (here[0].as_py(), *here[1:]):
+                if key is not None:
+                    yield done()
+                key, counts = here, np.zeros((tile * k, tile * k))
+            for at in range(s, e, 1024):
+                part = batch.slice(at, min(1024, e - at))
+                left = _hot(part.column(3).to_pylist(), tile)
+                right = left if here[1] == here[2] else _hot(part.column(4).to_pylist(), tile)
+                counts += left.T @ right
+    if key is not None:
+        yield done()
+
+
 def column_mi(msa: DataFrame, min_depth: int = 10, max_len: int | None = None) -> DataFrame:
     """Mutual information of every column pair ``a < b`` over rows where both hold an amino acid.
 
-    Pairs are built inside each row (no join) and counted per (pair, letters), partially before the
-    shuffle. Alignments below ``min_depth`` rows are left out, as are those wider than ``max_len`` if given.
+    Alignments below ``min_depth`` rows are left out, as are those wider than ``max_len`` if given; ``mi_inputs`` names them.
     """
-    shape = msa.groupBy("msa_id").agg(F.count(F.lit(1)).alias("_d"), F.min_by(F.length("seq"), "row_id").alias("_l"))
-    fit = shape.where(F.col("_d") >= min_depth)
-    fit = fit.where(F.col("_l") <= max_len) if max_len else fit
-    # Few rows make very many pairs: spread the rows before they grow.
-    chars = (spread(msa.join(fit.select("msa_id"), "msa_id", "left_semi"), "msa_id", "row_id")
-             .select("msa_id", F.filter(F.split("seq", ""), lambda c: c != "").alias("s")))
-    left = chars.select("msa_id", "s", F.posexplode("s").alias("a", "ca")).where(F.col("ca").isin(LETTERS) & (F.col("a") + 1 < F.size("s")))
-    pairs = (left.select("msa_id", "a", "ca", F.posexplode(F.expr("slice(s, a + 2, size(s))")).alias("k", "cb"))
-             .where(F.col("cb").isin(LETTERS)).select("msa_id", "a", (F.col("a") + 1 + F.col("k")).alias("b"), "ca", "cb"))
-    counts = pairs.groupBy("msa_id", "a", "b", "ca", "cb").agg(F.count(F.lit(1)).alias("n"))
+    fit = mi_inputs(msa, min_depth, max_len).where(F.col("reason").isNull()).select("msa_id")
+    pairs = letter_pairs(msa.join(fit, "msa_id", "left_semi"))
+    counts = pairs.groupBy("msa_id", "a", "b", "ca", "cb").agg(F.sum("n").alias("n"))
     # At most 400 letter pairs per column pair, so these windows are small.
     part = counts.repartition("msa_id", "a", "b")
     w = Window.partitionBy("msa_id", "a", "b")
@@ -120,12 +200,19 @@ def apc(mi: DataFrame, lengths: DataFrame) -> DataFrame:
 
 
 def henikoff_weights(msa: DataFrame) -> DataFrame:
-    """Position-based sequence weights that sum to 1 per alignment; a gap is one more letter."""
-    long = letters(msa)
-    counts = long.groupBy("msa_id", "col", "ch").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("msa_id", "col")  # one row per letter
-    share = counts.select("msa_id", "col", "ch", (1 / (F.count(F.lit(1)).over(w) * F.col("n"))).alias("share"))
-    raw = long.join(share, ["msa_id", "col", "ch"]).groupBy("msa_id", "row_id").agg(F.sum("share").alias("_w"))
+    """Position-based sequence weights that sum to 1 per alignment; a gap is one more letter.
+
+    The shares of an alignment's letters are one row, as long as the alignment is wide; each sequence looks its letters up in
+    it. No row is keyed by (column, letter), so a column of gaps is no hot key.
+    """
+    counts = letters(msa).groupBy("msa_id", "col", "ch").agg(F.count(F.lit(1)).alias("n"))
+    per_col = counts.groupBy("msa_id", "col").agg(F.collect_list(F.struct("ch", "n")).alias("_l"))
+    share = F.expr("map_from_entries(transform(_l, x -> struct(x.ch, 1D / (size(_l) * x.n)))) AS _m")
+    table = (per_col.select("msa_id", "col", share).groupBy("msa_id").agg(F.array_sort(F.collect_list(F.struct("col", F.map_entries("_m").alias("e")))).alias("_t"))
+             .select("msa_id", F.expr("transform(_t, x -> map_from_entries(x.e))").alias("_t")))
+    summed = F.expr("aggregate(transform(filter(split(seq, ''), c -> c <> ''), (c, k) -> _t[k][c]), 0D, (s, v) -> s + v)")
+    raw = msa.join(table, "msa_id").where(F.length("seq") > 0).select("msa_id", "row_id", summed.alias("_w"))
+    raw = raw.groupBy("msa_id", "row_id").agg(F.sum("_w").alias("_w"))
     total = raw.groupBy("msa_id").agg(F.sum("_w").alias("_t"))
     return raw.join(total, "msa_id").select("msa_id", "row_id", (F.col("_w") / F.col("_t")).alias("weight"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from protspark.functions.lineage import cut
-from protspark.functions.ordered import exact_quantiles, ranked
+from protspark.functions.ordered import exact_quantiles, ranked, running_totals
 from protspark.functions.skew import first_n
 
 STATS = ["pident", "alnlen", "qstart", "qend", "evalue", "bits"]
@@ -116,9 +116,9 @@ def dedup_sequences(df: DataFrame, seq: str = "seq", ord_col: str = "ord") -> Da
     return df.join(first, ord_col, "left_semi")
 
 
-def collect_accessions(hits: DataFrame, term: str, key: str, ord_col: str, n: int = 5) -> DataFrame:
-    """First ``n`` hits per term, then each key once at its first place."""
-    head = first_n(hits, [term], [ord_col], n)
+def collect_accessions(hits: DataFrame, term: str, key: str, ord_col: str, n: int | None = None) -> DataFrame:
+    """Each key once at its first place, of all hits or of the first ``n`` per term."""
+    head = hits if n is None else first_n(hits, [term], [ord_col], n)
     return head.groupBy(key).agg(F.min(ord_col).alias(ord_col))
 
 
@@ -126,18 +126,19 @@ def uniquify_names(df: DataFrame, name: str = "name", ord_col: str = "ord") -> D
     """Add ``unique_name``: repeats of a name become ``name_2``, ``name_3``, ... skipping taken names.
 
     A repeat only skips suffixed names that the table itself holds, whatever their place, so the result
-    does not depend on which of two clashing rows comes first.
+    does not depend on which of two clashing rows comes first. The i-th taken number s has ``s - 1 - i`` free numbers
+    before it, so the r-th repeat's number is r + 1 and the taken numbers with fewer than r free ones before them: one running
+    count over repeats and taken numbers in order, without a list per name.
     """
     placed = ranked(df, [name], [F.col(ord_col)], "_k")
-    taken = df.select(F.col(name).alias("_t")).distinct().where(F.col("_t").rlike(r"_\d+$"))
-    suffixes = taken.select(F.regexp_replace("_t", r"_\d+$", "").alias(name), F.regexp_extract("_t", r"_(\d+)$", 1).try_cast("long").alias("_s"))
-    # Suffixes that clash are rare names of the form x_7; per base name they are a short sorted list.
-    blocked = suffixes.where((F.col("_s") >= 2)).groupBy(name).agg(F.array_sort(F.collect_set("_s")).alias("_b"))
-    joined = placed.join(blocked, name, "left")
-    # The k-th repeat takes the k-th free number from 2 on: shift past each blocked number met on the way.
-    number = F.aggregate(F.coalesce("_b", F.array().cast("array<bigint>")), F.col("_k"), lambda acc, b: F.when(b <= acc, acc + 1).otherwise(acc))
-    unique = F.when(F.col("_k") == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("_"), number))
-    return joined.withColumn("unique_name", unique).select(*df.columns, "unique_name")
+    taken = (df.select(F.col(name).alias("_t")).distinct().where(F.col("_t").rlike(r"_\d+$"))
+             .select(F.regexp_replace("_t", r"_\d+$", "").alias("_name"), F.regexp_extract("_t", r"_(\d+)$", 1).try_cast("long").alias("_s"))
+             .where(F.col("_s") >= 2).distinct())
+    marks = ranked(taken, ["_name"], [F.col("_s")], "_i").select("_name", (F.col("_s") - 1 - F.col("_i")).alias("_pos"), F.lit(1).alias("_taken"), F.col("_s").alias("_id"))
+    asks = placed.select(F.col(name).alias("_name"), (F.col("_k") - 1).alias("_pos"), F.lit(0).alias("_taken"), F.lit(None).cast("long").alias("_id"), F.struct(*df.columns).alias("_row"))
+    both = running_totals(asks.unionByName(marks, allowMissingColumns=True), ["_name"], [F.col("_pos"), F.col("_taken"), F.col("_id")], {"_before": F.col("_taken")})
+    unique = F.when(F.col("_pos") == 0, F.col("_name")).otherwise(F.concat(F.col("_name"), F.lit("_"), (F.col("_pos") + 1 + F.col("_before")).cast("string")))
+    return both.where(F.col("_taken") == 0).select("_row.*", unique.alias("unique_name"))
 
 
 def pending(inputs: DataFrame, done: DataFrame, key: str) -> DataFrame:

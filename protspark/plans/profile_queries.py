@@ -58,6 +58,15 @@ def column_mi(spark, sf):
     return P.column_mi(aligned(spark, sf)).withColumn("mi", r6("mi"))
 
 
+@query("msa05_mi_inputs", f"""
+    WITH {ALIGNED_SQL}, u AS (SELECT msa_id * 1000 + row_id % 40 AS msa_id, row_id, seq FROM aln), s AS (SELECT msa_id, count(*) AS depth, CAST(arg_min(length(seq), row_id) AS INT) AS length FROM u GROUP BY 1)
+    SELECT *, CASE WHEN depth < 10 THEN 'shallow' END AS reason FROM s""")
+def mi_inputs(spark, sf):
+    """Smaller alignments, some of them below the least depth."""
+    a = aligned(spark, sf).withColumn("msa_id", F.col("msa_id") * 1000 + F.col("row_id") % 40)
+    return P.mi_inputs(a)
+
+
 @query("msa06_apc", f"""
     WITH {MI_SQL}, ends AS (SELECT msa_id, a AS c, mi FROM mi UNION ALL SELECT msa_id, b, mi FROM mi), rm AS (SELECT msa_id, c, sum(mi) / 64 AS m FROM ends GROUP BY 1, 2),
     g AS (SELECT msa_id, sum(mi) / 4096 AS g FROM ends GROUP BY 1)
