@@ -6,11 +6,12 @@ the map side, so a very deep alignment is spread over all tasks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -96,13 +97,11 @@ TILE = 64  # columns of a tile
 ROWS_PER_TILE = 100_000  # rows of one alignment that one sorted run of a tile pair takes
 
 
-def letter_pairs(msa: DataFrame, tile: int = TILE, rows_per_tile: int = ROWS_PER_TILE) -> DataFrame:
-    """(msa_id, a, b, ca, cb, n): rows in which columns ``a < b`` hold the amino acids ``ca`` and ``cb``.
+def _tiles(msa: DataFrame, tile: int, rows_per_tile: int) -> DataFrame:
+    """(msa_id, ta, tb, sa, sb), dealt out and sorted by alignment and pair of tiles.
 
-    Sequences are cut into tiles of ``tile`` columns and travel once per pair of tiles, as two short strings. A tile of rows is
-    a matrix with one column per (column, letter), and one matrix product counts all letter pairs of two tiles. A task
-    holds one such table of counts at a time: its rows come sorted by alignment and tile pair. Deep alignments are
-    dealt out by row, and their counts added up afterwards.
+    Sequences are cut into tiles of ``tile`` columns and travel once per pair of tiles, as two short strings. Alignments of more
+    than ``rows_per_tile`` rows are dealt out by row too.
     """
     salts = msa.groupBy("msa_id").agg(F.ceil(F.count(F.lit(1)) / rows_per_tile).cast("int").alias("_salts"))
     cells = F.expr(f"""explode(flatten(transform(sequence(0, cast(ceil(length(seq) / {tile}) as int) - 1),
@@ -112,9 +111,36 @@ def letter_pairs(msa: DataFrame, tile: int = TILE, rows_per_tile: int = ROWS_PER
     tiles = (msa.where(F.length("seq") > 0).join(salts, "msa_id").withColumn("_salt", F.pmod(F.xxhash64("row_id"), F.col("_salts")))
              .select("msa_id", "seq", "_salt", cells.alias("_c")).select("msa_id", "_c.ta", "_c.tb", "_salt", "seq")
              .select(*keys, "_salt", cut_at("ta").alias("sa"), cut_at("tb").alias("sb")))
+    return spread(tiles, *keys, "_salt").sortWithinPartitions(*keys).drop("_salt")
+
+
+def letter_pairs(msa: DataFrame, tile: int = TILE, rows_per_tile: int = ROWS_PER_TILE) -> DataFrame:
+    """(msa_id, a, b, ca, cb, n): rows in which columns ``a < b`` hold the amino acids ``ca`` and ``cb``.
+
+    A tile of rows is a matrix with one column per (column, letter), and one matrix product counts all letter pairs of two
+    tiles. A task holds one such table of counts at a time, as its rows come sorted. The counts of an alignment that was
+    dealt out by row are in several result rows.
+    """
     key_type = msa.schema["msa_id"].dataType.simpleString()
-    placed = spread(tiles, *keys, "_salt").sortWithinPartitions(*keys).drop("_salt")
-    return placed.mapInArrow(partial(_count_tiles, tile), f"msa_id {key_type}, a int, b int, ca string, cb string, n long")
+    return _tiles(msa, tile, rows_per_tile).mapInArrow(partial(_count_tiles, tile, _pair_rows), f"msa_id {key_type}, a int, b int, ca string, cb string, n long")
+
+
+def _pair_rows(counts: np.ndarray) -> list[pa.Array]:
+    k, names = len(LETTERS), pa.array(LETTERS)
+    at_a, at_b = np.nonzero(counts)
+    pick = lambda at: names.take(pa.array(at % k))
+    return [pa.array(at_a // k, pa.int32()), pa.array(at_b // k, pa.int32()), pick(at_a), pick(at_b), pa.array(np.rint(counts[at_a, at_b]).astype(np.int64))]
+
+
+def _mi_rows(counts: np.ndarray) -> list[pa.Array]:
+    """Mutual information of the tiles' column pairs that share a row, from complete counts."""
+    k = len(LETTERS)
+    n = counts.reshape(len(counts) // k, k, -1, k).transpose(0, 2, 1, 3)
+    total = n.sum(axis=(2, 3))
+    a, b = np.nonzero(total)
+    p = n[a, b] / (total[a, b] + 1e-9)[:, None, None]
+    single = np.log(p.sum(axis=2) + 1e-12)[:, :, None] + np.log(p.sum(axis=1) + 1e-12)[:, None, :]
+    return [pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array((p * (np.log(p + 1e-12) - single)).sum(axis=(1, 2)))]
 
 
 def _hot(strings: list[str], width: int) -> np.ndarray:
@@ -131,20 +157,21 @@ def _hot(strings: list[str], width: int) -> np.ndarray:
     return out.reshape(len(strings), width, k + 1)[:, :, :k].reshape(len(strings), width * k)
 
 
-def _count_tiles(tile: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count_tiles(tile: int, finish: Callable, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Letter-pair counts of each run of one alignment and pair of tiles, given on as ``finish`` makes rows of them.
+
+    Its first two columns are the places in the tiles; only pairs ``a < b`` of the whole alignment are kept.
+    """
     k = len(LETTERS)
     key, counts = None, None
 
     def done() -> pa.RecordBatch:
-        at_a, at_b = np.nonzero(counts)
-        a, b = key[1] * tile + at_a // k, key[2] * tile + at_b // k
-        keep = a < b
-        at_a, at_b = at_a[keep], at_b[keep]
-        names = pa.array(LETTERS)
-        pick = lambda at: names.take(pa.array(at % k))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([key[0].as_py()], key[0].type).take(pa.array(np.zeros(len(at_a), np.int64))), pa.array(a[keep], pa.int32()), pa.array(b[keep], pa.int32()),
-             pick(at_a), pick(at_b), pa.array(np.rint(counts[at_a, at_b]).astype(np.int64))], ["msa_id", "a", "b", "ca", "cb", "n"])
+        a, b, *rest = finish(counts)
+        a, b = pc.add(a, pa.scalar(key[1] * tile, pa.int32())), pc.add(b, pa.scalar(key[2] * tile, pa.int32()))
+        ids = pa.array([key[0].as_py()], key[0].type).take(pa.array(np.zeros(len(a), np.int64)))
+        columns = [ids, a, b, *rest]
+        names = ["msa_id", "a", "b", "mi"] if len(rest) == 1 else ["msa_id", "a", "b", "ca", "cb", "n"]
+        return pa.RecordBatch.from_arrays(columns, names).filter(pc.less(a, b))
 
     for batch in batches:
         ta, tb = batch.column(1).to_numpy(), batch.column(2).to_numpy()
@@ -168,13 +195,22 @@ def _count_tiles(tile: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
         yield done()
 
 
-def column_mi(msa: DataFrame, min_depth: int = 10, max_len: int | None = None) -> DataFrame:
+def column_mi(msa: DataFrame, min_depth: int = 10, max_len: int | None = None, tile: int = TILE, rows_per_tile: int = ROWS_PER_TILE) -> DataFrame:
     """Mutual information of every column pair ``a < b`` over rows where both hold an amino acid.
 
     Alignments below ``min_depth`` rows are left out, as are those wider than ``max_len`` if given; ``mi_inputs`` names them.
+    The counts come from products of tiles, see ``letter_pairs``; those of up to ``rows_per_tile`` rows are complete in their task.
     """
-    fit = mi_inputs(msa, min_depth, max_len).where(F.col("reason").isNull()).select("msa_id")
-    pairs = letter_pairs(msa.join(fit, "msa_id", "left_semi"))
+    fit = mi_inputs(msa, min_depth, max_len).where(F.col("reason").isNull()).select("msa_id", "depth")
+    used = msa.join(fit, "msa_id")
+    key_type = msa.schema["msa_id"].dataType.simpleString()
+    whole = _tiles(used.where(F.col("depth") <= rows_per_tile), tile, rows_per_tile)
+    mi = whole.mapInArrow(partial(_count_tiles, tile, _mi_rows), f"msa_id {key_type}, a int, b int, mi double")
+    return mi.unionByName(_mi_of_counts(letter_pairs(used.where(F.col("depth") > rows_per_tile), tile, rows_per_tile)))
+
+
+def _mi_of_counts(pairs: DataFrame) -> DataFrame:
+    """The same for alignments that several tasks counted."""
     counts = pairs.groupBy("msa_id", "a", "b", "ca", "cb").agg(F.sum("n").alias("n"))
     # At most 400 letter pairs per column pair, so these windows are small.
     part = counts.repartition("msa_id", "a", "b")

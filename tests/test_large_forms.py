@@ -56,6 +56,8 @@ def test_letter_pairs_by_tiles(spark):
     got = P.letter_pairs(df, 3, 7).groupBy("msa_id", "a", "b", "ca", "cb").agg(F.sum("n").alias("n")).collect()
     assert {tuple(r)[:5]: r.n for r in got} == dict(want)
     assert P.letter_pairs(df.where("false")).collect() == []
+    mi = [{tuple(r)[:3]: r.mi for r in P.column_mi(df, 1, None, 3, n).collect()} for n in (7, 1_000)]
+    assert mi[0].keys() == mi[1].keys() == {k[:3] for k in want} and all(abs(mi[0][k] - mi[1][k]) < 1e-9 for k in mi[0])
 
 
 def test_shallow_alignments_have_a_reason(spark):
