@@ -8,13 +8,20 @@ the lower confidence bound of their rate in toxic texts over that in others. A b
 different words before it, so a toxic text that was copied many times does not make its ordinary words toxic. A
 logistic model of three sums over the lexicon, fitted to at most ``MAX_FIT_ROWS`` labelled rows in hash order, gives
 the score.
+
+Tokens of any length are decoded whole: beyond ``LONG`` characters over tables of the reachable states, of which every
+``STRIDE``-th is kept and the ones between are made again on the way back, so a token of a megabyte takes some megabytes. A
+long token with one masked letter gets its likeliest reading only, a short one the ``MASK_FORMS`` likeliest.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections import defaultdict
+from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -30,6 +37,7 @@ MIN_RATIO, MAX_LOG_RATIO = 4.0, 6.0
 CONFIDENCE = 1.645
 MAX_FIT_ROWS = 20_000
 CACHE_WORDS = 300_000
+LONG, STRIDE = 256, 512
 
 # Letters that signs look like.
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
@@ -57,6 +65,8 @@ RUN = re.compile(rf"(?<![^\W_]){_S}(?:[.\-_*]*\s+{_S}){{2,}}(?![^\W_])")
 PIECE = re.compile(r"[\w@$!|+€.\-*]+")
 LETTER = re.compile(_L)
 MIXED = re.compile(rf"[013-9@$!|+€.\-_*]|({_L})\1\1")
+TRIPLE = re.compile(rf"({_L})\1\1")
+OUTSIDE = ".,;:?\"'()[]{}#%&<>"
 EDGES = ".,;:?\"'()[]{}#*%&<>"
 
 
@@ -80,11 +90,11 @@ class LanguageModel:
 
     def restore(self, token: str) -> str:
         """The likeliest word behind a token."""
-        return self._costed(token)[1]
+        return self._masked(token) if len(token) > LONG else self._costed(token)[1]
 
     def unmasked(self, token: str) -> list[str]:
         """The likeliest words behind one masked letter; behind several, the likeliest one."""
-        if token.count(MASK) > 1:
+        if token.count(MASK) > 1 or len(token) > LONG:
             return [self._masked(token)]
         return [w for _, w in sorted(self._costed(token.replace(MASK, c)) for c in CODES)[:MASK_FORMS]]
 
@@ -120,33 +130,56 @@ class LanguageModel:
             states = after
         return min((cost + self.cost[a, b, 0], word) for (a, b), (cost, word) in states.items())
 
+    def _step(self, c: str, before: str, at: np.ndarray, now: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """One character: the last letters in reach, the costs by (letter before, last letter) and where each came from.
+
+        ``at`` are the last letters in reach and ``now`` has a column for each. -1 stands for a character that is no letter.
+        """
+        choices = [(x, 0.0) for x in ALPHABET] if c == MASK else self._choices(c, before)
+        letters = [(CODES.get(x, 0), channel) for x, channel in choices if x]
+        codes = np.array([k for k, _ in letters], np.int64)
+        ways = now[:, :, None] + self.cost[:, at][:, :, codes]
+        new, of = np.full((SIZE, len(codes)), np.inf), np.zeros((SIZE, len(codes)), np.int8)
+        new[at], of[at] = ways.min(axis=0) + np.array([channel for _, channel in letters]), ways.argmin(axis=0)
+        silent = [channel for x, channel in choices if not x]
+        if not silent:
+            return codes, new, of
+        both = np.union1d(codes, at)
+        cost, back = np.full((SIZE, len(both)), np.inf), np.zeros((SIZE, len(both)), np.int8)
+        into = np.searchsorted(both, codes)
+        cost[:, into], back[:, into] = new, of
+        stay = np.searchsorted(both, at)
+        better = now + silent[0] < cost[:, stay]
+        cost[:, stay] = np.where(better, now + silent[0], cost[:, stay])
+        back[:, stay] = np.where(better, -1, back[:, stay])
+        return both, cost, back
+
     def _masked(self, token: str) -> str:
-        """The same over whole tables of states: each mask is one letter, whichever."""
-        now = np.full((SIZE, SIZE), np.inf)
+        """The likeliest word over tables of states: each mask is one letter, whichever."""
+        at, now = np.zeros(1, np.int64), np.full((SIZE, 1), np.inf)
         now[0, 0] = 0.0
-        back, before = [], ""
-        for c in token:
-            new, of = np.full((SIZE, SIZE), np.inf), np.zeros((SIZE, SIZE), np.int64)
-            for x, channel in [(x, 0.0) for x in ALPHABET] if c == MASK else self._choices(c, before):
-                if x:
-                    code = CODES.get(x, 0)
-                    ways = now + self.cost[:, :, code]
-                    total, a = ways.min(axis=0) + channel, ways.argmin(axis=0)
-                    better = total < new[:, code]
-                    new[better, code], of[better, code] = total[better], a[better]
-                else:
-                    better = now + channel < new
-                    new[better], of[better] = now[better] + channel, -1
+        kept, before = [], ""
+        for k, c in enumerate(token):
+            if k % STRIDE == 0:
+                kept.append((at, now, before))
+            at, now, _ = self._step(c, before, at, now)
             before = c.lower()
-            back.append((c.lower(), of))
-            now = new
-        a, b = np.unravel_index((now + self.cost[:, :, 0]).argmin(), now.shape)
-        word = ""
-        for c, of in reversed(back):
-            if of[a, b] >= 0:
-                word = (ALPHABET[b - 1] if b else c) + word
-                a, b = of[a, b], a
-        return word
+        a, i = np.unravel_index((now + self.cost[:, at, 0]).argmin(), now.shape)
+        a, b = int(a), int(at[i])
+        word = []
+        for k in reversed(range(len(kept))):
+            part = token[k * STRIDE:(k + 1) * STRIDE]
+            (at, now, before), back = kept.pop(), []
+            for c in part:
+                at, now, of = self._step(c, before, at, now)
+                before = c.lower()
+                back.append((at, of))
+            for c, (at, of) in zip(reversed(part), reversed(back)):
+                came = int(of[a, np.searchsorted(at, b)]) if len(at) > 1 else int(of[a, 0])
+                if came >= 0:
+                    word.append(ALPHABET[b - 1] if b else c.lower())
+                    a, b = came, a
+        return "".join(reversed(word))
 
 
 def language_model(docs: DataFrame) -> LanguageModel:
@@ -178,6 +211,9 @@ class Restorer:
         self.model = model
 
     def word(self, word: str) -> list[str]:
+        bare = word.strip(OUTSIDE)
+        if bare.isalpha() and not TRIPLE.search(bare):  # nothing set apart, mixed or repeated: the usual case
+            return []
         out = [self.model.restore(m.group()) for m in SPACED.finditer(word)]
         for token in tokens(word):
             out.append(self.model.restore(token))
@@ -212,6 +248,20 @@ def beginnings(word: str) -> list[str]:
     return [w[:n] for n in BEGINNINGS if len(w) >= n]
 
 
+@lru_cache(maxsize=2)
+def _made(tag: str, kind: str) -> list:
+    """A place of the worker process for the caches of one model, kept between tasks; the two latest stay."""
+    return []
+
+
+def _kept(tag: str, kind: str, make: Callable[[], object]):
+    """What ``make`` gives, made once per worker process and tag."""
+    place = _made(tag, kind)
+    if not place:
+        place.append(make())
+    return place[0]
+
+
 class _Parts(dict):
     """Hash of a word and all beginnings of the word and its restored forms; bounded."""
 
@@ -233,8 +283,10 @@ def lexicon(train: DataFrame, model: LanguageModel) -> dict[str, float]:
     A beginning counts once per document, word and word before it. Moved are, per slice and beginning, two counts and a
     64-bit set of hashed words before it in toxic texts.
     """
+    tag = uuid.uuid4().hex
+
     def start():
-        parts = _Parts(model)
+        parts = _kept(tag, "parts", lambda: _Parts(model))
 
         def step(texts, ys):
             sums: dict = defaultdict(lambda: [0, 0, 0])
@@ -300,12 +352,12 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def _fitted(docs: DataFrame, said: DataFrame, model: LanguageModel, known: dict[str, float]) -> np.ndarray | None:
+def _fitted(docs: DataFrame, said: DataFrame, model: LanguageModel, known: dict[str, float], tag: str) -> np.ndarray | None:
     sample = said.orderBy(F.xxhash64("key"), "key").limit(MAX_FIT_ROWS)
     rows = docs.where("text IS NOT NULL").select(key_of().alias("key"), "text").join(F.broadcast(sample), "key").select("text", F.when(F.col("y") > 0, 1).otherwise(0).alias("y"))
 
     def start():
-        evidence = Evidence(model, known)
+        evidence = _kept(tag, "evidence", lambda: Evidence(model, known))
         return lambda texts, ys: [[list(x) for x in zip(*[evidence(t) for t in texts])][k] for k in range(3)] + [ys]
 
     found = map_batches(rows, "a double, b double, c double, y int", start).groupBy("a", "b", "c", "y").count().collect()
@@ -328,10 +380,11 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     # One plan at every size: labels grow with the documents, and hashing their side spares a sort of the texts.
     train = docs.where("text IS NOT NULL").select(key_of().alias("key"), "text").join(said.hint("shuffle_hash"), "key")
     known = lexicon(train, model)
-    weights = _fitted(docs, said, model, known)
+    tag = uuid.uuid4().hex
+    weights = _fitted(docs, said, model, known, tag)
 
     def start():
-        evidence = Evidence(model, known)
+        evidence = _kept(tag, "evidence", lambda: Evidence(model, known))
 
         def one(text):
             return 0.0 if weights is None else float(1 / (1 + np.exp(-np.clip(np.array(evidence(text)) @ weights, -30, 30))))
