@@ -28,6 +28,11 @@ NOT_LETTERS = re.compile(r"[\W\d_]+")
 CHUNK = 1 << 20
 
 
+def has_letter(text: str) -> bool:
+    """Is there a letter (general category L), as ``\\p{L}`` says in the fitting sample? Signs such as ``²`` or ``½`` are none."""
+    return any(m.group().isalpha() for m in LETTER.finditer(text))
+
+
 def counts(text: str) -> np.ndarray:
     """Hashed n-gram counts of the letters of a text; every other run of characters is one space."""
     out = np.zeros(DIMENSIONS, np.int64)
@@ -62,7 +67,7 @@ def inverse_frequencies(texts: DataFrame) -> np.ndarray:
             df = np.zeros(DIMENSIONS, np.int64)
             n = 0
             for t in texts:
-                if LETTER.search(t):
+                if has_letter(t):
                     df += counts(t) > 0
                     n += 1
             at = np.flatnonzero(df)
@@ -137,7 +142,7 @@ def languages(docs: DataFrame) -> DataFrame:
 
     def start():
         def one(text):
-            if text is None or not names or not LETTER.search(text):
+            if text is None or not names or not has_letter(text):
                 return UNKNOWN, 0.0, True
             cos = vector(text, idf) @ flat
             k = int(np.argmax(cos))

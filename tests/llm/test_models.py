@@ -85,6 +85,13 @@ def test_languages(spark):
     assert got[None][0].lang_pred in kinds and [r.lang_pred for r in got[300]] == ["aa", "aa"] and got[9_005][0].lang_pred in kinds
 
 
+def test_signs_are_no_letters(spark):
+    rows = [(k, f"the house and the river number {k}", "en") for k in range(60)] + [(100, "² ½ ① 12", None), (101, "½a", None), (102, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in centroids.languages(df).collect()}
+    assert got[100] == got[102] == "und" and got[101] == "en"
+
+
 def test_languages_without_any(spark):
     assert {r.lang_pred for r in centroids.languages(make(spark, EXTRA, None)).collect()} == {"und"}
     assert centroids.languages(make(spark, [])).count() == 0
