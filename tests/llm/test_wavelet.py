@@ -39,6 +39,15 @@ def test_encoder_equals_library(library):
         assert [np.frombuffer(b, np.uint16).tolist() for b in encode(part)] == want
 
 
+def test_encoder_with_a_full_cache(library, monkeypatch):
+    monkeypatch.setattr(W, "CACHE_PIECES", 3)
+    encode = W.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    text = "one two three, it's four\n\n five ’six’ two  one seven² one 12 two\n"
+    for _ in range(3):
+        assert np.frombuffer(encode.one(text), np.uint16).tolist() == library.encode(text, add_special_tokens=False).ids
+        assert len(encode.pieces) <= 4 and len(encode.pieces.old) <= 4
+
+
 @pytest.mark.parametrize("limit", [50, 1 << 22])
 def test_documents(docs_of, library, limit):
     rng = random.Random(9)
