@@ -131,16 +131,11 @@ def _near(windows: DataFrame, items: DataFrame, radius: int) -> DataFrame:
     return looked.join(_small(listed), ["size", "j", "v"]).where(close).select("key", "th", "size", "start", "item", "text_hash").distinct()
 
 
-def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
-    """doc_id, item_id, similarity, start, n_words: the best window of each document for each item it contains.
-
-    Words are lower-cased. Documents and items that are null, empty or without words contain and leak nothing. A
-    document shorter than an item has no window of its size. Of equally similar windows the first counts. Repeated
-    rows are one document. Empty tables give an empty result.
-    """
+def _leaking(docs: DataFrame, items: DataFrame, similarity: float, radius: int) -> DataFrame:
+    """Windows at the similarity or above, by (id, text hash) of their rows."""
     shingles = cut(item_shingles(items))
     if shingles.isEmpty():
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, similarity double, start int, n_words int")
+        return docs.sparkSession.createDataFrame([], "key long, th long, item long, similarity double, start int, size int")
     windows = cut(_windows(cut(_anchors(docs, shingles)), similarity))
     rows = cut(_window_shingles(docs, windows))
     prints = simhash(rows, ["key", "th", "size", "start"])
@@ -148,16 +143,29 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, rad
     both = (pairs.join(rows, ["key", "th", "size", "start"])
             .join(shingles.select("item", "text_hash", "h", F.col("c").alias("ic")), ["item", "text_hash", "h"]))
     shared = both.groupBy("key", "th", "item", "text_hash", "size", "m", "start").agg(F.sum(F.least("c", "ic")).alias("shared"))
-    scored = shared.withColumn("similarity", F.col("shared") / (2 * F.col("m") - F.col("shared"))).where(F.col("similarity") >= similarity)
+    return shared.withColumn("similarity", F.col("shared") / (2 * F.col("m") - F.col("shared"))).where(F.col("similarity") >= similarity)
+
+
+def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    """doc_id, item_id, similarity, start, n_words: the best window of each document for each item it contains.
+
+    Words are lower-cased. Documents and items that are null, empty or without words contain and leak nothing. A
+    document shorter than an item has no window of its size. Of equally similar windows the first counts. Repeated
+    rows are one document. Empty tables give an empty result.
+    """
+    scored = _leaking(docs, items, similarity, radius)
     best = scored.groupBy("key", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "size")).alias("b"))
     return best.select(id_of("key").alias("doc_id"), id_of("item").alias("item_id"), "b.similarity", (-F.col("b.s")).alias("start"), F.col("b.size").alias("n_words"))
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that contain no item."""
-    hit = leaks(docs, items, **options).select(key_of("doc_id").alias("_hit")).distinct()
-    keyed = docs.select(key_of().alias("_key"), F.struct(*docs.columns).alias("_row"))
-    return keyed.join(hit, keyed["_key"] == hit["_hit"], "left_anti").select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+def without_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs`` that contain no item.
+
+    Rows are told apart by id and text, so rows without an id, or with an id that stands twice, are judged by their own text.
+    """
+    hit = _leaking(docs, items, similarity, radius).select(F.col("key").alias("_key"), F.col("th").alias("_tie")).distinct()
+    keyed = docs.select(key_of().alias("_key"), F.xxhash64("text").alias("_tie"), F.struct(*docs.columns).alias("_row"))
+    return keyed.join(hit, ["_key", "_tie"], "left_anti").select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 SQL = """

@@ -368,13 +368,8 @@ def _fitted(docs: DataFrame, said: DataFrame, model: LanguageModel, known: dict[
     return _logistic(x, np.repeat(np.array([r.y for r in found], float), n))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row.
-
-    Held-out rows give no labels. A doc_id with several labels is toxic if one of them is; null labels are ignored.
-    Null and empty texts score like any text without a lexicon word. Without labels of both classes every score is 0.
-    Repeated rows get equal scores.
-    """
+def _scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The columns of ``toxicity`` and ``_tie``, the hash of the text."""
     model = language_model(docs)
     said = labels.where("toxic IS NOT NULL").groupBy(key_of().alias("key")).agg(F.max("toxic").alias("y")).where(id_remainder(id_of("key"), MODULUS) != HELD_OUT)
     # One plan at every size: labels grow with the documents, and hashing their side spares a sort of the texts.
@@ -388,15 +383,28 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
         def one(text):
             return 0.0 if weights is None else float(1 / (1 + np.exp(-np.clip(np.array(evidence(text)) @ weights, -30, 30))))
-        return lambda ids, held, texts: (ids, held, [one(t) for t in texts])
+        return lambda ids, held, ties, texts: (ids, held, ties, [one(t) for t in texts])
 
-    rows = docs.select(F.col("doc_id").cast("long"), (id_remainder("doc_id", MODULUS) == HELD_OUT).alias("held"), "text")
-    scored = map_batches(rows, "doc_id long, held_out boolean, score double", start)
+    rows = docs.select(F.col("doc_id").cast("long"), (id_remainder("doc_id", MODULUS) == HELD_OUT).alias("held"), F.xxhash64("text").alias("_tie"), "text")
+    scored = map_batches(rows, "doc_id long, held_out boolean, _tie long, score double", start)
     return scored.select("*", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row.
+
+    Held-out rows give no labels. A doc_id with several labels is toxic if one of them is; null labels are ignored.
+    Null and empty texts score like any text without a lexicon word. Without labels of both classes every score is 0.
+    Repeated rows get equal scores.
+    """
+    return _scores(docs, labels).drop("_tie")
+
+
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic."""
-    hit = toxicity(docs, labels).where("predicted = 1").select(key_of("doc_id").alias("_hit")).distinct()
-    keyed = docs.select(key_of().alias("_key"), F.struct(*docs.columns).alias("_row"))
-    return keyed.join(hit, keyed["_key"] == hit["_hit"], "left_anti").select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+    """The rows of ``docs`` that are not predicted toxic.
+
+    Rows are told apart by id and text, so rows without an id, or with an id that stands twice, are judged by their own text.
+    """
+    hit = _scores(docs, labels).where("predicted = 1").select(key_of("doc_id").alias("_key"), "_tie").distinct()
+    keyed = docs.select(key_of().alias("_key"), F.xxhash64("text").alias("_tie"), F.struct(*docs.columns).alias("_row"))
+    return keyed.join(hit, ["_key", "_tie"], "left_anti").select(*[F.col("_row")[c].alias(c) for c in docs.columns])

@@ -80,3 +80,12 @@ def test_empty(spark, docs_of):
     assert D.leaks(docs_of([]), items_of(spark, items)).count() == 0
     assert D.leaks(docs_of(docs), items_of(spark, [])).count() == 0
     assert D.without_leaks(docs_of(docs[:5]), items_of(spark, [])).count() == 5
+
+
+def test_rows_without_or_with_the_same_id_are_judged_by_their_text(spark, docs_of):
+    docs, items = data()
+    leak = items[3][1]
+    rows = [(None, "x " + leak), (None, "nothing of that kind here"), (None, None), (7, leak + " y"), (7, "clean words only"), (8, "")]
+    kept = D.without_leaks(docs_of(rows), items_of(spark, items))
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, (r for r in rows if leak not in (r[1] or ""))))
+    assert D.without_leaks(docs_of([]), items_of(spark, items)).count() == 0

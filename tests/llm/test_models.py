@@ -56,6 +56,13 @@ def test_toxicity(spark):
     kept = deobfuscate.without_toxic(docs, said)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.select("doc_id").collect()} == {i for i, rs in got.items() if not rs[0].predicted}
 
+    bad = next(t for i, t in rows if got[i][0].predicted)
+    same = [(None, bad), (None, "a clean line"), (None, None), (9_000, bad), (9_000, "another clean line")]
+    left = deobfuscate.without_toxic(make(spark, rows + same), said)
+    own = [(r.doc_id, r.text) for r in left.collect() if r.doc_id is None or r.doc_id == 9_000]
+    assert sorted(own, key=str) == sorted(((i, t) for i, t in same if t != bad), key=str)
+    assert deobfuscate.without_toxic(make(spark, []), said).count() == 0
+
 
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
