@@ -44,7 +44,8 @@ def potentials(edges: DataFrame, nodes: DataFrame, sources: DataFrame, sinks: Da
     """Solve ``(L + eps I) phi = b`` per graph: ``(graph_id, idx, phi)``.
 
     Graphs of at most ``max_nodes`` nodes (a checked size) are rows of their own and solved densely. Larger
-    ones are solved together by conjugate gradients on the edge table, whose steps are joins and sums.
+    ones are solved together by conjugate gradients on the edge table, whose steps are joins and sums; a residual
+    above ``tol`` after ``max_iter`` rounds is an error.
     """
     edges = cut(edges.select(KEY, "i", "j", "w"))
     charged = cut(_charges(nodes, sources, sinks))
@@ -108,6 +109,8 @@ def _solve_cg(edges: DataFrame, charged: DataFrame, eps: float, tol: float, max_
         v = after.join(beta, KEY).select(KEY, "idx", "d", "x", "r", (F.col("r") / F.col("d") + F.coalesce("_beta", F.lit(0.0)) * F.col("p")).alias("p"))
         if (beta.agg(F.max("_res")).first()[0] or 0.0) < tol:
             break
+    else:
+        raise RuntimeError(f"conjugate gradients left a residual above {tol} after {max_iter} rounds")
     return v.select(KEY, "idx", F.col("x").alias("phi"))
 
 

@@ -9,6 +9,7 @@ from protspark.operators import centrality as C
 from protspark.operators import residue_graph as G
 from protspark.operators.cleaning import demo_node_features, graph_targets, node_features, position_features
 from protspark.plans.geometry_queries import KNN_SQL
+from protspark.plans.elimination import SOLVE_SQL
 from protspark.plans.registry import query, r6, table
 from protspark.plans.stand_ins import PAIRS_SQL, POINTS_SQL, points
 
@@ -54,6 +55,29 @@ def potentials(spark, sf):
     return row.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"), r6(F.max("err")).alias("residual"), (F.round(F.sum("phi"), 4) + 0.0).alias("total"))
 
 
+#: Row and column numbers follow the nodes; the first node is the source, the last one the sink.
+POTENTIAL_SQL = f"""WITH RECURSIVE {GRAPH_SQL},
+    nb AS (SELECT graph_id, idx, row_number() OVER (PARTITION BY graph_id ORDER BY idx) - 1 AS r, count(*) OVER (PARTITION BY graph_id) AS n FROM nodes),
+    links AS (SELECT graph_id, a, b, max(w) AS w FROM adj WHERE a <> b GROUP BY 1, 2, 3),
+    deg AS (SELECT graph_id, a, sum(w) AS d FROM links GROUP BY 1, 2),
+    m0 AS (SELECT x.graph_id AS g, x.r AS i, y.r AS j, x.n, CAST(CASE WHEN x.r = y.r THEN 1e-3 + coalesce(d, 0.0) ELSE -coalesce(w, 0.0) END AS DOUBLE) AS v
+           FROM nb x JOIN nb y USING (graph_id) LEFT JOIN links l ON l.graph_id = x.graph_id AND l.a = x.idx AND l.b = y.idx LEFT JOIN deg ON deg.graph_id = x.graph_id AND deg.a = x.idx
+           UNION ALL SELECT graph_id, r, n, n, CAST(CASE WHEN r = n - 1 THEN -1 WHEN r = 0 THEN 1 ELSE 0 END AS DOUBLE) FROM nb),
+    {SOLVE_SQL}
+    SELECT graph_id, idx, round(v, 5) + 0.0 AS phi FROM solved JOIN nb ON graph_id = g AND r = i"""
+
+
+@query("gra01_potentials_dense", POTENTIAL_SQL)
+def potentials_dense(spark, sf):
+    return solved(spark, sf)[2].select(KEY, "idx", (F.round("phi", 5) + 0.0).alias("phi"))
+
+
+@query("gra01_potentials_iterated", POTENTIAL_SQL)
+def potentials_iterated(spark, sf):
+    """The same by conjugate gradients on the edge table, as for graphs that are too large for one row."""
+    return solved(spark, sf, max_nodes=1)[2].select(KEY, "idx", (F.round("phi", 5) + 0.0).alias("phi"))
+
+
 @query("gra02_edge_flux", f"""
     WITH {GRAPH_SQL} SELECT graph_id, i, j, round(abs(i * i - j * 3) / (dist + 1e-6), 6) + 0.0 AS flux FROM e""")
 def edge_flux(spark, sf):
