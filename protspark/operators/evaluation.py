@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from protspark.functions.ordered import ranked, running_totals, value_ranks
-from protspark.functions.skew import salted_join
+from protspark.functions.skew import first_n, salted_join
 
 TAUS = [round(0.10 + 0.05 * k, 2) for k in range(17)]
 
@@ -206,5 +206,11 @@ def describe_target(df: DataFrame, col: str, by: list[str] = []) -> DataFrame:
                                F.stddev_pop(col).alias("std"), F.var_pop(col).alias("variance"), F.count(F.lit(1)).alias("n"))
 
 
+def distinct_head(df: DataFrame, col: str, by: list[str] = [], n: int = 10, ord_col: str | None = None) -> DataFrame:
+    """The first ``n`` distinct values per group with their counts: in order of ``ord_col``'s first place, or the smallest."""
+    values = df.groupBy(*by, col).agg(F.count(F.lit(1)).alias("n"), *([F.min(ord_col).alias("_at")] if ord_col else []))
+    return first_n(values, by, ["_at", col] if ord_col else [col], n, "place").drop("_at")
+
+
 def mean_identity(hits: DataFrame, by: list[str], identity: str) -> DataFrame:
     return hits.groupBy(*by).agg(F.avg(identity).alias("mean_identity"))

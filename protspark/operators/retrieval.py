@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from protspark.functions.lineage import cut
 from protspark.functions.ordered import ranked
 from protspark.functions.skew import first_n
-from protspark.schemas import SEARCH_PROPERTIES, SLIM_DEFAULT, SLIM_KEYS
+from protspark.schemas import SEARCH_PROPERTIES, SLIM_KEYS
 
 
 def seed_nodes(nodes: DataFrame, query: str, k: int | None = None, properties: list[str] | None = None) -> DataFrame:
@@ -169,10 +169,10 @@ def short_ids(nodes: DataFrame, edges: DataFrame, order: list | None = None) ->
     return renamed, out.select(*edges.columns)
 
 
-def slim_props(nodes: DataFrame) -> DataFrame:
-    """Known labels keep their listed properties; others the first 25 by name."""
+def slim_props(nodes: DataFrame, others: int | None = None) -> DataFrame:
+    """Known labels keep their listed properties; others all of them, or the first ``others`` by name."""
     names = F.array_sort(F.map_keys("props"))
-    keep = F.slice(names, 1, SLIM_DEFAULT)
+    keep = names if others is None else F.slice(names, 1, others)
     for label, keys in reversed(list(SLIM_KEYS.items())):
         keep = F.when(F.array_contains("labels", label), F.array(*[F.lit(k) for k in keys])).otherwise(keep)
     kept = nodes.withColumn("_keep", keep)
@@ -227,11 +227,12 @@ def label_counts(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.explode("labels").alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label")
 
 
-def contact_stats(edges: DataFrame, n: int = 20) -> DataFrame:
-    """Contacts per model and contact type, largest first."""
+def contact_stats(edges: DataFrame, n: int | None = None) -> DataFrame:
+    """Contacts per model and contact type, largest first: all groups, or the first ``n``."""
     known = lambda k: F.coalesce(F.element_at("props", k), F.lit("unknown")).alias(k)
-    return (edges.where(F.col("type") == "CONTACTS").groupBy(known("model_id"), known("contact_type"))
-            .agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "model_id", "contact_type").limit(n))
+    out = (edges.where(F.col("type") == "CONTACTS").groupBy(known("model_id"), known("contact_type"))
+           .agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "model_id", "contact_type"))
+    return out if n is None else out.limit(n)
 
 
 def rank_candidates(assays: DataFrame, toxicity: DataFrame, target: list[str] | None = None, top: int | None = None) -> DataFrame:

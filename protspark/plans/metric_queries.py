@@ -205,6 +205,14 @@ def describe_target(spark, sf):
     return d.select("event_type", "min", "max", *[r6(c).alias(c) for c in ("mean", "std", "variance")], "n")
 
 
+@query("evl17_distinct_head", """
+    WITH v AS (SELECT event_type, value, count(*) AS n, min(event_id) AS first_at FROM events GROUP BY 1, 2)
+    SELECT event_type, value, n, CAST(row_number() OVER (PARTITION BY event_type ORDER BY first_at, value) AS INT) AS place FROM v QUALIFY place <= 10""")
+def distinct_head(spark, sf):
+    """A report of the first ten distinct values of each type."""
+    return E.distinct_head(table(spark, sf, "events"), "value", ["event_type"], 10, "event_id").select("event_type", "value", "n", F.col("place").cast("int").alias("place"))
+
+
 @query("evl17_mean_identity", "SELECT l_suppkey AS query, round(avg(l_discount), 6) + 0.0 AS mean_identity FROM lineitem GROUP BY 1")
 def mean_identity(spark, sf):
     return E.mean_identity(table(spark, sf, "lineitem").withColumnRenamed("l_suppkey", "query"), ["query"], "l_discount").withColumn("mean_identity", r6("mean_identity"))

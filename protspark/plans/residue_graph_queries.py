@@ -286,12 +286,12 @@ def normalize_weights(spark, sf):
 @query("gra16_position_features", """
     SELECT substr(s_name, length(s_name) - 3) AS pdb_id, s_suppkey AS position, s_acctbal AS "ddG", round(s_suppkey / 1000, 6) + 0.0 AS position_frac, CASE WHEN s_nationkey < 8 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS ss_h,
         CASE WHEN s_nationkey BETWEEN 8 AND 15 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS ss_e, CASE WHEN s_nationkey > 15 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS ss_c, CAST(s_nationkey AS DOUBLE) AS sasa, coalesce(n, 0) * 1.0::DOUBLE AS memory
-    FROM supplier LEFT JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem WHERE l_discount > 0.09 AND l_tax > 0.07 AND l_quantity > 40 GROUP BY 1) ON l_suppkey = s_suppkey""")
+    FROM supplier LEFT JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_suppkey = s_suppkey""")
 def position_feature_table(spark, sf):
     s, li = table(spark, sf, "supplier"), table(spark, sf, "lineitem")
     key = [F.right("s_name", F.lit(4)).alias("pdb_id"), F.col("s_suppkey").alias("position")]
     ss = F.when(F.col("s_nationkey") < 8, "H").when(F.col("s_nationkey") <= 15, "E").otherwise("?")
-    n = li.where("l_discount > 0.09 AND l_tax > 0.07 AND l_quantity > 40").groupBy("l_suppkey").agg(F.count(F.lit(1)).cast("double").alias("memory"))
+    n = li.groupBy("l_suppkey").agg(F.count(F.lit(1)).cast("double").alias("memory"))
     cent = s.join(n, s.s_suppkey == n.l_suppkey).select(*key, "memory", *[F.lit(0.0).alias(c) for c in ("betweenness", "closeness", "eigen")])
     f = position_features(s.select(*key), s.select(*key, ss.alias("ss"), F.col("s_nationkey").cast("double").alias("sasa")), cent, s.select(*key, F.col("s_acctbal").alias("ddG")))
     return f.select("pdb_id", "position", "ddG", r6("position_frac").alias("position_frac"), "ss_h", "ss_e", "ss_c", "sasa", "memory")

@@ -209,13 +209,18 @@ def label_counts(spark, sf):
 
 @query("ret13_contact_stats", f"WITH {LINE_SQL} SELECT model_id, contact_type, count(*) AS n FROM c GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 20")
 def contact_stats(spark, sf):
+    return R.contact_stats(line_graph(spark, sf)[1], 20)
+
+
+@query("ret13_all_contact_stats", f"WITH {LINE_SQL} SELECT model_id, contact_type, count(*) AS n FROM c GROUP BY 1, 2")
+def all_contact_stats(spark, sf):
     return R.contact_stats(line_graph(spark, sf)[1])
 
 
 @query("ret14_rank_candidates", """
     WITH a AS (SELECT l_partkey, l_suppkey, min(l_extendedprice / l_quantity) AS v, count(*) AS n FROM lineitem GROUP BY 1, 2),
     t AS (SELECT l_suppkey, string_agg(DISTINCT l_returnflag || ':' || l_linestatus, ',' ORDER BY l_returnflag || ':' || l_linestatus) AS risks, count(DISTINCT l_returnflag || l_linestatus) AS k
-        FROM lineitem WHERE l_returnflag = 'R' AND l_discount > 0.09 GROUP BY 1)
+        FROM lineitem GROUP BY 1)
     SELECT CAST(l_partkey AS VARCHAR) AS uniprot_id, CAST(a.l_suppkey AS VARCHAR) AS ligand_id, round(v, 8) + 0.0 AS best_value, n AS n_assays, coalesce(risks, '') AS risks,
         row_number() OVER (PARTITION BY l_partkey ORDER BY v, coalesce(k, 0), CAST(a.l_suppkey AS VARCHAR)) AS rank
     FROM a LEFT JOIN t ON t.l_suppkey = a.l_suppkey""")
@@ -224,6 +229,6 @@ def rank_candidates(spark, sf):
     li = table(spark, sf, "lineitem")
     assays = li.select(F.col("l_partkey").cast("string").alias("uniprot_id"), F.col("l_suppkey").cast("string").alias("ligand_id"), F.lit("price").alias("metric"),
                        (F.col("l_extendedprice") / F.col("l_quantity")).alias("value"), F.lit("usd").alias("units"))
-    tox = li.where("l_returnflag = 'R' AND l_discount > 0.09").select(F.col("l_suppkey").cast("string").alias("ligand_id"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("severity"))
+    tox = li.select(F.col("l_suppkey").cast("string").alias("ligand_id"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("severity"))
     ranked = R.rank_candidates(assays, tox)
     return ranked.select("uniprot_id", "ligand_id", (F.round("best_value", 8) + F.lit(0.0)).alias("best_value"), "n_assays", F.array_join("risks", ",").alias("risks"), "rank")

@@ -34,10 +34,9 @@ def common(spark, sf):
     return sets.common(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels"), "doc_id")
 
 
-@query("set03_minus", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_discount > 0.09 AND l_quantity > 10)")
+@query("set03_minus", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
 def minus(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_returnflag = 'R' AND l_discount > 0.09 AND l_quantity > 10").select(F.col("l_partkey").alias("p_partkey"))
-    return sets.minus(table(spark, sf, "part").select("p_partkey"), li, "p_partkey")
+    return sets.minus(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id")
 
 
 @query("set04_distinct", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")

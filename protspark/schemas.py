@@ -28,13 +28,12 @@ SEARCH_PROPERTIES = [
     "peptide_id", "structure_id", "pdb_id", "model_id", "disease_id", "doi", "pmid",
 ]
 
-# Properties kept per label when a snapshot is slimmed; other labels keep 25 keys.
+# Properties kept per label when a snapshot is slimmed; other labels keep all keys unless a number is asked for.
 SLIM_KEYS = {
     "Protein": ["uniprot_id", "name", "gene", "family", "organism", "length"],
     "Residue": ["residue_uid", "uniprot_id", "pos", "aa"],
     "Structure": ["structure_id", "pdb_id", "path", "method", "confidence", "created_at"],
 }
-SLIM_DEFAULT = 25
 
 # Edge type -> (source label, target label); "any" is a wildcard.
 ENDPOINTS = {

@@ -112,9 +112,10 @@ def test_seed_expand_khop(spark):
     assert rows(R.khop(edges, seeds, 5, ["CONTACTS"])) == [("Residue:P1:1", 0), ("Residue:P1:2", 1), ("Residue:P1:3", 2)]
 
 
-def test_slim_defaults_to_25_keys(spark):
+def test_slim_keeps_all_keys_unless_asked(spark):
     df = spark.createDataFrame([("x", ["Paper"], {f"k{n:02d}": "v" for n in range(40)})], "id string, labels array<string>, props map<string,string>")
-    assert len(R.slim_props(df).first()["props"]) == 25
+    assert len(R.slim_props(df).first()["props"]) == 40
+    assert sorted(R.slim_props(df, others=25).first()["props"]) == [f"k{n:02d}" for n in range(25)]
 
 
 def test_checks(spark):

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from protspark.operators import evaluation as E
 from protspark.operators import learning as L
 from protspark.operators import residue_graph as G
 
@@ -99,6 +100,13 @@ def test_boosted_folds(spark):
     assert L.boosted_folds(df.where("k > 1000"), "y", fold="fold")[0].count() == 0
 
 
+def test_distinct_head(spark):
+    df = spark.createDataFrame([("a", v, k) for k, v in enumerate([5, 3, 5, 4, 9, 3, 1])] + [("b", None, 9)], "g string, v int, ord int")
+    head = lambda *by: sorted(map(tuple, E.distinct_head(df, "v", ["g"], 3, *by).collect()))
+    assert head("ord") == [("a", 3, 2, 2), ("a", 4, 1, 3), ("a", 5, 2, 1), ("b", None, 1, 1)]
+    assert head() == [("a", 1, 1, 1), ("a", 3, 2, 2), ("a", 4, 1, 3), ("b", None, 1, 1)]
+
+
 def test_unsolved_potentials_are_an_error(spark):
     edges = spark.createDataFrame([("g", k, k + 1, 1.0 + k % 3) for k in range(12)], "graph_id string, i long, j long, w double")
     nodes, end = G.graph_nodes(edges), lambda i: spark.createDataFrame([("g", i)], "graph_id string, idx long")
