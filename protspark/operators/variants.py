@@ -72,7 +72,8 @@ def scan_rewards(scan: DataFrame, scores: DataFrame, baseline: DataFrame, w: tup
 
     ``scores``: graph_id, pos, mut, A_hat, ddG_hat. ``baseline``: graph_id, A0.
     """
-    joined = scan.join(scores, ["graph_id", "pos", "mut"]).join(baseline, "graph_id")
+    # Spark takes a scan for as small as its sequences and would send all of it to every executor.
+    joined = scan.join(scores.hint("merge"), ["graph_id", "pos", "mut"]).join(baseline, "graph_id")
     delta = F.col("A_hat") - F.col("A0")
     penalty = F.greatest(F.lit(0.0), F.col("ddG_hat"))
     return (joined.withColumns({"delta_A": delta, "stability_penalty": penalty, "reward": w[0] * delta - w[1] * penalty - w[2]})
