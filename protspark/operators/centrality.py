@@ -1,14 +1,15 @@
-"""Node centralities of many graphs at once, by joins on ``(graph_id, node)``.
+"""Node centralities of many graphs at once, by joins on ``(graph_id, node)``; see ``small_graphs`` for small ones.
 
-No graph is handed to one task. A node's state is one row, and a round joins the edges with the state of their far end and
+No large graph is handed to one task: small ones, whose number of edge rows is checked, are solved there many at a time without a
+shuffle per round, unless nodes are given. In the joins a node's state is one row, and a round joins the edges with the state of their far end and
 adds up per node. The edges hold one row from each node to itself, by which it keeps its own values, so that a round names
 the state once and several rounds make one job, with one shuffle each, before the next checkpoint.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from protspark.functions.lineage import written
 from protspark.functions.ordered import ranked
-from protspark.operators.residue_graph import KEY, adjacency, graph_nodes
+from protspark.operators import small_graphs as S
+from protspark.operators.residue_graph import KEY, adjacency, finite, graph_nodes
 
 BLOCK = 16  # sources whose distances are kept at a time, in columns of one row per node
 ROUNDS = 4  # rounds between two checkpoints
@@ -34,6 +36,22 @@ def _stored(edges: DataFrame, weight: str | None) -> DataFrame:
     return written(edges.select(KEY, "i", "j", *([weight] if weight else [])))
 
 
+def _by_size(edges: DataFrame, weight: str | None, name: str, solve: S.Solve, large: Callable[[DataFrame, str | None], DataFrame],
+             least: bool = False, error: Exception | None = None) -> DataFrame:
+    """Small graphs by ``solve``, the others, if any, by ``large``; ``error`` if a small graph failed."""
+    kind = graph_nodes(edges).schema["idx"].dataType
+    w = finite(weight, 0.0).cast("double") if weight else F.lit(1.0)
+    stored = written(edges.select(KEY, F.col("i").cast(kind).alias("i"), F.col("j").cast(kind).alias("j"), w.alias("w")))
+    small, rest = S.divided(stored)
+    out = S.solved(small, name, solve, least)
+    if error:
+        out = written(out)
+        if not out.where("failed").isEmpty():
+            raise error
+    out = out.drop("failed")
+    return out if rest is None else out.unionByName(large(rest, weight and "w"))
+
+
 def _sizes(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n"))
 
@@ -72,6 +90,10 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, alpha: float = 0.
     rule from the two before: 1e-6 takes 24 rounds instead of 85. ``tol=None`` runs exactly ``iters`` plain rounds. With
     a tolerance that ``iters`` rounds do not reach an error is raised.
     """
+    late = RuntimeError(f"PageRank did not converge to {tol} in {iters} rounds")
+    if nodes is None:
+        return _by_size(edges, weight, "pagerank", partial(S.pagerank, alpha=alpha, iters=iters, tol=tol, rounds=rounds),
+                        lambda rest, w: pagerank(rest, graph_nodes(rest), alpha, iters, tol, w, rounds), error=None if tol is None else late)
     edges = _stored(edges, weight)
     ids = _nodes(edges, nodes)
     links = adjacency(edges, weight)
@@ -110,7 +132,7 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, alpha: float = 0.
             state = state.drop("_left")
     else:
         if tol is not None:
-            raise RuntimeError(f"PageRank did not converge to {tol} in {iters} rounds")
+            raise late
     return state.select(KEY, "idx", F.col("x").alias("pagerank"))
 
 
@@ -125,6 +147,12 @@ def eigenvector_centrality(edges: DataFrame, nodes: DataFrame | None = None, ite
 
     ``tol=None`` runs exactly ``iters`` rounds of power iteration on ``A + I``.
     """
+    if nodes is None:
+        large = lambda rest, w: eigenvector_centrality(rest, graph_nodes(rest), iters, tol, w)
+        if tol is None:
+            return _by_size(edges, weight, "eigen", partial(S.powers, iters=iters), large)
+        solve = partial(S.krylov, tol=tol, cycles=_cycles(iters), kept=KEPT, steps=STEPS, best=_best_vectors)
+        return _by_size(edges, weight, "eigen", solve, large, error=_unsolved(tol, iters))
     edges = _stored(edges, weight)
     ids = _nodes(edges, nodes)
     links = adjacency(edges, weight)
@@ -145,6 +173,14 @@ def _power_rounds(links: DataFrame, iters: int) -> DataFrame:
     return state
 
 
+def _cycles(iters: int) -> int:
+    return -(-iters // (STEPS + 1))
+
+
+def _unsolved(tol: float, iters: int) -> RuntimeError:
+    return RuntimeError(f"eigenvector centrality did not converge to {tol} in {iters} rounds")
+
+
 def _krylov(links: DataFrame, tol: float, iters: int) -> DataFrame:
     degree = links.groupBy(KEY, "idx").agg(F.sum("w").alias("_d"))
     scale = written(degree.groupBy(KEY).agg(F.max("_d").alias("_top"), F.avg("_d").alias("_mean"), F.count(F.lit(1)).alias("_n"))
@@ -154,7 +190,7 @@ def _krylov(links: DataFrame, tol: float, iters: int) -> DataFrame:
     q, p = [f"q{k}" for k in range(KEPT)], [f"p{k}" for k in range(1, STEPS + 2)]
     state = degree.join(scale, KEY).selectExpr(KEY, "idx", "1 / sqrt(_n) AS q0", *[f"0D AS {c}" for c in q[1:]], "_mean / _top AS value")
     done = []
-    for _ in range(-(-iters // (STEPS + 1))):
+    for _ in range(_cycles(iters)):
         # p1 is the residual of q0, the others are Chebyshev polynomials of the edges on it.
         have = [*q, "value"]
         for k, c in enumerate(p):
@@ -174,7 +210,34 @@ def _krylov(links: DataFrame, tol: float, iters: int) -> DataFrame:
             return reduce(DataFrame.unionByName, done)
         state = both.where(F.col("left") > tol).selectExpr(KEY, "idx", *turned, "values[0] AS value")
         known = best.where(F.col("left") > tol).select(KEY, "values")
-    raise RuntimeError(f"eigenvector centrality did not converge to {tol} in {iters} rounds")
+    raise _unsolved(tol, iters)
+
+
+def _best_vectors(values: np.ndarray, g: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients and eigenvalues of the leading vectors of many graphs, from inner products and the vectors' own sums."""
+    m = KEPT + STEPS
+    times = np.zeros((len(g), m + 1, m))  # the edges applied to a new vector, in terms of all vectors
+    for j in range(KEPT, m):
+        times[:, j + 1, j] = 1.0 if j == KEPT else 0.5
+        if j > KEPT:
+            times[:, j - 1, j] = 0.5
+    h = (g @ times)[:, :m]
+    h[:, KEPT:, :KEPT] = h[:, :KEPT, KEPT:].transpose(0, 2, 1)
+    at = np.arange(m)
+    h[:, at[:KEPT], at[:KEPT]] = values  # the kept vectors are the leading ones of the last span
+    h = (h + h.transpose(0, 2, 1)) / 2
+    diagonal = np.einsum("nii->ni", g)[:, :m]
+    size = np.where(diagonal > 0, 1 / np.sqrt(np.where(diagonal > 0, diagonal, 1.0)), 0.0)
+    lengths, turn = np.linalg.eigh(g[:, :m, :m] * size[:, :, None] * size[:, None, :])
+    used = lengths > DEPENDENT
+    w = size[:, :, None] * turn * np.where(used, 1 / np.sqrt(np.where(used, lengths, 1.0)), 0.0)[:, None, :]
+    small = w.transpose(0, 2, 1) @ h @ w
+    small[:, at, at] = np.where(used, small[:, at, at], -4.0)  # beyond the spectrum, never among the best
+    found, vectors = np.linalg.eigh(small)
+    c, found = (w @ vectors)[:, :, :-KEPT - 1:-1], found[:, :-KEPT - 1:-1]
+    c = np.where(found[:, None, :] < -2, 0.0, c)
+    c[:, :, 0] *= np.where(np.einsum("ni,ni->n", c[:, :, 0], sums) < 0, -1.0, 1.0)[:, None]
+    return c.transpose(0, 2, 1).reshape(len(g), -1), np.where(found < -2, 0.0, found)
 
 
 def _best_in_basis(gram: DataFrame) -> DataFrame:
@@ -186,30 +249,6 @@ def _best_in_basis(gram: DataFrame) -> DataFrame:
     """
     m = KEPT + STEPS
 
-    def of(values: np.ndarray, g: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        times = np.zeros((len(g), m + 1, m))  # the edges applied to a new vector, in terms of all vectors
-        for j in range(KEPT, m):
-            times[:, j + 1, j] = 1.0 if j == KEPT else 0.5
-            if j > KEPT:
-                times[:, j - 1, j] = 0.5
-        h = (g @ times)[:, :m]
-        h[:, KEPT:, :KEPT] = h[:, :KEPT, KEPT:].transpose(0, 2, 1)
-        at = np.arange(m)
-        h[:, at[:KEPT], at[:KEPT]] = values  # the kept vectors are the leading ones of the last span
-        h = (h + h.transpose(0, 2, 1)) / 2
-        diagonal = np.einsum("nii->ni", g)[:, :m]
-        size = np.where(diagonal > 0, 1 / np.sqrt(np.where(diagonal > 0, diagonal, 1.0)), 0.0)
-        lengths, turn = np.linalg.eigh(g[:, :m, :m] * size[:, :, None] * size[:, None, :])
-        used = lengths > DEPENDENT
-        w = size[:, :, None] * turn * np.where(used, 1 / np.sqrt(np.where(used, lengths, 1.0)), 0.0)[:, None, :]
-        small = w.transpose(0, 2, 1) @ h @ w
-        small[:, at, at] = np.where(used, small[:, at, at], -4.0)  # beyond the spectrum, never among the best
-        found, vectors = np.linalg.eigh(small)
-        c, found = (w @ vectors)[:, :, :-KEPT - 1:-1], found[:, :-KEPT - 1:-1]
-        c = np.where(found[:, None, :] < -2, 0.0, c)
-        c[:, :, 0] *= np.where(np.einsum("ni,ni->n", c[:, :, 0], sums) < 0, -1.0, 1.0)[:, None]
-        return c.transpose(0, 2, 1).reshape(len(g), -1), np.where(found < -2, 0.0, found)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
@@ -218,7 +257,7 @@ def _best_in_basis(gram: DataFrame) -> DataFrame:
             i, j = np.triu_indices(m + 1)
             numbers = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns[2:]], axis=1)
             g[:, i, j] = g[:, j, i] = numbers[:, :len(i)]
-            c, values = of(b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, KEPT), g, numbers[:, len(i):])
+            c, values = _best_vectors(b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, KEPT), g, numbers[:, len(i):])
             lists = [pa.array(list(x), pa.list_(pa.float64())) for x in (c, values)]
             yield pa.RecordBatch.from_arrays([b.column(0), *lists, pa.array(np.sqrt(np.maximum(g[:, KEPT, KEPT], 0.0)))], [KEY, "c", "values", "left"])
 
@@ -292,6 +331,8 @@ def closeness(edges: DataFrame, nodes: DataFrame | None = None, weight: str | No
 
     Distances are found for ``block`` sources at a time and added up per node at once; they are the same in both directions.
     """
+    if nodes is None:
+        return _by_size(edges, weight, "closeness", S.closeness, lambda rest, w: closeness(rest, graph_nodes(rest), w, block), least=True)
     edges = _stored(edges, weight)
     ids = written(_nodes(edges, nodes))
     total = None
@@ -319,6 +360,9 @@ def betweenness(edges: DataFrame, nodes: DataFrame | None = None, weight: str |
     For ``block`` sources at a time the edges on shortest paths are marked, one bit per source; path counts flow along them
     and dependencies back, and what a block gives is added to the node sums at once.
     """
+    if nodes is None:
+        return _by_size(edges, weight, "betweenness", partial(S.betweenness, normalized=normalized),
+                        lambda rest, w: betweenness(rest, graph_nodes(rest), w, normalized, block), least=True, error=_unequal())
     edges = _stored(edges, weight)
     ids = written(_nodes(edges, nodes))
     total = None
@@ -332,6 +376,10 @@ def betweenness(edges: DataFrame, nodes: DataFrame | None = None, weight: str |
             .select(KEY, "idx", (F.coalesce("_b", F.lit(0.0)) * scale).alias("betweenness")))
 
 
+def _unequal() -> ValueError:
+    return ValueError("edge lengths of one graph differ by more than a double can add up")
+
+
 def _dependencies(links: DataFrame, d: DataFrame, first: int, width: int) -> DataFrame:
     """Summed dependencies of one block's sources per node."""
     ks = range(width)
@@ -371,4 +419,4 @@ def _settled(links: DataFrame, state: DataFrame, kept: list[str], start: list[st
         done += ROUNDS
         limit = limit or (state.groupBy(KEY).count().agg(F.max("count")).first()[0] or 0)
         if done > limit + ROUNDS:
-            raise ValueError("edge lengths of one graph differ by more than a double can add up")
+            raise _unequal()
