@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from protspark.functions.lineage import shared_folder
-from protspark.llm import decontaminate, deobfuscate, fair_mix, near_copies, wavelet
+from protspark.llm import byte_index, decontaminate, deobfuscate, fair_mix, wavelet
 from protspark.llm.common import table
 
 
@@ -19,8 +19,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingle sets at 0.8 or more) the document with the smallest id stays."""
-    return near_copies.one_of_each(docs)
+    """Of each group of near-duplicates (op9's fingerprints and byte-position index) the document with the smallest id stays."""
+    return byte_index.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
