@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from protspark.functions.lineage import cut
+from protspark.functions.lineage import cut, written
 from protspark.functions.skew import spread, with_group_stats
 from protspark.operators.geometry import knn_graph
 
@@ -206,4 +206,5 @@ def normalize_weights(edges: DataFrame, ligand_pairs: DataFrame | None = None, n
     ids = nodes.select(KEY, "idx").distinct()
     linked = (ligand_pairs.join(ids.withColumnRenamed("idx", "i"), [KEY, "i"], "left_semi")
               .join(ids.withColumnRenamed("idx", "j"), [KEY, "j"], "left_semi"))
-    return scaled.unionByName(linked.select(KEY, "i", "j", F.lit(1.0).alias("w")).distinct())
+    # Written, because a union of two co-partitioned sides would hold the sorts of both in one task.
+    return scaled.unionByName(written(linked.select(KEY, "i", "j", F.lit(1.0).alias("w")).distinct()))

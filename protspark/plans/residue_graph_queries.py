@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from protspark.functions.lineage import written
 from protspark.functions.vectors import explode_vector
 from protspark.operators import centrality as C
 from protspark.operators import residue_graph as G
@@ -37,7 +38,7 @@ def ends(edges):
 
 
 def solved(spark, sf, max_nodes=2_000):
-    e = graphs(spark, sf)
+    e = written(graphs(spark, sf))  # read for the nodes, the ends, the system and its check
     nodes = G.graph_nodes(e)
     sources, sinks = ends(e)
     return e, nodes, G.potentials(e, nodes, sources, sinks, max_nodes=max_nodes)
@@ -278,7 +279,7 @@ def node_memory(spark, sf):
     WITH {GRAPH_SQL} SELECT graph_id, i, j, round(w / (avg(w) OVER (PARTITION BY graph_id) * 10), 8) + 0.0 AS w FROM e
     UNION ALL SELECT e.graph_id, e.i, 15, 1.0 FROM (SELECT DISTINCT graph_id, i FROM e WHERE g_mem > 0.03) e JOIN nodes ON nodes.graph_id = e.graph_id AND nodes.idx = 15""")
 def normalize_weights(spark, sf):
-    e = graphs(spark, sf)
+    e = written(graphs(spark, sf))  # read for the weights, the pairs and the nodes
     pairs = e.where("g_mem > 0.03").select(KEY, "i", F.lit(15).cast("long").alias("j"))
     return G.normalize_weights(e, pairs, G.graph_nodes(e)).withColumn("w", F.round("w", 8) + F.lit(0.0))
 

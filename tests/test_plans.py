@@ -13,3 +13,12 @@ def test_scans_are_not_broadcast(spark, tmp_path):
     joins = [line for line in out._jdf.queryExecution().sparkPlan().toString().split("\n") if "Join" in line and "pos#" in line]
     assert joins and all("SortMergeJoin" in line for line in joins), joins
     assert out.count() == 19 * 5
+
+
+def test_stored_edges_are_read_not_built_again(spark):
+    """Building the edges is two shuffles; weights and potentials need them several times."""
+    from protspark.plans import residue_graph_queries as Q
+
+    for query in (Q.normalize_weights, Q.potentials):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "l_orderkey" not in plan
