@@ -13,6 +13,7 @@ from protspark.functions.skew import spread, with_group_stats
 from protspark.operators.geometry import knn_graph
 
 KEY = "graph_id"
+PACKED = 400_000  # edge rows of a structure that is solved as one row
 
 
 def finite(c: str, missing: float) -> Column:
@@ -40,27 +41,50 @@ def _charges(nodes: DataFrame, sources: DataFrame, sinks: DataFrame) -> DataFram
 
 
 def potentials(edges: DataFrame, nodes: DataFrame, sources: DataFrame, sinks: DataFrame, eps: float = 1e-3,
-               max_nodes: int = 256, tol: float = 1e-10, max_iter: int = 1_000) -> DataFrame:
+               max_nodes: int = 256, tol: float = 1e-10, max_iter: int = 1_000, max_edges: int = 0) -> DataFrame:
     """Solve ``(L + eps I) phi = b`` per graph: ``(graph_id, idx, phi)``.
 
     Graphs of at most ``max_nodes`` nodes (a checked size) are rows of their own and solved densely. Larger
     ones are solved together by conjugate gradients on the edge table, whose steps are joins and sums; a residual
-    above ``tol`` after ``max_iter`` rounds is an error.
+    above ``tol`` after ``max_iter`` rounds is an error. Graphs between, with at most ``max_edges`` edge rows and nodes
+    (checked too), are rows as well, with the same conjugate gradients in their task.
     """
     edges = cut(edges.select(KEY, "i", "j", "w"))
     charged = cut(_charges(nodes, sources, sinks))
     sizes = charged.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n"))
-    large = cut(sizes.where(F.col("_n") > max_nodes).select(KEY))
+    large = sizes.where(F.col("_n") > max_nodes)
+    if max_edges:
+        rows = edges.groupBy(KEY).agg(F.count(F.lit(1)).alias("_m"))
+        large = large.join(rows, KEY, "left").where((F.col("_n") > max_edges) | (F.col("_m") > max_edges))
+    large = cut(large.select(KEY))
     small_nodes, small_edges = charged.join(large, KEY, "left_anti"), edges.join(large, KEY, "left_anti")
-    dense = _solve_dense(small_edges, small_nodes, eps)
+    dense = _solve_rows(small_edges, small_nodes, eps, max_nodes, tol, max_iter)
     if large.isEmpty():
         return dense
     rest = _solve_cg(edges.join(large, KEY, "left_semi"), charged.join(large, KEY, "left_semi"), eps, tol, max_iter)
     return dense.unionByName(rest)
 
 
-def _solve_dense(edges: DataFrame, charged: DataFrame, eps: float) -> DataFrame:
-    """One row per graph (its size is checked), many graphs per Arrow batch."""
+def _gradients(at_i: np.ndarray, at_j: np.ndarray, w: np.ndarray, b: np.ndarray, eps: float, tol: float, max_iter: int) -> np.ndarray:
+    """Conjugate gradients as in ``_solve_cg``, for the links of one graph (a loop links nothing)."""
+    w = np.where(at_i == at_j, 0.0, w)
+    a, z, ww = np.concatenate([at_i, at_j]), np.concatenate([at_j, at_i]), np.concatenate([w, w])
+    d = np.bincount(a, ww, len(b)) + eps
+    x, r = np.zeros(len(b)), b.astype(float)
+    p, rz = r / d, r @ (r / d)
+    for _ in range(max_iter):
+        if np.sqrt(r @ r) < tol:
+            return x
+        ap = d * p - np.bincount(a, ww * p[z], len(b))
+        step = rz / (p @ ap)
+        x, r = x + step * p, r - step * ap
+        rz, old = r @ (r / d), rz
+        p = r / d + rz / old * p
+    raise RuntimeError(f"conjugate gradients left a residual above {tol} after {max_iter} rounds")
+
+
+def _solve_rows(edges: DataFrame, charged: DataFrame, eps: float, max_nodes: int, tol: float, max_iter: int) -> DataFrame:
+    """One row per graph (its size is checked), many graphs per Arrow batch; dense up to ``max_nodes``."""
     key_type = charged.schema[KEY].dataType.simpleString()
     links = edges.groupBy(KEY, F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).agg(F.max(finite("w", 0.0).cast("double")).alias("w"))
     lists = lambda df, *cols: df.groupBy(KEY).agg(F.collect_list(F.struct(*cols)).alias("_l")).select(KEY, *[F.col(f"_l.{c}").alias(c) for c in cols])
@@ -74,14 +98,18 @@ def _solve_dense(edges: DataFrame, charged: DataFrame, eps: float) -> DataFrame:
                 key, ids, b, i, j, w = row
                 order = np.argsort(ids)
                 ids, n = ids[order], len(ids)
+                keys += [key] * n
+                idx.append(ids)
+                if n > max_nodes:
+                    i, j, w = (np.zeros(0), np.zeros(0), np.zeros(0)) if i is None else (i, j, w)
+                    phi.append(_gradients(np.searchsorted(ids, i), np.searchsorted(ids, j), w, b[order], eps, tol, max_iter))
+                    continue
                 mat = np.zeros((n, n))
                 if i is not None:
                     at_i, at_j = np.searchsorted(ids, i), np.searchsorted(ids, j)
                     mat[at_i, at_j] = mat[at_j, at_i] = -w
                 np.fill_diagonal(mat, 0.0)
                 np.fill_diagonal(mat, eps - mat.sum(axis=1))
-                keys += [key] * n
-                idx.append(ids)
                 phi.append(np.linalg.solve(mat, b[order]))
             yield pd.DataFrame({KEY: keys, "idx": np.concatenate(idx) if idx else [], "phi": np.concatenate(phi) if phi else []})
 
@@ -160,7 +188,7 @@ def build_graphs(residues: DataFrame, topk: int = 6, min_sep: int = 2, sigma: fl
     heads = first_n(nodes, [KEY], ["idx"], 7, "_k")
     sources = heads.where(F.col("_k") == 1)
     sinks = heads.groupBy(KEY).agg(F.max("idx").alias("idx"))
-    phi = potentials(edges, nodes, sources, sinks, eps)
+    phi = potentials(edges, nodes, sources, sinks, eps, max_edges=PACKED)
     return minmax_by_graph(adapt_conductance(edge_flux(edges, phi), alpha))
 
 

@@ -43,3 +43,19 @@ def test_lengths_beyond_a_double(spark):
     df = spark.createDataFrame([("g", 1, 2, 1e30), ("g", 2, 3, 1e-30), ("g", 3, 4, 1e-30)], SCHEMA)
     with pytest.raises(ValueError, match="add up"):
         C.betweenness(df, weight="w").collect()
+
+
+def test_structures_are_solved_in_their_row(spark, monkeypatch):
+    """A round of joins per step of conjugate gradients took too long for structures beyond the dense limit."""
+    from protspark.operators import residue_graph as G
+
+    edges = spark.createDataFrame([("a", k, (7 * k + s) % 300, 0.1 + (k * s) % 5) for k in range(300) for s in (1, 3)] + [("b", 1, 2, 1.0)], SCHEMA)
+    edges = edges.selectExpr("graph_id", "least(i, j) AS i", "greatest(i, j) AS j", "w")
+    nodes = G.graph_nodes(edges)
+    ends = [nodes.groupBy("graph_id").agg(f("idx").alias("idx")) for f in (G.F.min, G.F.max)]
+    dense = rows(G.potentials(edges, nodes, *ends, max_nodes=2_000))
+    monkeypatch.setattr(G, "_solve_cg", None)
+    packed = rows(G.potentials(edges, nodes, *ends, max_edges=1_000))
+    assert len(packed) == 302 and all(a[:2] == b[:2] and math.isclose(a[2], b[2], abs_tol=1e-6) for a, b in zip(packed, dense))
+    points = spark.createDataFrame([("m", k, k * 0.9 % 7.0, k * 1.7 % 5.0, k * 0.01) for k in range(300)], "model_id string, idx long, x double, y double, z double")
+    assert G.build_graphs(points).count() > 300
