@@ -7,10 +7,13 @@ import itertools
 from pyspark.sql import Column, DataFrame, functions as F
 
 from protspark.functions.lineage import cut
+from protspark.functions.ordered import running_totals
 from protspark.functions.skew import first_n, pair_join, salted_join
 
 AXES = ("x", "y", "z")
 CROWDED_CELL = 20_000  # points of one grid cell per task
+STEP, RUNGS = 2**0.5, 64  # sizes of cubes that are counted, from the cutoff down
+TIE = 1e-14  # distances that differ by less may give one score
 NEIGHBOURS = list(itertools.product((-1, 0, 1), repeat=3))
 # Half of the neighbourhood: every pair of adjacent cells is met from one side only.
 HALF = [o for o in NEIGHBOURS if o >= (0, 0, 0)]
@@ -52,21 +55,23 @@ def _side(df: DataFrame, by: list[str], cols: list[str], suffix: str) -> list[Co
     return [*[F.col(b) for b in by], *[F.col(c).alias(f"{c}{suffix}") for c in (*AXES, *cols)]]
 
 
-def radius_pairs(points: DataFrame, by: list[str], idx: str, cutoff: float, cols: list[str] | None = None,
+def radius_pairs(points: DataFrame, by: list[str], idx: str, cutoff: float | str, cols: list[str] | None = None,
                  closed: bool = True) -> DataFrame:
-    """Unordered pairs ``idx_i < idx_j`` of one group within ``cutoff``, with ``dist``.
+    """Unordered pairs ``idx_i < idx_j`` of one group within ``cutoff``, a number or a column with one of each group, with ``dist``.
 
     Points go to grid cells as wide as the cutoff; each cell meets itself and 13 of its neighbours, so
     every pair is built once. The join key is the cell, so a large group is spread over its cells, and a
     crowded cell is salted. A group with no more points than cells to meet is one cell.
     """
     cols = [idx, *(cols or [])]
+    own = [cutoff] if isinstance(cutoff, str) else []
+    reach = F.col(cutoff) if own else cutoff
     cell = [f"_c{c}" for c in AXES]
-    pts = _measured(located(points).select(*by, *AXES, *cols), by, 2 * len(HALF))
-    left = _shifted(pts.select(*_side(pts, by, cols, "_i"), "_small", *_cells(cutoff)), HALF)
-    right = pts.select(*_side(pts, by, cols, "_j"), *_cells(cutoff))
+    pts = _measured(located(points).select(*by, *AXES, *cols, *own), by, 2 * len(HALF))
+    left = _shifted(pts.select(*_side(pts, by, cols, "_i"), *own, "_small", *_cells(reach)), HALF)
+    right = pts.select(*_side(pts, by, cols, "_j"), *_cells(reach))
     joined = salted_join(right, left, [*by, *cell], CROWDED_CELL)
-    near = distance() <= cutoff if closed else distance() < cutoff
+    near = distance() <= reach if closed else distance() < reach
     i, j = F.col(f"{idx}_i"), F.col(f"{idx}_j")
     same_cell = F.col("_o") == HALF.index((0, 0, 0))
     met = joined.where(near & (~same_cell | (i < j)) & (i != j))
@@ -93,7 +98,7 @@ def radius_join(left: DataFrame, right: DataFrame, by: list[str], cutoff: float,
     return joined.where(near).select(*by, *[f"{c}_i" for c in left_cols], *[f"{c}_j" for c in right_cols], distance().alias("dist"))
 
 
-def contacts(residues: DataFrame, cutoff: float = 8.0, weight: float = 1.0, contact_type: str = "intra_protein",
+def contacts(residues: DataFrame, cutoff: float | str = 8.0, weight: float = 1.0, contact_type: str = "intra_protein",
              by: list[str] = ["model_id"], closed: bool = True) -> DataFrame:
     """Residue pairs ``i < j`` of a model within ``cutoff``, as contact rows."""
     pairs = radius_pairs(residues, by, "idx", cutoff, closed=closed)
@@ -101,6 +106,61 @@ def contacts(residues: DataFrame, cutoff: float = 8.0, weight: float = 1.0, cont
                         F.lit(float(weight)).alias("w"), F.lit(contact_type).alias("contact_type"))
 
 
+def _pair_counts(points: DataFrame, by: list[str], idx: str, cutoff: float) -> DataFrame:
+    """(by, ``_rung``, ``_pairs``): at least so many pairs of the group lie within ``cutoff / STEP ** _rung``, at -1 at distance zero.
+
+    Points in a cube whose diagonal is a distance are within it; no pair is built. An id counts once.
+    """
+    once = points.where(F.col(idx).isNotNull()).groupBy(*by, idx).agg(F.min(F.struct(*AXES)).alias("_p")).select(*by, "_p.*")
+    at = F.explode(F.array(*[F.struct(F.lit(k).alias("rung"), F.lit(cutoff * 0.577 / STEP**k).alias("side")) for k in range(RUNGS)]))
+    cubes = once.withColumn("_s", at).where(F.greatest(*[F.abs(c) for c in AXES]) < F.col("_s.side") * 2.0**40)  # else the quotient is no cell
+    cubes = cubes.groupBy(*by, F.col("_s.rung").alias("_rung"), *[F.floor(F.col(c) / F.col("_s.side")).alias(f"_c{c}") for c in AXES]).count()
+    places = once.groupBy(*by, F.lit(-1).alias("_rung"), *AXES).count()
+    n = F.col("count").cast("double")
+    return cubes.select(*by, "_rung", "count").unionByName(places.select(*by, "_rung", "count")).where("count > 1").groupBy(*by, "_rung").agg(F.sum(n * (n - 1) / 2).alias("_pairs"))
+
+
+def _first_copies(points: DataFrame, by: list[str], want: str) -> DataFrame:
+    """The pairs at one place that may be among the group's first ``want`` by (i, j): those of its first ids, counted before they are built."""
+    rows = points.where(F.col("idx").isNotNull())
+    here = running_totals(rows.groupBy(*by, *AXES, "idx", want).agg(F.count(F.lit(1)).alias("_m")), [*by, *AXES], [F.col("idx")], {"_upto": F.col("_m")})
+    sizes = here.groupBy(*by, *AXES).agg(F.sum("_m").alias("_all"))
+    pairs = here.join(sizes, [*by, *AXES]).groupBy(*by, "idx", want).agg(F.sum(F.col("_m") * (F.col("_all") - F.col("_upto"))).alias("_pairs"))
+    first = running_totals(pairs.where("_pairs > 0"), by, [F.col("idx")], {"_total": F.col("_pairs")}).where(F.col("_total") - F.col("_pairs") < F.col(want))
+    lead = rows.join(first.select(*by, "idx"), [*by, "idx"], "left_semi").select(*by, *AXES, F.col("idx").alias("i"))
+    met = salted_join(rows.select(*by, *AXES, F.col("idx").alias("j")), lead, [*by, *AXES], CROWDED_CELL)
+    return met.where("i < j").select(*by, "i", "j", F.lit(0.0).alias("dist"))
+
+
+def _tied_places(points: DataFrame, by: list[str]) -> DataFrame:
+    """Pairs at different places that are so near that their scores may equal those of copies."""
+    places = points.select(*by, *AXES).distinct().withColumns({"_place": F.struct(*AXES), "_reach": F.lit(TIE)})
+    near = radius_pairs(places, by, "_place", "_reach")
+    end = lambda c: points.select(*by, F.struct(*AXES).alias(f"_place_{c}"), F.col("idx").alias(c))
+    met = near.join(end("i"), [*by, "_place_i"]).join(end("j"), [*by, "_place_j"]).where("i != j")
+    return met.select(*by, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "dist")
+
+
+def closest_contacts(residues: DataFrame, wanted: DataFrame, want: str, cutoff: float = 8.0, by: list[str] = ["model_id"]) -> DataFrame:
+    """Contacts of a model that hold its first ``want`` ones by (dist, i, j): ``(by, i, j, dist)``, about as many as wanted.
+
+    ``wanted`` has a row per model. Cubes of ``RUNGS`` sizes are counted first, and only pairs within the smallest size that
+    surely holds enough are built, so the work follows the points and what is wanted, not the square of a crowd. Where the
+    copies at one place are enough, their pairs are counted per id and those of the first ids built.
+    """
+    pts = cut(located(residues).select(*by, "idx", *AXES).join(wanted.select(*by, F.greatest(want, F.lit(1)).alias("_want")), by))
+    enough = (_pair_counts(pts, by, "idx", cutoff).join(wanted.select(*by, F.greatest(want, F.lit(1)).alias("_want")), by).where("_pairs >= _want")
+              .groupBy(*by).agg(F.max("_rung").alias("_rung"), (F.min("_rung") < 0).alias("_copies")))
+    known = cut(pts.join(enough, by, "left"))
+    copies, others = known.where("_copies"), known.where(~F.coalesce("_copies", F.lit(False)))
+    # A little wider, so that no pair is lost whose rounded score equals that of a pair within.
+    reach = F.least(F.lit(cutoff), F.pow(F.lit(STEP), -F.greatest("_rung", F.lit(0))) * cutoff * (1 + 1e-9) + TIE)
+    near = contacts(others.withColumn("_reach", F.coalesce(reach, F.lit(cutoff))), "_reach", by=by).select(*by, "i", "j", "dist")
+    if copies.isEmpty():
+        return cut(near)
+    return cut(near.unionByName(_first_copies(copies, by, "_want")).unionByName(_tied_places(copies, by)))
+
+
 def contact_labels(residues: DataFrame, thr: float = 8.0, closed: bool = True, dense: bool = False,
                    by: list[str] = ["model_id"]) -> DataFrame:
     """Contact label ``y`` per valid pair ``i < j`` (both coordinates known).

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from protspark.operators import topk as T
 from protspark.plans.registry import query, r6, table
 from protspark.plans.stand_ins import PAIRS_SQL, points
-from protspark.operators.geometry import contacts
+from protspark.operators.geometry import closest_contacts
 
 LINE_ORD = "l_orderkey * 10000000000 + l_partkey * 10000 + l_suppkey * 1000 + l_linenumber * 100 + CAST(l_quantity AS INT)"
 
@@ -72,7 +72,7 @@ def best_structure(spark, sf):
 def topk_pairs(spark, sf):
     p = points(spark, sf)
     n = p.groupBy("model_id").agg(F.count(F.lit(1)).alias("len"))
-    s = contacts(p, 0.25).select("model_id", "i", "j", (1 / (1 + F.col("dist"))).alias("score")).join(n, "model_id")
+    s = closest_contacts(p, n, "len", 0.25).select("model_id", "i", "j", (1 / (1 + F.col("dist"))).alias("score")).join(n, "model_id")
     return T.topk_pairs(s, ["model_id"], length="len", thr=0.9).select("model_id", "i", "j", r6("score").alias("score"), "rank", "pred")
 
 

@@ -127,3 +127,26 @@ def test_map_aligned_walk(spark):
 def test_distance_bins(spark):
     df = spark.createDataFrame([(0.0,), (3.99,), (4.0,), (24.0,), (29.9,), (30.0,), (99.0,)], "d double")
     assert [r[0] for r in df.select(A.distance_bin(F.col("d"))).collect()] == [0, 0, 1, 9, 9, 9, 9]
+
+
+def test_closest_contacts_hold_the_first_ones(spark):
+    """Crowds, copies and repeated or missing ids: the first pairs of each model are those of all contacts, from far fewer rows."""
+    from protspark.operators.topk import topk_pairs
+
+    rng = random.Random(4)
+    at = lambda w: tuple(rng.uniform(-w, w) for _ in range(3))
+    places = [at(0.3) for _ in range(12)]
+    rows = [("crowd", k, *at(0.2)) for k in range(500)]
+    rows += [("copies", k, *places[k % 12]) for k in range(150)] + [("copies", 150, places[0][0] + 1e-16, *places[0][1:])]
+    rows += [("tied", k, *((0.0, 0.0, 0.0) if k % 2 else (1e-17, 0.0, 0.0))) for k in range(40)]
+    rows += [("sparse", k, k * 0.2, 0.0, 0.0) for k in range(20)] + [("one", 1, 0.0, 0.0, 0.0)]
+    rows += [("ids", k % 7, *at(0.05)) for k in range(30)] + [("ids", None, 0.0, 0.0, 0.0), ("ids", 90, None, 0.0, 0.0), (None, 1, 0.0, 0.0, 0.0)]
+    rows += [("far", k, 1e12 + k % 3, 0.0, 0.0) for k in range(10)]
+    p = spark.createDataFrame(rows, "model_id string, idx long, x double, y double, z double")
+    n = p.groupBy("model_id").agg(F.count(F.lit(1)).alias("len"))
+    score = lambda c: topk_pairs(c.select("model_id", "i", "j", (1 / (1 + F.col("dist"))).alias("score")).join(n, "model_id"), ["model_id"], length="len")
+    rank = lambda df: sorted((r.model_id, r.rank, r.i, r.j, r.score) for r in df.collect())
+    few, every = G.closest_contacts(p, n, "len", 0.25), G.contacts(p, 0.25)
+    assert rank(score(few)) == rank(score(every))
+    count = lambda df, m: df.where(F.col("model_id") == m).count()
+    assert count(few, "crowd") * 4 < count(every, "crowd") and count(few, "copies") * 3 < count(every, "copies")
