@@ -14,6 +14,7 @@ from protspark.operators.geometry import knn_graph
 
 KEY = "graph_id"
 PACKED = 400_000  # edge rows of a structure that is solved as one row
+IN_TASK = 20_000  # nodes and edge rows of a graph whose rounds run in one task
 
 
 def finite(c: str, missing: float) -> Column:
@@ -86,10 +87,6 @@ def _gradients(at_i: np.ndarray, at_j: np.ndarray, w: np.ndarray, b: np.ndarray,
 def _solve_rows(edges: DataFrame, charged: DataFrame, eps: float, max_nodes: int, tol: float, max_iter: int) -> DataFrame:
     """One row per graph (its size is checked), many graphs per Arrow batch; dense up to ``max_nodes``."""
     key_type = charged.schema[KEY].dataType.simpleString()
-    links = edges.groupBy(KEY, F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).agg(F.max(finite("w", 0.0).cast("double")).alias("w"))
-    lists = lambda df, *cols: df.groupBy(KEY).agg(F.collect_list(F.struct(*cols)).alias("_l")).select(KEY, *[F.col(f"_l.{c}").alias(c) for c in cols])
-    nodes = lists(charged.select(KEY, F.col("idx").cast("long").alias("idx"), "b"), "idx", "b")
-    packed = nodes.join(lists(links, "i", "j", "w"), KEY, "left")
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -113,11 +110,88 @@ def _solve_rows(edges: DataFrame, charged: DataFrame, eps: float, max_nodes: int
                 phi.append(np.linalg.solve(mat, b[order]))
             yield pd.DataFrame({KEY: keys, "idx": np.concatenate(idx) if idx else [], "phi": np.concatenate(phi) if phi else []})
 
-    return spread(packed.select(KEY, "idx", "b", "i", "j", "w"), KEY).mapInPandas(solve, f"{KEY} {key_type}, idx long, phi double")
+    return _packed(edges, charged).mapInPandas(solve, f"{KEY} {key_type}, idx long, phi double")
+
+
+def _packed(edges: DataFrame, charged: DataFrame) -> DataFrame:
+    """One row per graph with its nodes and links as lists: ``(graph_id, idx, b, i, j, w)``."""
+    links = edges.groupBy(KEY, F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).agg(F.max(finite("w", 0.0).cast("double")).alias("w"))
+    lists = lambda df, *cols: df.groupBy(KEY).agg(F.collect_list(F.struct(*cols)).alias("_l")).select(KEY, *[F.col(f"_l.{c}").alias(c) for c in cols])
+    nodes = lists(charged.select(KEY, F.col("idx").cast("long").alias("idx"), "b"), "idx", "b")
+    return spread(nodes.join(lists(links, "i", "j", "w"), KEY, "left").select(KEY, "idx", "b", "i", "j", "w"), KEY)
+
+
+def _in_step(graph: np.ndarray, a: np.ndarray, z: np.ndarray, w: np.ndarray, b: np.ndarray, eps: float, tol: float, max_iter: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rounds of ``_rounds`` for the nodes of many graphs and their links in both directions: solution, residual per graph.
+
+    A link from -1 comes from no node, one to -1 counts for its own node only.
+    """
+    a, z, w = a[a >= 0], z[a >= 0], w[a >= 0]
+    d = np.bincount(a, w, len(b)) + eps
+    a, z, w = a[z >= 0], z[z >= 0], w[z >= 0]
+    per = lambda v: np.bincount(graph, v)
+    x, r, p = np.zeros(len(b)), b.astype(float), b / d
+    rz, left = per(r * r / d), np.sqrt(per(r * r))
+    for _ in range(max_iter):
+        if not (left >= tol).any():
+            break
+        ap = d * p - np.bincount(a, w * p[z], len(b))
+        pap = per(p * ap)
+        alpha = np.divide(rz, pap, out=np.zeros(len(rz)), where=(pap > 0) & (left >= tol))[graph]
+        x, r = x + alpha * p, r - alpha * ap
+        rz, old = per(r * r / d), rz
+        p = r / d + np.divide(rz, old, out=np.zeros(len(rz)), where=old > 0)[graph] * p
+        left = np.sqrt(per(r * r))
+    return x, left
 
 
 def _solve_cg(edges: DataFrame, charged: DataFrame, eps: float, tol: float, max_iter: int) -> DataFrame:
-    """Conjugate gradients with a diagonal preconditioner, all graphs in step, one checkpoint per round."""
+    """Conjugate gradients with a diagonal preconditioner, all graphs in step.
+
+    The rounds of graphs of at most ``IN_TASK`` nodes and edge rows run where their rows are, so nothing is moved or written
+    between rounds; those of larger ones are joins.
+    """
+    n = charged.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n")).join(edges.groupBy(KEY).agg(F.count(F.lit(1)).alias("_m")), KEY, "left")
+    large = cut(n.where((F.col("_n") > IN_TASK) | (F.col("_m") > IN_TASK)).select(KEY))
+    key_type = charged.schema[KEY].dataType.simpleString()
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            keys, sizes, ids, b, a, z, w, first = [], [], [], [], [], [], [], 0
+            for key, idx, charge, i, j, links in pdf.itertuples(index=False):
+                order = np.argsort(idx)
+                idx = idx[order]
+                keys.append(key)
+                sizes.append(len(idx))
+                ids.append(idx)
+                b.append(charge[order])
+                if i is not None:
+                    at = [np.minimum(np.searchsorted(idx, v), len(idx) - 1) for v in (i, j)]
+                    at_i, at_j = (np.where(idx[k] == v, first + k, -1) for k, v in zip(at, (i, j)))
+                    a += [at_i, at_j]
+                    z += [at_j, at_i]
+                    w += [links, links]
+                first += len(idx)
+            if not keys:
+                continue
+            graph = np.repeat(np.arange(len(keys)), sizes)
+            ends = [np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64) for v in (a, z)]
+            x, left = _in_step(graph, *ends, np.concatenate(w) if w else np.zeros(0), np.concatenate(b), eps, tol, max_iter)
+            yield pd.DataFrame({KEY: [keys[g] for g in graph], "idx": np.concatenate(ids), "phi": x, "_res": left[graph]})
+
+    few = charged.join(large, KEY, "left_anti")
+    small = _packed(edges.where(F.col("i") != F.col("j")).join(large, KEY, "left_anti"), few.where("idx IS NOT NULL"))
+    done = cut(small.mapInPandas(solve, f"{KEY} {key_type}, idx long, phi double, _res double"))
+    if (done.agg(F.max("_res")).first()[0] or 0.0) >= tol:
+        raise RuntimeError(f"conjugate gradients left a residual above {tol} after {max_iter} rounds")
+    done = done.drop("_res").unionByName(few.where("idx IS NULL").select(KEY, F.col("idx").cast("long").alias("idx"), F.lit(0.0).alias("phi")))  # no charge
+    if large.isEmpty():
+        return done
+    return done.unionByName(_rounds(edges.join(large, KEY, "left_semi"), charged.join(large, KEY, "left_semi"), eps, tol, max_iter))
+
+
+def _rounds(edges: DataFrame, charged: DataFrame, eps: float, tol: float, max_iter: int) -> DataFrame:
+    """The rounds as joins and sums of the edge table, two checkpoints per round."""
     adj = cut(adjacency(edges.where(F.col("i") != F.col("j")).groupBy(KEY, "i", "j").agg(F.max(finite("w", 0.0)).alias("w"))))
     degree = adj.groupBy(KEY, "idx").agg(F.sum("w").alias("_d"))
     v = (charged.join(degree, [KEY, "idx"], "left")

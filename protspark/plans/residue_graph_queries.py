@@ -75,7 +75,7 @@ def potentials_dense(spark, sf):
 
 @query("gra01_potentials_iterated", POTENTIAL_SQL)
 def potentials_iterated(spark, sf):
-    """The same by conjugate gradients on the edge table, as for graphs that are too large for one row."""
+    """The same by conjugate gradients, as for graphs that are too large to be solved densely."""
     return solved(spark, sf, max_nodes=1)[2].select(KEY, "idx", (F.round("phi", 5) + 0.0).alias("phi"))
 
 

@@ -146,3 +146,19 @@ def test_normalize_weights_needs_both_ends(spark):
     lig = spark.createDataFrame([("a", 0, 2), ("a", 0, 99)], "graph_id string, i long, j long")
     got = rows(G.normalize_weights(df, lig, G.graph_nodes(df)))
     assert got == [("a", 0, 1, 0.1), ("a", 0, 2, 1.0), ("a", 1, 2, 0.1)]
+
+
+def test_gradients_of_small_graphs_need_no_rounds_of_joins(spark, monkeypatch):
+    """In a task or by joins: the same potentials, also with parallel links, loops, nodes without links and graphs without charge."""
+    rng = random.Random(3)
+    pairs = [(g, i, j, rng.uniform(0.1, 2)) for g in "abc" for i in range(12) for j in range(i + 1, 12) if rng.random() < 0.4]
+    df = spark.createDataFrame(pairs + [("a", 0, 1, 5.0), ("a", 2, 2, 3.0), ("b", 1, 2, None), ("b", 3, 99, 1.0), ("b", None, 3, 1.0)], "graph_id string, i long, j long, w double")
+    nodes = spark.createDataFrame([(g, k) for g in "abcd" for k in [*range(14), None]], "graph_id string, idx long")
+    src, snk = nodes.where("idx = 0 AND graph_id != 'c'"), nodes.where("idx = 13 AND graph_id != 'c'")
+    solve = lambda: {(r[0], r[1]): r[2] for r in G.potentials(df, nodes, src, snk, max_nodes=1).collect()}
+    monkeypatch.setattr(G, "IN_TASK", 0)
+    joined = solve()
+    monkeypatch.undo()
+    monkeypatch.setattr(G, "_rounds", None)
+    packed = solve()
+    assert len(joined) == 60 and packed.keys() == joined.keys() and max(abs(packed[k] - joined[k]) for k in joined) < 1e-6
