@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from protspark.functions.columns import coalesce_nonempty, default_key, derive_pdb_id, require_key
 from protspark.functions.lineage import cut
+from protspark.functions.skew import spread
 from protspark.schemas import ENDPOINTS, LABEL_KEYS
 
 
@@ -209,7 +210,9 @@ def upsert_structures(nodes: DataFrame, edges: DataFrame, batch: DataFrame) -> t
     """The structure node always; HAS_STRUCTURE from each partner that exists."""
     rows, links = structure_changes(cut(batch))
     known = nodes.select(F.col("id").alias("_id"), F.explode("labels").alias("_label")).where(F.col("_id").startswith(F.concat("_label", F.lit(":")))).select("_id").distinct()
-    return _merged(nodes, edges, rows, links.join(known, F.get("need", F.lit(0)) == F.col("_id"), "left_semi"))
+    # An inner join with distinct ids: a semi join would be pushed below the union of the links, and a task would sort every part at once.
+    needy = spread(links.withColumn("_need", F.get("need", F.lit(0))), "_need").join(known, F.col("_need") == F.col("_id"))
+    return _merged(nodes, edges, rows, needy.drop("_need", "_id"))
 
 
 def check_unique(nodes: DataFrame) -> DataFrame:
