@@ -77,7 +77,8 @@ class GraphStore:
 
     def _write(self, segment: str, cells: DataFrame, links: DataFrame) -> None:
         for name, df, key in (("cells", cells, "id"), ("links", links, "src")):
-            (df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")).repartition("bucket")
+            # By bucket and id: a bucket of a large batch is written by many tasks, small batches are merged by adaptive execution.
+            (df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")).repartition("bucket", key)
              .write.mode("overwrite").partitionBy("bucket").parquet(f"{segment}/{name}"))
 
     def _read(self, segments: list[str], name: str, schema: str) -> DataFrame:
@@ -112,7 +113,8 @@ class GraphStore:
         """Rows whose needed nodes exist. Needed nodes need none themselves; a row needs two at most."""
         cells = self._read(self.segments(), "cells", CELLS)
         present = cells.where(F.size("need") == 0).select(F.col("id").alias("_id")).distinct()
-        met: Callable[[DataFrame, Column], DataFrame] = lambda d, c: d.join(present, c == F.col("_id"), "left_semi")
+        # Inner joins with distinct ids: semi joins would be pushed below the union of the segments, and a task would sort all of them at once.
+        met: Callable[[DataFrame, Column], DataFrame] = lambda d, c: d.join(present, c == F.col("_id")).drop("_id")
         waiting = df.where(F.size("need") > 0)
         return df.where(F.size("need") == 0).unionByName(met(met(waiting, F.get("need", F.lit(0))), F.get("need", F.size("need") - 1)))
 
