@@ -26,6 +26,7 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SHINGLE, SEED, RADIUS = 4, 42, 4
 SETS = list(combinations(range(8), 8 - RADIUS))
 HOT_LIST = 2_000
+PART = 1 << 16  # rows that the reader of the lists holds back
 
 
 def fingerprint(text: str | None) -> int:
@@ -56,37 +57,46 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 class _Lists:
-    """Reads index entries in list order and gives pairs, or marks the members of lists that are too long."""
+    """Reads index entries in list order and gives pairs, or marks the members of lists that are too long.
 
-    def __init__(self, hot: int):
-        self.hot, self.too_long = hot, None
+    Lists below the limit may still hold very many pairs, so these are given in parts of about ``part`` rows.
+    """
+
+    def __init__(self, hot: int, part: int = PART):
+        self.hot, self.part, self.too_long = hot, part, None
         self.left = (np.zeros(0, np.int64),) * 3
 
     def __call__(self, keys, fps, nodes):
         new = [np.array(x, np.int64) for x in (keys, fps, nodes)]
         key, fp, node = (np.concatenate(x) for x in zip(self.left, new))
         last = np.searchsorted(key, key[-1])  # the last list may go on in the next slice
-        out = self._pairs(key[:last], fp[:last], node[:last])
+        yield from self._parts(key[:last], fp[:last], node[:last])
         if key[-1] == self.too_long or len(key) - last > self.hot:
             self.too_long = int(key[-1])
-            out.append((node[last:], np.full(len(key) - last, LOWEST), fp[last:]))
+            yield node[last:], np.full(len(key) - last, LOWEST), fp[last:]
             last = len(key)
         self.left = (key[last:], fp[last:], node[last:])
-        return self._joined(out)
 
     def finish(self):
-        return self._joined(self._pairs(*self.left))
-
-    @staticmethod
-    def _joined(out):
-        return [np.concatenate(x) for x in zip(*out)] if out else None
+        yield from self._parts(*self.left)
+
+    def _parts(self, key, fp, node):
+        out, rows = [], 0
+        for found in self._pairs(key, fp, node):
+            out.append(found)
+            rows += len(found[0])
+            if rows >= self.part:
+                yield [np.concatenate(x) for x in zip(*out)]
+                out, rows = [], 0
+        if out:
+            yield [np.concatenate(x) for x in zip(*out)]
 
     def _pairs(self, key, fp, node):
-        out, at = [], np.arange(len(key))
+        at = np.arange(len(key))
         if self.too_long is not None:  # its last entries
             rest = key == self.too_long
             if rest.any():
-                out.append((node[rest], np.full(int(rest.sum()), LOWEST), fp[rest]))
+                yield node[rest], np.full(int(rest.sum()), LOWEST), fp[rest]
                 at = at[~rest]
         gap = 1
         while len(at := at[at + gap < len(key)]) and len(at := at[key[at] == key[at + gap]]):
@@ -99,9 +109,8 @@ class _Lists:
             here = same[np.arange(len(at))[:, None], first].all(axis=1) & (prefix[np.arange(len(at)), first[:, -1]] == 8 - RADIUS)
             keep = (tally >= 8 - RADIUS) & here & (np.bitwise_count(differ.view(np.uint64)) <= RADIUS)
             if keep.any():
-                out.append((node[at[keep]], node[other[keep]], fp[at[keep]]))
+                yield node[at[keep]], node[other[keep]], fp[at[keep]]
             gap += 1
-        return out
 
 
 def _index_keys() -> list:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from inspect import isgenerator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -50,22 +51,22 @@ def map_batches(df: DataFrame, schema: str, start: Callable[[], Callable], rows:
     """Apply ``start()(*columns)`` to slices of at most ``rows`` rows; lists in, lists (or arrays) out.
 
     ``start`` runs once a task, so caches live as long as the task. A step that returns None gives no rows. If the
-    step has ``finish``, it is called after the last slice.
+    step has ``finish``, it is called after the last slice. A step that makes very many rows of a slice is a generator of parts.
     """
     fields = to_arrow_schema(DataType.fromDDL(schema))
 
-    def batch(out) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, fields)], schema=fields)
+    def made(out) -> Iterator[pa.RecordBatch]:
+        for part in out if isgenerator(out) else [out]:
+            if part is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(part, fields)], schema=fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = start()
         for b in batches:
             for k in range(0, b.num_rows, rows):
-                out = step(*[c.to_pylist() for c in b.slice(k, rows).columns])
-                if out is not None:
-                    yield batch(out)
-        if hasattr(step, "finish") and (out := step.finish()) is not None:
-            yield batch(out)
+                yield from made(step(*[c.to_pylist() for c in b.slice(k, rows).columns]))
+        if hasattr(step, "finish"):
+            yield from made(step.finish())
 
     return df.mapInArrow(run, schema)
 

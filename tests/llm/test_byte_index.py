@@ -78,3 +78,18 @@ def test_one_of_each_keeps_columns(docs_of):
     df = B.one_of_each(docs_of([(5, "same text here now"), (2, "same text here now"), (2, "same text here now"), (9, "another one"), (None, "same text here now")]))
     assert df.columns == ["doc_id", "text", "key", "fp", "n_words", "score"]
     assert sorted((r.doc_id or -1, r.text) for r in df.collect()) == [(-1, "same text here now"), (9, "another one")]
+
+
+def test_pairs_of_a_crowded_list_come_in_parts():
+    """The reader holds back a bounded number of rows, however many pairs one list has, and gives each pair once."""
+    import inspect
+
+    fps = [a | b << 8 for a in (1, 2, 4, 8, 16, 32, 64, 128) for b in range(0, 256, 3) if b.bit_count() < 4]
+    read = B._Lists(hot=2_000, part=500)
+    parts = read([0] * len(fps), fps, list(range(len(fps))))
+    assert inspect.isgenerator(parts)
+    parts = [*parts, *read.finish()]
+    got = [(int(a), int(b)) for a, b, _ in (r for p in parts for r in zip(*p))]
+    want = {(a, b) for b in range(len(fps)) for a in range(b) if (fps[a] ^ fps[b]).bit_count() <= 4}
+    assert len(got) == len(want) and set(got) == want and len(want) > 5_000
+    assert max(len(p[0]) for p in parts) < 500 + len(fps)
