@@ -19,7 +19,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -37,7 +37,6 @@ MIN_RATIO, MAX_LOG_RATIO = 4.0, 6.0
 CONFIDENCE = 1.645
 MAX_FIT_ROWS = 20_000
 CACHE_WORDS = 300_000
-HELD_PAIRS = 100_000  # different pairs of words a task counts before it takes them apart
 LONG, STRIDE = 256, 512
 
 # Letters that signs look like.
@@ -291,26 +290,16 @@ def lexicon(train: DataFrame, model: LanguageModel) -> dict[str, float]:
 
         def step(texts, ys):
             sums: dict = defaultdict(lambda: [0, 0, 0])
-            total, pairs = [0, 0], (Counter(), Counter())
-
-            def spend(y):
-                """A pair of words that many documents hold is taken apart once."""
-                for (before, word), n in pairs[y].items():
-                    seen = y << parts[before][0] if y else 0
-                    for g in parts[word][1]:
-                        row = sums[g]
-                        row[y] += n
-                        row[2] |= seen
-                pairs[y].clear()
-
+            total = [0, 0]
             for text, y in zip(texts, ys):
                 words = WORD.findall(text) + parts.restorer.apart(text)
                 total[y] += len(words)
-                pairs[y].update(set(zip(["", *words], words)))
-                if len(pairs[y]) > HELD_PAIRS:
-                    spend(y)
-            spend(0)
-            spend(1)
+                for before, word in set(zip(["", *words], words)):
+                    context = parts[before][0]
+                    for g in parts[word][1]:
+                        row = sums[g]
+                        row[y] += 1
+                        row[2] |= y << context
             rows = [(g, *row) for g, row in sums.items()] + [(None, *total, 0)]
             g, clean, toxic, masks = zip(*rows)
             return list(g), list(clean), list(toxic), np.array(masks, np.uint64).view(np.int64)
