@@ -19,9 +19,10 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -36,7 +37,7 @@ MIN_CONTEXTS = 5
 MIN_RATIO, MAX_LOG_RATIO = 4.0, 6.0
 CONFIDENCE = 1.645
 MAX_FIT_ROWS = 20_000
-CACHE_WORDS = 300_000
+CACHE_WORDS, CACHE_FORMS = 300_000, 50_000
 LONG, STRIDE = 256, 512
 
 # Letters that signs look like.
@@ -62,6 +63,8 @@ SPACED = re.compile(rf"(?<![^\W_])(?:{_L}([ .\-_*])(?={_L}(?:\1|(?![^\W_])))){{2
 _S = r"(?:[^\W\d_]|[013-9@$!|+€])"
 #: Letters and signs set apart by any white space, each perhaps with a mark behind it.
 RUN = re.compile(rf"(?<![^\W_]){_S}(?:[.\-_*]*\s+{_S}){{2,}}(?![^\W_])")
+#: Stands in every run, before its last letter; begins with a class of characters, so the search passes over words quickly.
+INNER = re.compile(rf"\s{_S}[.\-_*]*\s+{_S}(?![^\W_])")
 PIECE = re.compile(r"[\w@$!|+€.\-*]+")
 LETTER = re.compile(_L)
 MIXED = re.compile(rf"[013-9@$!|+€.\-_*]|({_L})\1\1")
@@ -205,15 +208,28 @@ def language_model(docs: DataFrame) -> LanguageModel:
 
 
 class Restorer:
-    """Restored forms of suspicious words, and of letters set apart by spaces."""
+    """Restored forms of suspicious words, kept for the latest ones, and of letters set apart by spaces."""
 
     def __init__(self, model: LanguageModel):
         self.model = model
+        self.found: dict[str, list[str]] = {}
 
     def word(self, word: str) -> list[str]:
-        bare = word.strip(OUTSIDE)
-        if bare.isalpha() and not TRIPLE.search(bare):  # nothing set apart, mixed or repeated: the usual case
+        if plain(word):
             return []
+        if word not in self.found:
+            if len(self.found) >= CACHE_FORMS:
+                self.found.clear()
+            self.found[word] = self._forms(word)
+        return self.found[word]
+
+    def beginnings(self, word: str) -> list[str]:
+        """The beginnings of the word and of its restored forms, each once."""
+        if bare := plain(word):
+            return _cut_off(bare.lower())
+        return list({g for w in [word, *self.word(word)] for g in beginnings(w)})
+
+    def _forms(self, word: str) -> list[str]:
         out = [self.model.restore(m.group()) for m in SPACED.finditer(word)]
         for token in tokens(word):
             out.append(self.model.restore(token))
@@ -223,7 +239,7 @@ class Restorer:
 
     def apart(self, text: str) -> list[str]:
         out = []
-        for m in RUN.finditer(text):
+        for m in RUN.finditer(text) if INNER.search(text) else ():
             run = m.group()
             if LETTER.search(run):  # as a whole, and in parts where one separator ends
                 out += [self.model.restore(x) for x in dict.fromkeys([run, *(p.group() for p in SPACED.finditer(run))])]
@@ -243,8 +259,18 @@ def tokens(word: str) -> set[str]:
     return {t for t in found if len(t) > 2 and LETTER.search(t) and MIXED.search(t)}
 
 
+def plain(word: str) -> str | None:
+    """The word without outer marks, if nothing is set apart, mixed or repeated in it: the usual case."""
+    bare = word.strip(OUTSIDE)
+    return bare if bare.isalpha() and not TRIPLE.search(bare) else None
+
+
 def beginnings(word: str) -> list[str]:
-    w = word.strip(EDGES + "!|+$@").lower() + "$"
+    return _cut_off(word.strip(EDGES + "!|+$@").lower())
+
+
+def _cut_off(word: str) -> list[str]:
+    w = word + "$"
     return [w[:n] for n in BEGINNINGS if len(w) >= n]
 
 
@@ -262,19 +288,9 @@ def _kept(tag: str, kind: str, make: Callable[[], object]):
     return place[0]
 
 
-class _Parts(dict):
-    """Hash of a word and all beginnings of the word and its restored forms; bounded."""
-
-    def __init__(self, model: LanguageModel):
-        super().__init__()
-        self.restorer = Restorer(model)
-
-    def __missing__(self, word: str) -> tuple[int, tuple]:
-        if len(self) > CACHE_WORDS // 2:
-            self.clear()
-        forms = [word, *self.restorer.word(word)]
-        self[word] = out = (zlib.crc32(word.encode("utf-8", "surrogatepass")) & 63, tuple({g for w in forms for g in beginnings(w)}))
-        return out
+def _context(word: str) -> int:
+    """The bit of a word in the set of words before a beginning."""
+    return 1 << (zlib.crc32(word.encode("utf-8", "surrogatepass")) & 63)
 
 
 def lexicon(train: DataFrame, model: LanguageModel) -> dict[str, float]:
@@ -286,20 +302,27 @@ def lexicon(train: DataFrame, model: LanguageModel) -> dict[str, float]:
     tag = uuid.uuid4().hex
 
     def start():
-        parts = _kept(tag, "parts", lambda: _Parts(model))
+        restorer = _kept(tag, "restorer", lambda: Restorer(model))
 
         def step(texts, ys):
-            sums: dict = defaultdict(lambda: [0, 0, 0])
-            total = [0, 0]
+            seen, total = (Counter(), Counter()), [0, 0]
+            contexts: dict = defaultdict(int)
             for text, y in zip(texts, ys):
-                words = WORD.findall(text) + parts.restorer.apart(text)
+                words = WORD.findall(text) + restorer.apart(text)
                 total[y] += len(words)
-                for before, word in set(zip(["", *words], words)):
-                    context = parts[before][0]
-                    for g in parts[word][1]:
+                pairs = set(zip(["", *words], words))
+                seen[y].update([word for _, word in pairs])
+                if y:
+                    for before, word in pairs:
+                        contexts[word] |= _context(before)
+            sums: dict = defaultdict(lambda: [0, 0, 0])
+            for y, counted in enumerate(seen):  # words are taken apart once a slice
+                for word, n in counted.items():
+                    context = contexts[word] if y else 0
+                    for g in restorer.beginnings(word):
                         row = sums[g]
-                        row[y] += 1
-                        row[2] |= y << context
+                        row[y] += n
+                        row[2] |= context
             rows = [(g, *row) for g, row in sums.items()] + [(None, *total, 0)]
             g, clean, toxic, masks = zip(*rows)
             return list(g), list(clean), list(toxic), np.array(masks, np.uint64).view(np.int64)
@@ -320,12 +343,17 @@ class _Weights(dict):
     def __init__(self, model: LanguageModel, known: dict[str, float]):
         super().__init__()
         self.restorer, self.known = Restorer(model), known
+        self.heads = {g[:BEGINNINGS[0]] for g in known}
 
     def __missing__(self, word: str) -> float:
         if len(self) > CACHE_WORDS:
             self.clear()
-        forms = [word, *self.restorer.word(word)]
-        self[word] = p = max([self.known.get(g, 0.0) for w in forms for g in beginnings(w)], default=0.0)
+        bare = plain(word)
+        if bare and (bare.lower() + "$")[:BEGINNINGS[0]] not in self.heads:
+            p = 0.0
+        else:
+            p = max([self.known.get(g, 0.0) for g in self.restorer.beginnings(word)], default=0.0)
+        self[word] = p
         return p
 
 
@@ -338,9 +366,9 @@ class Evidence:
     def __call__(self, text: str | None) -> list[float]:
         words = WORD.findall(text or "")
         words += self.weights.restorer.apart(text or "")
-        found = [(w, p) for w, p in zip(words, map(self.weights.__getitem__, words)) if p]
-        weight = sum(p for _, p in found)
-        return [min(weight, 30) / 5, min(60, 1000 * weight / max(20, len(words))) / 20, min(len({w for w, _ in found}), 6) / 2, 1.0]
+        each = list(map(self.weights.__getitem__, words))
+        weight = sum(filter(None, each))
+        return [min(weight, 30) / 5, min(60, 1000 * weight / max(20, len(words))) / 20, min(len(set(compress(words, each))), 6) / 2, 1.0]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:

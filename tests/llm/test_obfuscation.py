@@ -84,3 +84,19 @@ def test_quick_way_out_loses_nothing(restorer, monkeypatch):
 
 def test_plain_words_and_numbers_stay_out(restorer):
     assert forms(restorer, "then there, other (another) 1 2 3 4 10-11-12 *then* then*** then.") == set()
+
+
+def test_words_are_taken_apart_once_and_only_where_needed(monkeypatch):
+    counts = np.bincount(D.trigrams("the vile scum and the plain mill of the town " * 9), minlength=D.SIZE**3)
+    model = D.LanguageModel(counts)
+    words = ["plain", "(Mill),", "sc*m", "v1le", "viiile", "a", "ab", "scum!", "v.i.l.e", "İstanbul", "***", "the-town", "42", "ß", "'thé'"]
+    restorer = D.Restorer(model)
+    for w in words:
+        forms = [w, *D.Restorer(model)._forms(w)] if not D.plain(w) else [w]
+        assert sorted(restorer.beginnings(w)) == sorted({g for x in forms for g in D.beginnings(x)}), w
+    for text in ("the v i l e town", "a b", "x a b", "v. i- l* e", "a  1 l e.", "ab c d", "1 2 3", "v\ni\nl\ne", "a b cd", ""):
+        assert bool(restorer.apart(text)) == any(D.LETTER.search(m.group()) for m in D.RUN.finditer(text)), text
+    weights = D._Weights(model, {"scum": 2.0, "scum$": 3.0, "vile": 1.5})
+    assert [weights[w] for w in ("scum", "Scummy", "v1le", "sc*m", "plain", "ab")] == [3.0, 2.0, 1.5, 3.0, 0.0, 0.0]
+    monkeypatch.setattr(D, "_cut_off", None)  # never needed for a plain word with an unknown head
+    assert weights["ordinary"] == 0.0 and weights["(Ordinary)."] == 0.0
