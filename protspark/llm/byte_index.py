@@ -145,7 +145,7 @@ def fingerprint_links(nodes: DataFrame, hot: int = HOT_LIST) -> DataFrame:
     members = met.where(F.col("b") == LOWEST).select("a", "fp").distinct()
     if members.isEmpty():
         return pairs
-    return pairs.union(_midpoint_stars(members))
+    return cut(pairs.union(_midpoint_stars(members)))
 
 
 def near_duplicates(docs: DataFrame, hot: int = HOT_LIST) -> DataFrame:
@@ -185,7 +185,7 @@ def one_of_each(docs: DataFrame, hot: int = HOT_LIST) -> DataFrame:
     rows = cut(map_batches(keyed.select("_key", "_tie", "_row.text"), "key long, tie long, fp long", start))
     # The lowest value marks list members; the next one is linked to it anyway.
     node = F.greatest(F.col("fp"), F.lit(LOWEST + 1)).alias("node")
-    roots = components(fingerprint_links(cut(rows.select("fp", node).distinct()), hot), "a", "b")
+    roots = components(fingerprint_links(rows.select("fp", node).distinct(), hot), "a", "b")
     parts = rows.select("key", "tie", node).join(roots, "node", "left").select("key", "tie", F.coalesce("root", "node").alias("part"))
     kept = parts.groupBy("part").agg(F.min(F.struct("key", "tie")).alias("f")).select(F.col("f.key").alias("_key"), F.col("f.tie").alias("_tie"))
     return (keyed.join(kept, ["_key", "_tie"], "left_semi").dropDuplicates(["_key", "_tie"])

@@ -7,8 +7,18 @@ from pyspark.sql import DataFrame, functions as F
 from protspark.functions.lineage import cut
 
 
-def _signature(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 31)))).first())
+FILES, FILE_ROWS = 12, 200_000  # a round is written to so many files, or more if they would hold more rows than that
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node has one lesser neighbour at most, which has none itself."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("leaf")).union(edges.select("v", F.lit(0)))
+    met = ends.groupBy("n").agg(F.sum("leaf").alias("leaf"), F.count("*").alias("all"))
+    return met.where((F.col("leaf") > 1) | (F.col("leaf") > 0) & (F.col("leaf") < F.col("all"))).isEmpty()
+
+
+def _cut(edges: DataFrame, rows: int) -> DataFrame:
+    return cut(edges.coalesce(max(FILES, rows // FILE_ROWS)))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -27,12 +37,12 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) for every node of an edge, the root being the smallest node of its component.
 
     Edges keep the form u > v. Each round halves the depth of the remaining trees, a round is written to the shared
-    folder, and the end is reached when a round changes nothing. An empty edge table gives an empty result.
+    folder, and the end is reached when all trees are stars. An empty edge table gives an empty result. The edges are
+    read twice, first for their number; a round never has more.
     """
-    now = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct())
-    before = None
-    while (mark := _signature(now)) != before:
-        before = mark
-        now = cut(_small_star(_large_star(now)))
+    rows = edges.count()
+    now = _cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct(), rows)
+    while not _stars(now):
+        now = _cut(_small_star(_large_star(now)), rows)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

@@ -3,7 +3,7 @@ import random
 import pytest
 import xxhash
 
-from protspark.llm import byte_index as B
+from protspark.llm import byte_index as B, components
 from protspark.llm.common import LOWEST
 
 
@@ -93,3 +93,27 @@ def test_pairs_of_a_crowded_list_come_in_parts():
     want = {(a, b) for b in range(len(fps)) for a in range(b) if (fps[a] ^ fps[b]).bit_count() <= 4}
     assert len(got) == len(want) and set(got) == want and len(want) > 5_000
     assert max(len(p[0]) for p in parts) < 500 + len(fps)
+
+
+@pytest.mark.parametrize("edges", [[], [(1, 2), (1, 3), (7, 9)], [(k, k + 1) for k in range(40)], [(2, 1), (1, 2), (5, 5), (4, 2), (9, 8), (8, 7), (7, 9)]])
+def test_rounds_of_components_write_few_files_and_end_at_stars(spark, monkeypatch, edges):
+    made, whole = [], components.cut
+    monkeypatch.setattr(components, "cut", lambda df: made.append(out := whole(df)) or out)
+    monkeypatch.setattr(components, "FILES", 2)
+    monkeypatch.setattr(components, "FILE_ROWS", 10)
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", 30)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        found = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "x long, y long"), "x", "y").collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    root = {n: n for e in edges for n in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    linked = {n for a, b in edges if a != b for n in (a, b)}
+    assert found == {n: r for n, r in root.items() if n in linked}
+    assert max(df.rdd.getNumPartitions() for df in made) <= max(2, len(edges) // 10)
+    assert len(made) == 1 or len(edges) > 3  # stars need no round
