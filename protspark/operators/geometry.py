@@ -99,11 +99,15 @@ def radius_join(left: DataFrame, right: DataFrame, by: list[str], cutoff: float,
 
 
 def contacts(residues: DataFrame, cutoff: float | str = 8.0, weight: float = 1.0, contact_type: str = "intra_protein",
-             by: list[str] = ["model_id"], closed: bool = True) -> DataFrame:
-    """Residue pairs ``i < j`` of a model within ``cutoff``, as contact rows."""
-    pairs = radius_pairs(residues, by, "idx", cutoff, closed=closed)
+             by: list[str] = ["model_id"], closed: bool = True, cols: list[str] = []) -> DataFrame:
+    """Residue pairs ``i < j`` of a model within ``cutoff``, as contact rows.
+
+    ``cols`` of the residues follow as ``<col>_i`` and ``<col>_j``: joined to a residue once, not to each of its pairs.
+    """
+    pairs = radius_pairs(residues, by, "idx", cutoff, cols, closed=closed)
     return pairs.select(*by, F.col("idx_i").alias("i"), F.col("idx_j").alias("j"), "dist",
-                        F.lit(float(weight)).alias("w"), F.lit(contact_type).alias("contact_type"))
+                        F.lit(float(weight)).alias("w"), F.lit(contact_type).alias("contact_type"),
+                        *[f"{c}_{end}" for end in "ij" for c in cols])
 
 
 def _pair_counts(points: DataFrame, by: list[str], idx: str, cutoff: float) -> DataFrame:

@@ -196,10 +196,9 @@ PAIR_SUM_SQL = """list_sum(list_transform(list_zip(a.embedding, b.embedding), la
     FROM pairs JOIN embeddings a ON a.vec_id = i JOIN embeddings b ON b.vec_id = j WHERE dist <= 0.1""")
 def pair_features(spark, sf):
     e = table(spark, sf, "embeddings")
-    pairs = contacts(points(spark, sf), 0.1).select("i", "j")
-    end = lambda c: e.select(F.col("vec_id").alias(c), F.col("embedding").alias(f"h_{c}"))
-    f = pairs.join(end("i"), "i").join(end("j"), "j").select("i", "j", V.pair_features("h_i", "h_j").alias("f"))
-    return f.select("i", "j", F.size("f").alias("width"), r6(F.aggregate("f", F.lit(0.0), lambda s, x: s + x)).alias("total"))
+    known = points(spark, sf).join(e.select(F.col("vec_id").alias("idx"), F.col("embedding").alias("h")), "idx")
+    f = contacts(known, 0.1, cols=["h"]).select("i", "j", V.size_and_sum(V.pair_features("h_i", "h_j")).alias("f"))
+    return f.select("i", "j", F.col("f.n").alias("width"), r6("f.total").alias("total"))
 
 
 NORM_SQL = "round(sqrt(list_sum(list_transform({v}, lambda v: CAST(v AS DOUBLE) * CAST(v AS DOUBLE)))), 6) + 0.0"

@@ -22,3 +22,12 @@ def test_stored_edges_are_read_not_built_again(spark):
     for query in (Q.normalize_weights, Q.potentials):
         plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "l_orderkey" not in plan
+
+
+def test_pairs_bring_their_vectors_and_meet_no_table(spark):
+    """Pairs grow with the square of a label's points; joining vectors to them shuffled each pair twice."""
+    from protspark.plans import projections
+
+    plan = projections.pair_features(spark, "/root/testdata/sf0.01")._jdf.queryExecution().optimizedPlan().toString()
+    top = next(line for line in plan.split("\n") if "Join" in line)
+    assert "_salt" in top, top
