@@ -23,7 +23,7 @@ from protspark.operators.residue_graph import KEY, adjacency, finite, graph_node
 BLOCK = 16  # sources whose distances are kept at a time, in columns of one row per node
 ROUNDS = 4  # rounds between two checkpoints
 KEPT, STEPS = 6, 3  # eigenvector search: vectors kept from cycle to cycle, and new ones in a cycle
-DEPENDENT = 1e-6  # a direction of the basis whose squared length is below this depends on the others
+DEPENDENT = 1e-6  # a new direction whose squared length beside the kept vectors is below this depends on the others
 INF = "double('Infinity')"
 
 
@@ -214,7 +214,12 @@ def _krylov(links: DataFrame, tol: float, iters: int) -> DataFrame:
 
 
 def _best_vectors(values: np.ndarray, g: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Coefficients and eigenvalues of the leading vectors of many graphs, from inner products and the vectors' own sums."""
+    """Coefficients and eigenvalues of the leading vectors of many graphs, from inner products and the vectors' own sums.
+
+    Near the end the new vectors are hardly longer than rounding, so they are not quite orthogonal to the kept ones. They are made so
+    before those among them that depend on each other are left out: otherwise a part of the best vector is left out as well, and
+    its residual stays above a small tolerance.
+    """
     m = KEPT + STEPS
     times = np.zeros((len(g), m + 1, m))  # the edges applied to a new vector, in terms of all vectors
     for j in range(KEPT, m):
@@ -225,12 +230,18 @@ def _best_vectors(values: np.ndarray, g: np.ndarray, sums: np.ndarray) -> tuple[
     h[:, KEPT:, :KEPT] = h[:, :KEPT, KEPT:].transpose(0, 2, 1)
     at = np.arange(m)
     h[:, at[:KEPT], at[:KEPT]] = values  # the kept vectors are the leading ones of the last span
+    h[:, :KEPT, 0] = h[:, 0, :KEPT] = g[:, :KEPT, KEPT] + values[:, :1] * g[:, :KEPT, 0]  # of the first one the residual knows better
     h = (h + h.transpose(0, 2, 1)) / 2
     diagonal = np.einsum("nii->ni", g)[:, :m]
     size = np.where(diagonal > 0, 1 / np.sqrt(np.where(diagonal > 0, diagonal, 1.0)), 0.0)
-    lengths, turn = np.linalg.eigh(g[:, :m, :m] * size[:, :, None] * size[:, None, :])
-    used = lengths > DEPENDENT
-    w = size[:, :, None] * turn * np.where(used, 1 / np.sqrt(np.where(used, lengths, 1.0)), 0.0)[:, None, :]
+    unit = g[:, :m, :m] * size[:, :, None] * size[:, None, :]
+    cross = unit[:, :KEPT, KEPT:]
+    kept, known = _orthonormal(unit[:, :KEPT, :KEPT])
+    away = -kept @ (kept.transpose(0, 2, 1) @ cross)
+    fresh, new = _orthonormal(unit[:, KEPT:, KEPT:] + away.transpose(0, 2, 1) @ cross)
+    w, used = np.zeros_like(unit), np.concatenate([known, new], axis=1)
+    w[:, :KEPT, :KEPT], w[:, :KEPT, KEPT:], w[:, KEPT:, KEPT:] = kept, away @ fresh, fresh
+    w *= size[:, :, None]
     small = w.transpose(0, 2, 1) @ h @ w
     small[:, at, at] = np.where(used, small[:, at, at], -4.0)  # beyond the spectrum, never among the best
     found, vectors = np.linalg.eigh(small)
@@ -240,6 +251,13 @@ def _best_vectors(values: np.ndarray, g: np.ndarray, sums: np.ndarray) -> tuple[
     return c.transpose(0, 2, 1).reshape(len(g), -1), np.where(found < -2, 0.0, found)
 
 
+def _orthonormal(products: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients of orthonormal vectors from inner products, and which of these vectors there are; the others are empty."""
+    lengths, turn = np.linalg.eigh(products)
+    used = lengths > DEPENDENT
+    return turn * np.where(used, 1 / np.sqrt(np.where(used, lengths, 1.0)), 0.0)[:, None, :], used
+
+
 def _best_in_basis(gram: DataFrame) -> DataFrame:
     """Per graph the leading vectors within the span of the kept ones and the new ones: (graph_id, c, values, left).
 

@@ -5,6 +5,7 @@ import pytest
 
 from protspark.functions.lineage import cut
 from protspark.operators import centrality as C
+from protspark.operators import small_graphs as S
 from protspark.plans import residue_graph_queries as Q
 
 SF = "/root/testdata/sf0.001"
@@ -53,3 +54,26 @@ def test_unconverged_is_an_error(spark):
         C.pagerank(path, iters=2, tol=1e-12).count()
     with pytest.raises(RuntimeError, match="converge"):
         C.eigenvector_centrality(path, iters=2, tol=1e-12).count()
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_rounding_does_not_stop_eigenvectors(spark, monkeypatch, small):
+    """Two parts, equal or nearly so: vectors that were left out as dependent took part of the best one along, and the residual stayed."""
+    rng = np.random.default_rng(5)
+    rows, want = [], {}
+    for g in range(150):
+        h = int(rng.integers(3, 12))
+        part = np.triu(rng.uniform(0.01, 0.1, (h, h)), 1)
+        like = 1.0 if g % 4 == 0 else 1 - 10.0 ** -rng.uniform(1, 3)
+        m = np.kron(np.diag([1.0, like]), part)
+        rows += [(g, int(i), int(j), float(m[i, j])) for i, j in zip(*m.nonzero())]
+        values, vectors = np.linalg.eigh(m + m.T)
+        top = vectors[:, values > values[-1] - 1e-9]
+        x = top @ top.sum(axis=0)
+        want[g] = x / np.linalg.norm(x)
+    if not small:
+        monkeypatch.setattr(S, "SMALL_EDGES", 0)
+    df = spark.createDataFrame(rows, "graph_id long, i long, j long, w double")
+    got = {(r.graph_id, r.idx): r.eigen for r in C.eigenvector_centrality(df, iters=60, tol=1e-12).collect()}
+    assert len(got) == sum(map(len, want.values()))
+    assert all(np.allclose([got[g, k] for k in range(len(x))], x, atol=1e-7) for g, x in want.items())
